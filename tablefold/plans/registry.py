@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from typing import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
+from tablefold.plans import base
+from tablefold.plans import corpus, tables  # noqa: F401  (register on import)
 from tablefold.plans import oracle as O
 from tablefold.plans import scoring as SC
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {
+QUERIES: dict[str, base.Query] = {
     "scoreboard": SC.q_scoreboard,
     "overall_score": SC.q_overall,
     "scored_rows": SC.q_scored_rows,
@@ -34,6 +30,8 @@ QUERIES: dict[str, Query] = {
     "compare_models": SC.q_compare_models,
 }
 QUERIES.update({f"{name}_metrics": SC.set_task_metrics(task) for name, task in SC.SET_TASKS.items()})
+QUERIES.update(base.QUERIES)
 
 ORACLE: dict[str, str] = dict(O.F1_QUERIES)
 ORACLE.update({f"{name}_metrics": sql for name, sql in O.SET_QUERIES.items()})
+ORACLE.update(base.ORACLE)
