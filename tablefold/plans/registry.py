@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tablefold.plans import base
-from tablefold.plans import compare, corpus, discovery, tables, tools  # noqa: F401  (register on import)
+from tablefold.plans import compare, corpus, discovery, reshaping, tables, tools  # noqa: F401  (register on import)
 from tablefold.plans import oracle as O
 from tablefold.plans import scoring as SC
 
