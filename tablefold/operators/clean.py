@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablefold.session import spread
+
 
 def _deletions(v: Column) -> Column:
     """The value itself and every one-character deletion of it."""
@@ -64,6 +66,7 @@ SENSITIVE_PATTERNS = {
 
 def sensitive_flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One flag per pattern and the yes/no gate answer."""
+    df = spread(df.select(id_col, text_col))
     flags = {k: F.col(text_col).rlike(p) for k, p in SENSITIVE_PATTERNS.items()}
     anyf = F.lit(False)
     for f in flags.values():

@@ -13,6 +13,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablefold.session import spread
+
 NULL_TEXT = "\u0000null"
 STRING_SEPARATORS = [" ", "#", "_", "-", ","]   # fixed values: separators tried by split/concat rules
 
@@ -30,6 +32,7 @@ def functional_dependencies(df: DataFrame, columns: list[str] | None = None, max
     one (A, a, B, b) item per ordered column pair; counts are combined map-side.
     """
     cols = columns or df.columns
+    df = spread(df.select(*cols))
     pairs = list(permutations(cols, 2))
     items = F.explode(F.array(*[F.struct(F.lit(a).alias("det"), _txt(a).alias("a"),
                                          F.lit(b).alias("dep"), _txt(b).alias("b")) for a, b in pairs]))
@@ -69,7 +72,7 @@ def arithmetic_relations(df: DataFrame, columns: list[str], tol: float = 1e-6, m
         A, B, Cc = (F.col(x).cast("double") for x in (a, b, c))
         ok = F.abs(A - OPS[op](B, Cc)) <= F.lit(tol) * F.greatest(F.lit(1.0), F.abs(A))
         aggs.append(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias(f"s{i}"))
-    row = df.agg(*aggs)
+    row = spread(df.select(*cols)).agg(*aggs)
     stacked = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("target"),
                                                       F.lit(f"{a}={b}{op}{c}").alias("formula"),
                                                       F.col(f"s{i}").alias("support"))
@@ -102,7 +105,7 @@ def string_relations(df: DataFrame, columns: list[str], min_support: float = 0.9
                 cands.append((t, f"concat[{sep}]({s1},{s2})", cond))
     aggs = [F.avg(F.when(F.coalesce(cond, F.lit(False)), 1.0).otherwise(0.0)).alias(f"s{i}")
             for i, (_, _, cond) in enumerate(cands)]
-    row = df.agg(*aggs)
+    row = spread(df.select(*columns)).agg(*aggs)
     stacked = row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(r).alias("relation"),
                                                       F.col(f"s{i}").alias("support"))
                                              for i, (t, r, _) in enumerate(cands)])).alias("x")).select("x.*")
@@ -129,6 +132,7 @@ def key_foreign_keys(tables: dict[str, DataFrame], min_containment: float = 1.0)
         cols = [c for c, ty in df.dtypes if ty in ("int", "bigint", "string", "smallint")]
         if not cols:
             continue
+        df = spread(df.select(*cols)) if cols else df
         items = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(name_suffix(c)).alias("suffix"),
                                              F.col(c).cast("string").alias("value")) for c in cols]))
         longs.append(df.select(items.alias("i")).select(F.lit(t).alias("tbl"), "i.*"))

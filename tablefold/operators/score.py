@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tablefold.functions import extract as X
 from tablefold.functions import scorers as S
 from tablefold.functions import values as V
+from tablefold.session import spread
 
 SCORE_COLUMNS = ["correct", "correct_example", "row_correct", "col_correct", "precision", "recall"]
 META_KEYS = ["dataset", "tag", "note", "version", "test_case"]
@@ -133,6 +134,7 @@ def score_responses(responses: DataFrame, tasks: list[str] | None = None) -> Dat
     Only the task branches named in ``tasks`` (default: all text-scored tasks)
     are built; rows of other tasks keep NULL scores.
     """
+    responses = spread(responses)
     cols = set(responses.columns)
     task = F.coalesce(F.col("task"), X.metadata_field(F.col("metadata"), "task")) if "task" in cols \
         else X.metadata_field(F.col("metadata"), "task")
@@ -156,9 +158,11 @@ def score_responses(responses: DataFrame, tasks: list[str] | None = None) -> Dat
             if k in out:
                 scores[k] = F.when(F.col("_task") == spec.task, out[k]).otherwise(scores[k])
 
-    keyed = [X.metadata_field(F.col("metadata"), k).alias(k) for k in META_KEYS if k not in cols]
-    size = [F.coalesce(F.col(k).cast(t), X.metadata_field(F.col("metadata"), k, t)).alias(k) if k in cols
-            else X.metadata_field(F.col("metadata"), k, t).alias(k) for k, t in X.SIZE_COLUMNS.items()]
+    def mf(k, t="string"):   # fields read from the metadata VARIANT parsed once per row
+        return F.try_variant_get(F.col("_meta"), "$['" + k + "']", t)
+    keyed = [mf(k).alias(k) for k in META_KEYS if k not in cols]
+    size = [F.coalesce(F.col(k).cast(t), mf(k, t)).alias(k) if k in cols else mf(k, t).alias(k)
+            for k, t in X.SIZE_COLUMNS.items()]
     carried = [c for c in ("prompt_tokens", "completion_tokens", "time_taken", "model_name") if c in cols]
     return a.select(
         F.col("_task").alias("task"),

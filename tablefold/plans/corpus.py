@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablefold.operators import budget as K
 from tablefold.operators import sampling as M
 from tablefold.plans.base import R, register
+from tablefold.session import spread
 from tablefold.sources.tables import table
 
 LIMIT = 2000  # budget used by the checks (the library default is 64,000)
@@ -26,7 +27,7 @@ def f6(body: str) -> str:
 
 
 def prompts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return d.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("dataset"), F.col("text").alias("prompt"),
                     K.token_count(F.col("text")).alias("token_count"))
 

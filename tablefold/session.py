@@ -76,3 +76,19 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Round-robin repartition when a scan gives fewer partitions than the cluster has cores.
+
+    CPU-heavy row work (regexes, JSON parsing, candidate generation) runs in
+    the scan stage; a table stored as one large row group would put all of it
+    in one task. On big inputs the scan already has enough partitions and this
+    is a no-op (no shuffle). Streaming inputs are returned unchanged.
+    """
+    if df.isStreaming:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
