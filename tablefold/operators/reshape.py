@@ -19,6 +19,11 @@ def _ncols(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*TABLE_KEYS).agg((F.max("col_idx") + 1).alias("_ncols"))
 
 
+def _with_ncols(cells: DataFrame) -> DataFrame:
+    """Column count of each cell's table as a window (no join on the table key)."""
+    return cells.withColumn("_ncols", F.max("col_idx").over(Window.partitionBy(*TABLE_KEYS)) + 1)
+
+
 def _out(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("int").alias(c) if c in ("row_idx", "col_idx") else F.col(c)
                        for c in CELL_COLUMNS])
@@ -28,7 +33,7 @@ def _out(df: DataFrame) -> DataFrame:
 def stack(cells: DataFrame, start: int, end: int, var_name: str = "variable", value_name: str = "value") -> DataFrame:
     """Columns ``start..end`` collapse into (variable, value) rows; other columns repeat."""
     k = end - start + 1
-    c = cells.join(_ncols(cells), TABLE_KEYS)
+    c = _with_ncols(cells)
     inrange = (F.col("col_idx") >= start) & (F.col("col_idx") <= end)
     n_id = F.col("_ncols") - k
     ids = c.filter(~inrange).select(*TABLE_KEYS, "row_idx", "col_idx", "col_name", "value", F.explode(
@@ -94,7 +99,7 @@ def pivot(cells: DataFrame, row_frequency: int) -> DataFrame:
     """Every ``row_frequency`` consecutive rows become one row; column ``c`` of the
     ``p``-th row in a group lands at ``p * ncols + c`` named ``<name>_<p>``."""
     f = row_frequency
-    c = cells.join(_ncols(cells), TABLE_KEYS)
+    c = _with_ncols(cells)
     p = F.col("row_idx") % f
     return _out(c.select(*TABLE_KEYS, (F.floor(F.col("row_idx") / f)).alias("row_idx"),
                          (p * F.col("_ncols") + F.col("col_idx")).alias("col_idx"),
