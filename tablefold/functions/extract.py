@@ -169,13 +169,17 @@ def extract_json_multi(c: Column, keys: list[str]) -> Column:
 def last_balanced_object(c: Column) -> Column:
     """Text of the last balanced ``{...}`` (nested braces allowed).
 
-    Walks back from the last ``}`` counting braces, as one ``aggregate`` over
-    the characters. NULL without a ``}``; the parse-error marker when the
-    braces never balance.
+    Walks back from the last ``}`` counting braces, as the reference does, but
+    over the brace characters only: the text is split on braces once, the walk
+    is one ``aggregate`` over the (short) brace list, and the start position
+    comes from the lengths of the pieces before the matching ``{``. NULL
+    without a ``}``; the parse-error marker when the braces never balance.
     """
     end = F.length(c) - F.locate("}", F.reverse(c)) + 1
     head = F.substring(c, F.lit(1), end)
-    chars = F.split(F.reverse(head), "")
+    braces = F.regexp_extract_all(head, F.lit(r"[{}]"), 0)
+    pieces = F.split(head, r"[{}]")
+    m = F.size(braces)
     init = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("found"))
 
     def step(acc, ch):
@@ -184,9 +188,13 @@ def last_balanced_object(c: Column) -> Column:
         found = F.when(acc["found"] > 0, acc["found"]).when((ch == "{") & (depth == 0), pos).otherwise(0)
         return F.struct(depth.alias("depth"), pos.alias("pos"), found.alias("found"))
 
-    found = F.aggregate(chars, init, step)["found"]
+    k = F.aggregate(F.reverse(braces), init, step)["found"]
+    j = m - k + 1                                   # index of the matching '{' among the braces
+    before = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(j, F.lit(1))), F.lit(0),
+                         lambda acc, p: acc + F.length(p))
+    start = before + j                              # 1-based position of that '{' in the text
     return (F.when(F.locate("}", c) == 0, F.lit(None))
-            .when(found > 0, F.substring(head, end - found + 1, found))
+            .when(k > 0, F.substring(head, start, end - start + 1))
             .otherwise(F.lit(V.PARSE_ERROR)))
 
 

@@ -25,6 +25,8 @@ class Ctx:
     gt: Column         # VARIANT truth
     meta: Column       # VARIANT metadata object
     comp: Column       # completion text
+    ts: Column | None = None   # set tasks: truth items (ARRAY<STRING>), computed once in a prep stage
+    ps: Column | None = None   # set tasks: answer items (ARRAY<STRING>)
 
 
 def _d(x) -> Column:
@@ -101,8 +103,13 @@ def _ed_pred(y: Column) -> Column:
             .otherwise(F.array()))
 
 
-def score_error_detect(c: Ctx) -> dict[str, Column]:
-    return prf(V.string_array(c.gt), _ed_pred(c.y))
+def prep_error_detect(c: Ctx) -> tuple[Column, Column]:
+    return V.string_array(c.gt), _ed_pred(c.y)
+
+
+def score_prf(c: Ctx) -> dict[str, Column]:
+    """Set tasks: precision / recall of the prepared item arrays."""
+    return prf(c.ts, c.ps)
 
 
 # E6 Entity-Matching -----------------------------------------------------------
@@ -142,28 +149,49 @@ def score_locate(c: Ctx) -> dict[str, Column]:
 
 
 # E9 Schema-Matching -----------------------------------------------------------
+def _dedup_last(ents: Column) -> Column:
+    """Keep the last entry per key (Python dict semantics), in first-seen key order."""
+    keys = F.transform(ents, lambda e: e["key"])
+    n = F.size(keys)
+    return F.transform(F.array_distinct(keys), lambda k: F.element_at(
+        ents, (n - F.array_position(F.reverse(keys), k) + 1).cast("int")))
+
+
+def _clean_entries(ents: Column) -> Column:
+    ents = F.transform(ents, lambda e: F.struct(
+        F.when(e["key"] == "nan", "None").otherwise(e["key"]).alias("key"),
+        F.when(e["value"] == "nan", "None").otherwise(e["value"]).alias("value")))
+    return F.filter(ents, lambda e: (F.length(e["value"]) > 0) & (e["key"] != "None") & (e["value"] != "None"))
+
+
 def _mapping_entries(v: Column) -> Column:
-    """Pairs of a mapping list -> deduplicated (last wins) array of struct(key, value)."""
+    """Pairs of a mapping list -> deduplicated (last wins) array of struct(key, value).
+
+    Fast path: one typed cast to ``array<array<string>>`` (JSON null -> 'None');
+    other shapes take the element-wise VARIANT path.
+    """
+    typed = F.try_variant_get(v, "$", "array<array<string>>")
+    fast = F.transform(F.filter(typed, lambda x: F.coalesce(F.size(x) == 2, F.lit(False))), lambda x: F.struct(
+        X.pystrip(F.coalesce(x[0], F.lit("None"))).alias("key"),
+        X.pystrip(F.coalesce(x[1], F.lit("None"))).alias("value")))
     arr = F.coalesce(_arr(v), F.array())
     pairs = F.filter(arr, lambda e: F.coalesce(F.size(_arr(e)) == 2, F.lit(False)))
-    ents = F.transform(pairs, lambda e: F.struct(
+    slow = F.transform(pairs, lambda e: F.struct(
         X.pystrip(V.py_str(F.element_at(_arr(e), 1))).alias("key"),
         X.pystrip(V.py_str(F.element_at(_arr(e), 2))).alias("value")))
-    ents = F.transform(ents, lambda e: F.struct(
-        F.when(e["key"] == "nan", "None").otherwise(e["key"]).alias("key"),
-        F.when(e["value"] == "nan", "None").otherwise(e["value"]).alias("value")))
-    ents = F.filter(ents, lambda e: (F.length(e["value"]) > 0) & (e["key"] != "None") & (e["value"] != "None"))
-    n = F.size(ents)
-    return F.filter(ents, lambda e, i: ~F.exists(F.slice(ents, i + 2, F.greatest(n - i - 1, F.lit(1))),
-                                                 lambda x: (x["key"] == e["key"])) | (i + 1 == n))
+    ents = F.when(typed.isNotNull(), fast).otherwise(slow)
+    return _dedup_last(_clean_entries(ents))
+
+
+def prep_schema_match(c: Ctx) -> tuple[Column, Column]:
+    enc = lambda ents: F.transform(ents, lambda e: F.concat(e["key"], F.lit("\u001f"), e["value"]))
+    return enc(_mapping_entries(c.gt)), enc(_mapping_entries(c.y))
 
 
 def score_schema_match(c: Ctx) -> dict[str, Column]:
-    t = _mapping_entries(c.gt)
-    p = _mapping_entries(c.y)
-    tmap = F.map_from_entries(t)
-    hits = F.size(F.filter(p, lambda e: F.coalesce(F.try_element_at(tmap, e["key"]) == e["value"], F.lit(False))))
-    nt, np_ = F.size(t), F.size(p)
+    # both sides hold one entry per key, so equal (key, value) items are the matching keys
+    hits = F.size(F.array_intersect(c.ts, c.ps))
+    nt, np_ = F.size(c.ts), F.size(c.ps)
     return {"recall": F.when(nt > 0, hits / nt).cast("double"),
             "precision": F.when(np_ > 0, hits / np_).cast("double")}
 
@@ -245,29 +273,38 @@ def score_header_match(c: Ctx) -> dict[str, Column]:
 
 # E17 semantic-join ------------------------------------------------------------
 def _pairs(v: Column) -> Column:
+    """Distinct (col1, col2) text pairs of a two-column answer; NULL when malformed or empty."""
+    typed = F.try_variant_get(v, "$", "array<array<string>>")
+    fast_ok = (F.size(typed) > 0) & F.forall(typed, lambda x: F.size(x) == 2)
+    fast = F.array_distinct(F.transform(typed, lambda x: F.struct(F.coalesce(x[0], F.lit("None")).alias("col1"),
+                                                                   F.coalesce(x[1], F.lit("None")).alias("col2"))))
     a = _arr(v)
 
     def two(e):
         k = V.kind(e)
-        vals = F.when(k == "array", _arr(e)).when(
+        return F.when(k == "array", _arr(e)).when(
             k == "object", F.map_values(F.try_variant_get(e, "$", "map<string,variant>")))
-        return vals
 
     ok = (F.size(a) > 0) & F.forall(a, lambda e: F.coalesce(F.size(two(e)) == 2, F.lit(False)))
-    return F.when(ok, F.array_distinct(F.transform(a, lambda e: F.struct(
+    slow = F.when(ok, F.array_distinct(F.transform(a, lambda e: F.struct(
         V.py_str(F.element_at(two(e), 1)).alias("col1"), V.py_str(F.element_at(two(e), 2)).alias("col2")))))
+    return F.when(typed.isNotNull(), F.when(fast_ok, fast)).otherwise(slow)
+
+
+def prep_semantic_join(c: Ctx) -> tuple[Column, Column]:
+    enc = lambda ps: F.transform(ps, lambda x: F.concat(x["col1"], F.lit("\u001f"), x["col2"]))
+    return enc(_pairs(c.gt)), enc(_pairs(c.y))
 
 
 def score_semantic_join(c: Ctx) -> dict[str, Column]:
-    t, p = _pairs(c.gt), _pairs(c.y)
-    valid = t.isNotNull() & p.isNotNull()
-    common = F.size(F.array_intersect(t, p))
-    return {"precision": F.when(valid, common / F.size(p)).cast("double"),
-            "recall": F.when(valid, common / F.size(t)).otherwise(F.lit(0.0)).cast("double")}
+    valid = c.ts.isNotNull() & c.ps.isNotNull()
+    common = F.size(F.array_intersect(c.ts, c.ps))
+    return {"precision": F.when(valid, common / F.size(c.ps)).cast("double"),
+            "recall": F.when(valid, common / F.size(c.ts)).otherwise(F.lit(0.0)).cast("double")}
 
 
 # E19 Arithmetic-Relationship --------------------------------------------------
-def score_arithmetic(c: Ctx) -> dict[str, Column]:
+def prep_arithmetic(c: Ctx) -> tuple[Column, Column]:
     universe = V.string_array(V.field(c.meta, "labeled_formulas"))
     k = V.kind(c.y)
     raw = (F.when(_is_marker(c.y) | (k == "null"), F.array())
@@ -276,7 +313,7 @@ def score_arithmetic(c: Ctx) -> dict[str, Column]:
            .otherwise(F.array()))
     cleaned = F.transform(raw, lambda x: F.regexp_replace(x, r"\s+", ""))
     kept = F.filter(cleaned, lambda x: F.coalesce(F.array_contains(universe, x), F.lit(False)))
-    return prf(V.string_array(c.gt), kept)
+    return V.string_array(c.gt), kept
 
 
 # E20 Functional-Dependency ----------------------------------------------------
@@ -284,13 +321,13 @@ def _tuple_text(e: Column) -> Column:
     return F.to_json(F.try_variant_get(e, "$", "array<variant>"))
 
 
-def score_fd(c: Ctx) -> dict[str, Column]:
+def prep_fd(c: Ctx) -> tuple[Column, Column]:
     universe = F.transform(_arr(V.field(c.meta, "labeled_fds")), _tuple_text)
     a = _arr(c.y)
     all_lists = F.forall(a, lambda e: V.kind(e) == "array")
     pred = F.when(all_lists, F.filter(F.transform(a, _tuple_text),
                                       lambda x: F.coalesce(F.array_contains(universe, x), F.lit(False))))
-    return prf(F.transform(_arr(c.gt), _tuple_text), F.coalesce(pred, F.array()))
+    return F.transform(_arr(c.gt), _tuple_text), F.coalesce(pred, F.array())
 
 
 # E21 String-Relationship ------------------------------------------------------
@@ -301,12 +338,12 @@ def _sr_item(e: Column) -> Column:
                               F.to_json(F.element_at(parts, 2)).alias("t")))
 
 
-def score_string_relation(c: Ctx) -> dict[str, Column]:
+def prep_string_relation(c: Ctx) -> tuple[Column, Column]:
     a = _arr(c.y)
     ok = F.forall(a, lambda e: F.coalesce((F.size(_arr(e)) == 2)
                                           & (V.kind(F.element_at(_arr(e), 1)) == "array"), F.lit(False)))
     pred = F.when(ok, F.transform(a, _sr_item))
-    return prf(F.transform(_arr(c.gt), _sr_item), F.coalesce(pred, F.array()))
+    return F.transform(_arr(c.gt), _sr_item), F.coalesce(pred, F.array())
 
 
 # E22-E24 annotation tasks -----------------------------------------------------
@@ -320,7 +357,7 @@ def score_equal(c: Ctx) -> dict[str, Column]:
 
 
 # E25 equi-join-detect ---------------------------------------------------------
-def score_equi_join(c: Ctx) -> dict[str, Column]:
+def prep_equi_join(c: Ctx) -> tuple[Column, Column]:
     def quad_pred(e):
         return F.to_json(F.array(*[F.coalesce(F.to_json(V.field(e, k)), F.lit("null"))
                                    for k in ("from_table", "from_column", "to_table", "to_column")]))
@@ -332,7 +369,7 @@ def score_equi_join(c: Ctx) -> dict[str, Column]:
     a = _arr(c.y)
     pred = F.when(F.forall(a, lambda e: V.kind(e) == "object"), F.transform(a, quad_pred))
     truth = F.filter(F.transform(_arr(c.gt), quad_truth), lambda x: x.isNotNull())
-    return prf(truth, F.coalesce(pred, F.array()))
+    return truth, F.coalesce(pred, F.array())
 
 
 # ---------------------------------------------------------------------------
@@ -347,30 +384,31 @@ class TaskSpec:
     scorer: Callable[[Ctx], dict]
     metric_kind: str          # acc | prf | prf_and | acc_pbe | acc_needle
     primary: str              # acc | f1
+    prep: Callable[[Ctx], tuple] | None = None   # set tasks: (truth items, answer items)
 
 
 REGISTRY: dict[str, TaskSpec] = {s.task: s for s in [
     TaskSpec("Table-QA", "answer", "first", score_tableqa, "acc", "acc"),
     TaskSpec("Table-Fact-Verification", "label", "first", score_lower_equal, "acc", "acc"),
-    TaskSpec("Error-Detect", "obvious_error", "first", score_error_detect, "prf", "f1"),
+    TaskSpec("Error-Detect", "obvious_error", "first", score_prf, "prf", "f1", prep_error_detect),
     TaskSpec("Entity-Matching", "label", "first", score_entity_match, "acc", "acc"),
     TaskSpec("Table-needle-in-a-haystack", ["row", "column"], "multi", score_needle, "acc_needle", "acc"),
     TaskSpec("Table-Locate-by-Row-Col", "cell", "first", score_locate, "acc", "acc"),
-    TaskSpec("Schema-Matching", "column_mappings", "first", score_schema_match, "prf_and", "f1"),
+    TaskSpec("Schema-Matching", "column_mappings", "first", score_schema_match, "prf_and", "f1", prep_schema_match),
     TaskSpec("Data-transform-reshape", None, "all", score_reshape, "acc", "acc"),
     TaskSpec("Data-Imputation", "value", "first", score_exact, "acc", "acc"),
     TaskSpec("List-to-table", "table", "first", score_list_to_table, "acc", "acc"),
     TaskSpec("Formula-prediction-context", "formula", "first", score_formula, "acc", "acc"),
     TaskSpec("semantic-transform", "output", "first", score_semantic_transform, "acc", "acc"),
-    TaskSpec("semantic-join", "output", "first", score_semantic_join, "prf", "f1"),
+    TaskSpec("semantic-join", "output", "first", score_semantic_join, "prf", "f1", prep_semantic_join),
     TaskSpec("header-value-matching", "column_headers", "first", score_header_match, "acc", "acc"),
-    TaskSpec("Arithmetic-Relationship", "Arithmetic-Relationship", "first", score_arithmetic, "prf", "f1"),
-    TaskSpec("Functional-Dependency", "Functional-Dependency", "first", score_fd, "prf", "f1"),
-    TaskSpec("String-Relationship", "String-Relationship", "first", score_string_relation, "prf", "f1"),
+    TaskSpec("Arithmetic-Relationship", "Arithmetic-Relationship", "first", score_prf, "prf", "f1", prep_arithmetic),
+    TaskSpec("Functional-Dependency", "Functional-Dependency", "first", score_prf, "prf", "f1", prep_fd),
+    TaskSpec("String-Relationship", "String-Relationship", "first", score_prf, "prf", "f1", prep_string_relation),
     TaskSpec("Cell-entity-annotation", "DBpedia entity", "first", score_entity_annotation, "acc", "acc"),
     TaskSpec("Column-type-annotation", "DBpedia ontology class", "first", score_equal, "acc", "acc"),
     TaskSpec("Columns-property-anotation", "DBpedia property", "first", score_equal, "acc", "acc"),
-    TaskSpec("equi-join-detect", "joins", "last", score_equi_join, "prf", "f1"),
+    TaskSpec("equi-join-detect", "joins", "last", score_prf, "prf", "f1", prep_equi_join),
 ]}
 
 # tasks scored by comparing produced tables (see operators.compare)

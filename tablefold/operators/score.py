@@ -149,10 +149,22 @@ def score_responses(responses: DataFrame, tasks: list[str] | None = None) -> Dat
     a = a.select("*", _by_task(specs, _truth, F.lit(None).cast("variant")).alias("_gt"),
                  F.coalesce(F.col("_y"), marker).alias("_yv"))
 
+    def ctx_of(spec, ts=None, ps=None):
+        return S.Ctx(y=F.col("_y") if spec.mode in ("multi", "all") else F.col("_yv"), found=F.col("_found"),
+                     gt=F.col("_gt"), meta=F.col("_meta"), comp=F.col("completion"), ts=ts, ps=ps)
+
+    # set tasks: truth and answer item arrays in their own projection, so the
+    # (interpreted) array lambdas run once per row however often scores use them
+    set_specs = [s for s in specs if s.prep is not None]
+    if set_specs:
+        empty = F.lit(None).cast("array<string>")
+        ts = _by_task(set_specs, lambda s: s.prep(ctx_of(s))[0], empty)
+        ps = _by_task(set_specs, lambda s: s.prep(ctx_of(s))[1], empty)
+        a = a.select("*", ts.alias("_ts"), ps.alias("_ps"))
+
     scores = {k: F.lit(None).cast("double") for k in SCORE_COLUMNS}
     for spec in specs:
-        ctx = S.Ctx(y=F.col("_y") if spec.mode in ("multi", "all") else F.col("_yv"), found=F.col("_found"),
-                    gt=F.col("_gt"), meta=F.col("_meta"), comp=F.col("completion"))
+        ctx = ctx_of(spec, F.col("_ts"), F.col("_ps")) if spec.prep is not None else ctx_of(spec)
         out = spec.scorer(ctx)
         for k in SCORE_COLUMNS:
             if k in out:
