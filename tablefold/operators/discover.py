@@ -8,6 +8,7 @@ map-side combining. Hot values only add to partial counts.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -124,27 +125,37 @@ def key_foreign_keys(tables: dict[str, DataFrame], min_containment: float = 1.0)
     Key side: a column whose values are unique and non-null. Pairs are only
     formed between columns with the same name suffix (``o_custkey`` ~
     ``c_custkey``): dense small integer keys make value overlap alone report
-    false joins. Containment = distinct fk values found among key values /
-    distinct fk values, by one join on (suffix, value) of distinct values.
+    false joins. Columns whose suffix occurs once are dropped before any data
+    is read (driver-side metadata). Containment = distinct fk values found among
+    key values / distinct fk values, by one join on (suffix, value) of distinct values.
     """
-    longs = []
+    typed = {t: [c for c, ty in df.dtypes if ty in ("int", "bigint", "string", "smallint")]
+             for t, df in tables.items()}
+    sfx_count: dict[str, int] = {}
+    for cols in typed.values():
+        for c in cols:
+            sfx_count[name_suffix(c)] = sfx_count.get(name_suffix(c), 0) + 1
+    longs, sizes = [], []
     for t, df in tables.items():
-        cols = [c for c, ty in df.dtypes if ty in ("int", "bigint", "string", "smallint")]
+        cols = [c for c in typed[t] if sfx_count[name_suffix(c)] > 1]
         if not cols:
             continue
-        df = spread(df.select(*cols)) if cols else df
+        d = spread(df.select(*cols))
+        # rows and non-null counts per column: one narrow aggregate per table
+        cnt = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols])
+        sizes.append(cnt.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tbl"), F.lit(c).alias("col"),
+                                                             F.col("n").alias("n"), F.col(c).alias("n_nonnull"))
+                                                    for c in cols])).alias("s")).select("s.*"))
         items = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(name_suffix(c)).alias("suffix"),
                                              F.col(c).cast("string").alias("value")) for c in cols]))
-        longs.append(df.select(items.alias("i")).select(F.lit(t).alias("tbl"), "i.*"))
-    long = longs[0]
-    for x in longs[1:]:
-        long = long.unionByName(x)
-    stats = long.groupBy("tbl", "col", "suffix").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("n_nonnull"),
-        F.count_distinct("value").alias("n_distinct"))
+        longs.append(d.select(items.alias("i")).select(F.lit(t).alias("tbl"), "i.*"))
+    long = reduce(lambda a, b: a.unionByName(b), longs)
+    size = reduce(lambda a, b: a.unionByName(b), sizes)
+    dv = long.filter(F.col("value").isNotNull()).distinct()
+    nd = dv.groupBy("tbl", "col").agg(F.count(F.lit(1)).alias("n_distinct"))
+    stats = size.join(nd, ["tbl", "col"], "left")
     keys = stats.filter((F.col("n") == F.col("n_nonnull")) & (F.col("n_distinct") == F.col("n"))) \
         .select(F.col("tbl").alias("pk_table"), F.col("col").alias("pk_column"))
-    dv = long.filter(F.col("value").isNotNull()).select("tbl", "col", "suffix", "value").distinct()
     # the key list has one row per key column of the input tables: a proven small size
     pkv = dv.join(F.broadcast(keys), (dv.tbl == keys.pk_table) & (dv.col == keys.pk_column)) \
         .select("pk_table", "pk_column", "suffix", "value")
@@ -152,9 +163,9 @@ def key_foreign_keys(tables: dict[str, DataFrame], min_containment: float = 1.0)
     hits = fkv.join(pkv, ["suffix", "value"]).filter(
         ~((F.col("fk_table") == F.col("pk_table")) & (F.col("fk_column") == F.col("pk_column"))))
     h = hits.groupBy("fk_table", "fk_column", "pk_table", "pk_column").agg(F.count(F.lit(1)).alias("n_hits"))
-    nd = stats.select(F.col("tbl").alias("fk_table"), F.col("col").alias("fk_column"),
+    fk_nd = nd.select(F.col("tbl").alias("fk_table"), F.col("col").alias("fk_column"),
                       F.col("n_distinct").alias("n_fk_distinct"))
-    out = h.join(nd, ["fk_table", "fk_column"]).withColumn(
+    out = h.join(fk_nd, ["fk_table", "fk_column"]).withColumn(
         "containment", (F.col("n_hits") / F.col("n_fk_distinct")).cast("double"))
     return out.filter(F.col("containment") >= min_containment)
 
