@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -29,17 +29,17 @@ READERS = {
 
 def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas",
                      encoding: str = "UTF-8", malformed_rows: int = 100) -> DataFrame:
-    """CSV files -> ``cells(case_path, table_name, row_idx, col_idx, col_name, value)``.
+    """CSV files -> ``cells(file_path, case_id, table_name, row_idx, col_idx, col_name, value)``.
 
     Every file is read as one whole-text record (case tables are small; the
     corpus is many files, so Spark parallelises over files). Lines are split,
-    posexploded for a stable ``row_idx`` and parsed with ``from_csv`` per line
+    posexploded for a stable ``row_idx`` and split on commas outside quotes
     -- header and width per file come from its own first line, so files of
     different shapes share one DataFrame. Empty cells are '' (never NULL).
     A file whose lines do not parse keeps its first ``malformed_rows`` rows (S5).
     """
     opts = READERS[reader]
-    raw = (spark.read.option("wholetext", True).option("encoding", encoding).text(path_glob)
+    raw = (spark.read.option("encoding", encoding).text(path_glob, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
     lines = raw.select(
         "file_path",
@@ -59,7 +59,7 @@ def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas"
     width = F.size("header")
     body = body.withColumn("ok", F.size("fields") == width)
     bad_file = F.max(F.when(~F.col("ok"), 1).otherwise(0)).over(
-        __import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("file_path"))
+        Window.partitionBy("file_path"))
     body = body.withColumn("_bad", bad_file).filter((F.col("_bad") == 0) | (F.col("row_idx") < malformed_rows))
     cells = body.select("file_path", "case_dir", "table_name", "row_idx",
                         F.posexplode(F.arrays_zip(F.col("header").alias("name"),
@@ -70,14 +70,14 @@ def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas"
     if opts.get("index"):
         # S3: column 0 is the row label, the others shift left by one
         out = out.withColumn("row_label", F.first(F.when(F.col("col_idx") == 0, F.col("value")), True).over(
-            __import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("file_path", "row_idx")))
+            Window.partitionBy("file_path", "row_idx")))
         out = out.filter(F.col("col_idx") > 0).withColumn("col_idx", F.col("col_idx") - 1)
     return out
 
 
 def read_case_infos(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<dataset>/<case>/info.json`` -> cases(dataset, case_id, case_path, info)."""
-    raw = spark.read.option("wholetext", True).text(os.path.join(root, "*", "*", "info.json"))
+    raw = spark.read.text(os.path.join(root, "*", "*", "info.json"), wholetext=True)
     path = F.col("_metadata.file_path")
     return raw.select(
         F.regexp_extract(path, r"([^/]+)/[^/]+/info\.json$", 1).alias("dataset"),
