@@ -1,8 +1,9 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is executed in full with the ``noop`` sink (every row computed,
-nothing collected to the driver). The first run of a query warms the JVM and
-Python workers and is not timed.
+nothing collected to the driver). Every query first runs once on the smallest
+data set (sf0.001) so code generation, JIT and Python worker start-up are paid
+before timing; the timed run measures steady-state work at the target scale.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")))
-    run(QUERIES["token_counts"](spark, sf_dir))   # warm-up (JVM, Python workers)
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    for name in names:
+        run(QUERIES[name](spark, warm_dir))      # warm-up: codegen, JIT, Python workers
     times = {}
     for name in names:
         t0 = time.time()

@@ -130,6 +130,20 @@ def fallback_all(cands: pd.Series) -> pd.Series:
 
 
 # X4 ------------------------------------------------------------------------
+def parse_candidate(c: Column) -> Column:
+    """VARIANT of a candidate object: JSON first, then the simple Python-literal form.
+
+    A candidate without double quotes, backslashes or True/False/None that only
+    fails JSON because of single quotes means the same after swapping the quote
+    characters (strings, numbers, lists and string-keyed dicts). Anything else
+    that fails JSON stays NULL here and goes to the Python second chance.
+    """
+    simple = (~c.contains('"') & ~c.contains("\\") & ~c.contains("True") & ~c.contains("False")
+              & ~c.contains("None"))
+    swapped = F.when(simple & c.contains("'"), F.replace(c, F.lit("'"), F.lit('"')))
+    return F.coalesce(V.json_variant(c), V.json_variant(swapped))
+
+
 def _first_true(flags: Column) -> Column:
     return F.array_position(flags, F.lit(True))
 
@@ -142,7 +156,7 @@ def json_answer_from_candidates(cands: Column, key: str) -> Column:
     Python second chance, which then decides the whole row as the reference
     would. NULL when no candidate holds the key.
     """
-    parsed = F.transform(cands, lambda c: V.json_variant(c))
+    parsed = F.transform(cands, lambda c: parse_candidate(c))
     has_key = F.transform(parsed, lambda p: p.isNotNull() & V.field(p, key).isNotNull()
                           & F.schema_of_variant(p).startswith("OBJECT"))
     bad = F.transform(parsed, lambda p: p.isNull())
@@ -209,7 +223,7 @@ def extract_last_json(c: Column, key: str, think: bool = True) -> Column:
 def extract_all_json(c: Column) -> Column:
     """Every flat object that parses, as a VARIANT array; NULL if none (no think strip)."""
     cands = F.regexp_extract_all(c, F.lit(FLAT_OBJECT_PATTERN), 0)
-    parsed = F.transform(cands, lambda x: V.json_variant(x))
+    parsed = F.transform(cands, lambda x: parse_candidate(x))
     any_bad = F.exists(parsed, lambda p: p.isNull())
     ok_text = F.concat(F.lit("["), F.array_join(F.transform(parsed, lambda p: F.to_json(p)), ","), F.lit("]"))
     spark_json = F.when(F.size(cands) > 0, ok_text)

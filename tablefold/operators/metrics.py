@@ -21,12 +21,16 @@ def size_rank(c: Column) -> Column:
     return F.when(c == "small", 0).when(c == "medium", 1).when(c == "large", 2)
 
 
-def _drop_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    # pandas groupby drops NULL keys (ledger L13)
+def _keyed_agg(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
+    """groupBy + agg, then drop groups with a NULL key (pandas groupby drops them, ledger L13).
+
+    Filtering the groups after aggregating keeps the filter from being pushed
+    below the scoring projections (where it would rebuild the key columns).
+    """
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return df.filter(cond)
+    return df.groupBy(*keys).agg(*aggs).filter(cond)
 
 
 def f1_of(prec: Column, rec: Column, variant: str = "or") -> Column:
@@ -47,13 +51,12 @@ def group_accuracy(scored: DataFrame, keys: list[str] = GROUP_KEYS, extra: bool
     if extra:
         aggs += [F.avg("correct_example").alias("acc_example"), F.avg("row_correct").alias("row_acc"),
                  F.avg("col_correct").alias("col_acc")]
-    return _drop_null_keys(scored, keys).groupBy(*keys).agg(*aggs)
+    return _keyed_agg(scored, keys, *aggs)
 
 
 # A3 / A4 -------------------------------------------------------------------
 def group_prf(scored: DataFrame, keys: list[str] = GROUP_KEYS, variant: str = "or") -> DataFrame:
-    g = _drop_null_keys(scored, keys).groupBy(*keys).agg(
-        F.avg("precision").alias("prec"), F.avg("recall").alias("recall"))
+    g = _keyed_agg(scored, keys, F.avg("precision").alias("prec"), F.avg("recall").alias("recall"))
     return g.withColumn("f1", f1_of(F.col("prec"), F.col("recall"), variant))
 
 
@@ -64,7 +67,8 @@ def group_metrics(scored: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFrame:
     registry (J4) by a small literal map -- no join needed.
     """
     k = ["task"] + keys
-    g = _drop_null_keys(scored, k).groupBy(*k).agg(
+    g = _keyed_agg(
+        scored, k,
         F.avg("correct").alias("acc"),
         F.avg("correct_example").alias("acc_example"),
         F.avg("row_correct").alias("row_acc"),
@@ -165,11 +169,11 @@ def error_counts(scored: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFrame:
     """A10: one column per error class (fixed list, so no extra pass to find values)."""
     from tablefold.functions.extract import ERROR_CLASSES
     aggs = [F.count_if(F.col("error") == e).alias(e) for e in ERROR_CLASSES]
-    return _drop_null_keys(scored, keys).groupBy(*keys).agg(*aggs)
+    return _keyed_agg(scored, keys, *aggs)
 
 
 def error_count_long(scored: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFrame:
-    return _drop_null_keys(scored, keys).groupBy(*keys, "error").agg(F.count(F.lit(1)).alias("count"))
+    return _keyed_agg(scored, keys + ["error"], F.count(F.lit(1)).alias("count"))
 
 
 # A11 -----------------------------------------------------------------------
@@ -181,8 +185,7 @@ def group_details(scored: DataFrame, keys: list[str] = GROUP_KEYS, cols: list[st
     """
     cols = cols or ["test_case", "y_pred", "y_gt", "correct", "error"]
     ordered = [order_by] + [c for c in cols if c != order_by]
-    return _drop_null_keys(scored, keys).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*ordered))).alias("rows"))
+    return _keyed_agg(scored, keys, F.array_sort(F.collect_list(F.struct(*ordered))).alias("rows"))
 
 
 # A16 / A17 / A18 -----------------------------------------------------------

@@ -85,7 +85,7 @@ def extract_answers(df: DataFrame, specs: list[S.TaskSpec]) -> DataFrame:
                     else F.array().cast("array<string>"), F.array().cast("array<string>"))
     s1 = df.select("*", cands.alias("_cands"), keys.alias("_keys"), task.isin(modes["all"]).alias("_is_all"))
 
-    s2 = s1.select("*", F.transform("_cands", lambda c: F.try_parse_json(c)).alias("_parsed"))
+    s2 = s1.select("*", F.transform("_cands", lambda c: X.parse_candidate(c)).alias("_parsed"))
     s3 = s2.select(
         "*",
         F.transform("_parsed", lambda p: F.try_variant_get(p, "$", "map<string,variant>")).alias("_maps"),
