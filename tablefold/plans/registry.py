@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tablefold.plans import base
-from tablefold.plans import compare, corpus, discovery, matching, reshaping, streams, tables, tools  # noqa: F401  (register on import)
+from tablefold.plans import (compare, corpus, discovery, matching, reshaping, streams, tables,  # noqa: F401
+                             tools, transforms)
 from tablefold.plans import oracle as O
 from tablefold.plans import scoring as SC
 
