@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tablefold.functions import extract as X
 from tablefold.functions import scorers as S
 from tablefold.functions import values as V
-from tablefold.session import spread
+from tablefold.session import ship_package, spread
 
 SCORE_COLUMNS = ["correct", "correct_example", "row_correct", "col_correct", "precision", "recall"]
 META_KEYS = ["dataset", "tag", "note", "version", "test_case"]
@@ -134,6 +134,7 @@ def score_responses(responses: DataFrame, tasks: list[str] | None = None) -> Dat
     Only the task branches named in ``tasks`` (default: all text-scored tasks)
     are built; rows of other tasks keep NULL scores.
     """
+    ship_package(responses.sparkSession)
     responses = spread(responses)
     cols = set(responses.columns)
     task = F.coalesce(F.col("task"), X.metadata_field(F.col("metadata"), "task")) if "task" in cols \

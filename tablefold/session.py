@@ -92,3 +92,32 @@ def spread(df):
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablefold`` importable in Python workers (for the Arrow UDFs): zip the package
+    into the shared checkpoint folder once per SparkContext and ``addPyFile`` it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.join(_PKG_ROOT, "tablefold")
+    target = scratch_path(spark, f"tablefold-{key}.zip")
+    if "://" in target:          # a remote checkpoint folder: stage the zip on the driver instead
+        local = tempfile.mkstemp(suffix=".zip")[1]
+    else:
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        local = target
+    with zipfile.ZipFile(local, "w") as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, _PKG_ROOT))
+    sc.addPyFile(local)
+    _SHIPPED.add(key)
