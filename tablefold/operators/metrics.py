@@ -24,13 +24,16 @@ def size_rank(c: Column) -> Column:
 def _keyed_agg(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
     """groupBy + agg, then drop groups with a NULL key (pandas groupby drops them, ledger L13).
 
-    Filtering the groups after aggregating keeps the filter from being pushed
-    below the scoring projections (where it would rebuild the key columns).
+    The test is an aggregate output (``bool_and`` of the key checks, constant
+    within a group), not a predicate on the grouping keys: a key predicate
+    would be pushed below the aggregate and the scoring projections, into the
+    scan, where it would rebuild the key columns.
     """
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return df.groupBy(*keys).agg(*aggs).filter(cond)
+    g = df.groupBy(*keys).agg(*aggs, F.bool_and(cond).alias("_keys_ok"))
+    return g.filter(F.col("_keys_ok")).drop("_keys_ok")
 
 
 def f1_of(prec: Column, rec: Column, variant: str = "or") -> Column:
