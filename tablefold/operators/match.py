@@ -93,3 +93,13 @@ def unique_cells(cells: DataFrame) -> DataFrame:
     counts = cells.groupBy("case_id", "table_name", "value").agg(F.count(F.lit(1)).alias("_n"))
     return cells.join(counts.filter(F.col("_n") == 1).drop("_n"), ["case_id", "table_name", "value"]) \
         .select("case_id", "table_name", "row_idx", "col_idx", "col_name", "value")
+
+
+# D12 -----------------------------------------------------------------------
+def needle_positions(cells: DataFrame, step: int = 5) -> DataFrame:
+    """One needle position per (row bin, column bin) of every table -- the first cell of
+    the bin (smallest row, then column). A ``min`` over structs: combined map-side, no sort."""
+    g = cells.groupBy("case_id", "table_name", F.floor(F.col("row_idx") / step).cast("int").alias("row_bin"),
+                      F.floor(F.col("col_idx") / step).cast("int").alias("col_bin")).agg(
+        F.min(F.struct("row_idx", "col_idx", "col_name", "value")).alias("c"))
+    return g.select("case_id", "table_name", "row_bin", "col_bin", "c.row_idx", "c.col_idx", "c.col_name", "c.value")

@@ -143,3 +143,12 @@ def q_region_mapping(spark, sf_dir):
     mp = CL.learn_mapping(ex, "n_regionkey", "r_name")
     test = n.filter(F.col("n_nationkey") % 2 == 1).select("n_nationkey", "n_regionkey")
     return CL.apply_mapping(test, mp, "n_regionkey", "r_name").select("n_nationkey", "n_regionkey", "mapped")
+
+
+@register("needle_positions", f4("""x AS (SELECT *, CAST(floor(row_idx / 2) AS INTEGER) AS row_bin,
+    CAST(floor(col_idx / 2) AS INTEGER) AS col_bin FROM cells),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id, table_name, row_bin, col_bin ORDER BY row_idx, col_idx) AS rn FROM x)
+SELECT case_id, table_name, row_bin, col_bin, row_idx, col_idx, col_name, value FROM r WHERE rn = 1"""))
+def q_needle_positions(spark, sf_dir):
+    """One needle cell per 2x2 block of every order's table."""
+    return MT.needle_positions(C.lineitem_cells(spark, sf_dir), step=2)
