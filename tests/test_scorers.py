@@ -27,6 +27,10 @@ CASES = [
     ("Table-Fact-Verification", "yes", "{'label': 'Yes'}", "correct", 1.0),
     ("Table-Fact-Verification", "yes", '<think>{"label": "no"}</think>{"label": "yes"}', "correct", 1.0),
     ("Table-Fact-Verification", "yes", 'x <think>{"label": "no"}</think>', "correct", 0.0),
+    # literals the JVM cannot take (True / None) go to the Python second chance
+    ("Table-Fact-Verification", True, "{'label': True}", "correct", 1.0),
+    ("Table-Fact-Verification", "yes", "{'label': 'yes', 'why': None}", "correct", 1.0),
+    ("Table-Fact-Verification", "yes", "{'label': 'no'} {'label': 'yes'}", "correct", 0.0),
     # Entity-Matching
     ("Entity-Matching", 1, '{"label": "match"}', "correct", 1.0),
     ("Entity-Matching", 0, '{"label": "match"}', "correct", 0.0),
