@@ -43,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` bucketed by ``key`` under the shared checkpoint folder: joins on the key don't move it again."""
+    spark = df.sparkSession
+    n = shuffle_partitions(spark)
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "tablefold-llm", spark.sparkContext.applicationId, table)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -143,30 +153,35 @@ def word_blocks(texts, lower: bool = False):
 # key exchange: (key, owner) entries to the task that owns the key's bucket
 # ---------------------------------------------------------------------------
 KEYED = "bucket int, payload binary"
-OWNED = "doc_id long, keys binary"
+GROUPED = "grp int, payload binary"
 
 
-def pack(keys: np.ndarray, owners: np.ndarray) -> bytes:
-    """Entries as bytes, by owner; owners as 32-bit steps where they fit, which the shuffle compresses."""
+def pack(keys: np.ndarray, owners: np.ndarray, width: int = 8) -> bytes:
+    """Entries as bytes, by owner; owners as steps of the fewest bytes that hold them.
+
+    Of the keys the lowest ``width`` bytes are kept (fewer where matches are verified later on).
+    """
     order = np.argsort(owners, kind="stable")
     keys, owners = keys[order], owners[order]
     steps = np.diff(owners)
-    if len(steps) == 0 or (steps.max() < 1 << 31 and steps.min() >= 0):
-        head, rest = b"\1", np.concatenate([[0], steps]).astype(np.uint32).tobytes()
-    else:
-        head, rest = b"\0", owners.tobytes()
-    return head + len(keys).to_bytes(8, "little") + int(owners[0]).to_bytes(8, "little", signed=True) + rest + keys.tobytes()
+    most = int(steps.max()) if len(steps) and steps.min() >= 0 else (0 if not len(steps) else -1)
+    size = next((w for w, top in ((1, 1 << 8), (2, 1 << 16), (4, 1 << 32)) if 0 <= most < top), 0)
+    head = bytes([size, width]) + len(keys).to_bytes(8, "little") + int(owners[0]).to_bytes(8, "little", signed=True)
+    rest = np.concatenate([[0], steps]).astype(f"<u{size}").tobytes() if size else owners.tobytes()
+    return head + rest + np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[1:9], "little")
-    at = 17 + n * (4 if blob[:1] == b"\1" else 8)
-    if blob[:1] == b"\1":
-        first = int.from_bytes(blob[9:17], "little", signed=True)
-        owners = first + np.cumsum(np.frombuffer(blob[17:at], np.uint32).astype(np.int64))
+    size, width, n = blob[0], blob[1], int.from_bytes(blob[2:10], "little")
+    at = 18 + n * (size or 8)
+    if size:
+        first = int.from_bytes(blob[10:18], "little", signed=True)
+        owners = first + np.cumsum(np.frombuffer(blob[18:at], f"<u{size}").astype(np.int64))
     else:
-        owners = np.frombuffer(blob[17:at], np.int64)
-    return np.frombuffer(blob[at:], np.uint64), owners
+        owners = np.frombuffer(blob[18:at], np.int64)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :width] = np.frombuffer(blob[at:], np.uint8).reshape(n, width)
+    return keys.reshape(-1).view("<u8"), owners
 
 
 def by_key(keys: np.ndarray, owners: np.ndarray):
@@ -182,15 +197,27 @@ def by_key(keys: np.ndarray, owners: np.ndarray):
     return keys, owners, np.repeat(owners[starts], sizes), np.repeat(owners[starts + sizes - 1], sizes)
 
 
-def owned(keys: np.ndarray, owners: np.ndarray):
-    """Entries as an Arrow batch of one row for each owner: its keys as bytes."""
-    order = np.argsort(owners, kind="stable")
-    keys, owners = keys[order], owners[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]])) if len(owners) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(owners))
-    blobs = [keys[a:b].tobytes() for a, b in zip(cuts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(owners[cuts], pa.int64()), pa.array(blobs, pa.binary())],
-                                      ["doc_id", "keys"])
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (ids ^ (ids >> 17)) % groups
+
+
+def group_column(spark: SparkSession, name: str = "doc_id"):
+    """The group of an id as ``group_of`` has it; null ids are in group 0."""
+    return F.coalesce(F.expr(f"pmod({name} ^ shiftright({name}, 17), {groups_of(spark)}L)"), F.lit(0)).cast("int")
+
+
+def groups_of(spark: SparkSession) -> int:
+    return shuffle_partitions(spark) | 1
+
+
+def grouped(keys: np.ndarray, owners: np.ndarray, groups: int):
+    """Entries as an Arrow batch of one row for each group of owners."""
+    grp = group_of(owners, groups)
+    order = np.argsort(grp, kind="stable")
+    keys, owners, grp = keys[order], owners[order], grp[order]
+    cuts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])) if len(grp) else np.zeros(0, int)
+    blobs = [pack(keys[a:b], owners[a:b]) for a, b in zip(cuts, [*cuts[1:], len(grp)])]
+    return pa.RecordBatch.from_arrays([pa.array(grp[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["grp", "payload"])
 
 
 class Sender:
@@ -202,8 +229,8 @@ class Sender:
     task. Found entries go as bucket -1 - b, which the receiving side passes on.
     """
 
-    def __init__(self, bits: int, settle):
-        self.bits, self.settle = bits, settle
+    def __init__(self, bits: int, settle, width: int = 8):
+        self.bits, self.settle, self.width = bits, settle, width
         self.keys: list[np.ndarray] = []
         self.owners: list[np.ndarray] = []
         self.n = 0
@@ -229,7 +256,7 @@ class Sender:
             bucket = (k >> shift).astype(np.int64)          # keys are in order, so buckets are runs
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(k) else []
             for a, b in zip(cuts, [*cuts[1:], len(k)]):
-                rows.append((int(-1 - bucket[a]) if sign else int(bucket[a]), pack(k[a:b], o[a:b])))
+                rows.append((int(-1 - bucket[a]) if sign else int(bucket[a]), pack(k[a:b], o[a:b], self.width)))
         for lo in range(0, len(rows), 64):
             part = rows[lo:lo + 64]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()),
@@ -237,36 +264,86 @@ class Sender:
 
 
 def exchange(sent: DataFrame, settle) -> DataFrame:
-    """Bring each bucket's entries together and keep those that ``settle`` finds, grouped by owner.
+    """Bring each bucket's entries together and keep those that ``settle`` finds: (grp, payload).
 
     A task holds one bucket at a time; there are several buckets to a partition, and their number
-    follows ``spark.sql.shuffle.partitions``, which has to grow with the data.
+    follows ``spark.sql.shuffle.partitions``, which has to grow with the data. Found entries come
+    out in blobs for groups of owners, see ``with_found``.
     """
+    groups = groups_of(sent.sparkSession)
+
     def receive(batches):
         held, keys, owners = None, [], []
+        found_k, found_o, n = [], [], 0
 
-        def emit():
+        def settled():
             if keys:
                 k, o, first, last = by_key(np.concatenate(keys), np.concatenate(owners))
                 found = settle(first, last, o)
-                if found.any():
-                    yield owned(k[found], o[found])
+                found_k.append(k[found])
+                found_o.append(o[found])
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 k, o = unpack(blob.as_py())
                 if bucket < 0:
-                    yield owned(k, o)
-                    continue
-                if bucket != held:
-                    yield from emit()
-                    held, keys, owners = bucket, [], []
-                keys.append(k)
-                owners.append(o)
-        yield from emit()
+                    found_k.append(k)
+                    found_o.append(o)
+                else:
+                    if bucket != held:
+                        settled()
+                        held, keys, owners = bucket, [], []
+                    keys.append(k)
+                    owners.append(o)
+                n = sum(map(len, found_k))
+                if n >= FLUSH_ENTRIES:
+                    yield grouped(np.concatenate(found_k), np.concatenate(found_o), groups)
+                    found_k, found_o = [], []
+        settled()
+        if sum(map(len, found_k)):
+            yield grouped(np.concatenate(found_k), np.concatenate(found_o), groups)
 
     n = shuffle_partitions(sent.sparkSession)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, OWNED)
+    return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, GROUPED)
+
+
+def with_found(docs: DataFrame, found: DataFrame, handle, schema: str) -> DataFrame:
+    """Run ``handle(batch of docs, keys, owners)`` with the found entries of the documents' group.
+
+    Documents (doc_id, text) and found entries are dealt by group and sorted so that a group's
+    entries come before its documents; a task holds the entries of one group and streams the
+    documents past them. Owners ascend, and a document's keys are a slice of them.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(group_column(spark).alias("grp"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("payload"))
+    blobs = found.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "payload")
+    both = rows.union(blobs).repartition(shuffle_partitions(spark), "grp").sortWithinPartitions("grp", "kind")
+
+    def stream(batches):
+        held, parts = None, []
+        keys, owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (kind[1:] != kind[:-1])]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(grp)]):
+                if grp[a] != held:
+                    held, parts = grp[a], []
+                    keys, owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if kind[a] == 0:
+                    parts += [unpack(x.as_py()) for x in batch.column(4).slice(a, b - a)]
+                    continue
+                if parts:
+                    keys, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    order = np.argsort(owners, kind="stable")
+                    keys, owners, parts = keys[order], owners[order], []
+                yield from handle(batch.slice(a, b - a), keys, owners)
+
+    def columns(batches):
+        yield from stream(batches)
+
+    return both.mapInArrow(columns, schema)
 
 
 def bucket_bits(spark: SparkSession) -> int:

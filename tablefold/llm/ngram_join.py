@@ -38,8 +38,10 @@ from tablefold.llm import common as C
 SHINGLE = 5
 PERCENT = 80              # linked when 100 * intersection >= PERCENT * union
 BAND_RATIO = 1.4
-PIVOT_ROUNDS = 2
-CHANCE_COST = 120.0       # cost of verifying a chance match, in index entries
+PIVOT_ROUNDS = 3
+PIVOT_KEYS = 8            # pivot rounds look at one key in so many
+CHANCE_COST = 40.0        # cost of verifying a chance match, in index entries
+WIDTH = 5                 # bytes of a key that travel, besides those of its bucket; matches are verified
 
 
 # ---------------------------------------------------------------------------
@@ -71,19 +73,21 @@ def schemes(largest: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
 
 
 def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least).
+    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least, held, per).
 
-    ``least``: a similar set shares at least so many keys of the scheme with this one. Segments that
-    differ by more than their threshold use up H, so the usable ones that remain must match.
+    ``held`` is what the set's usable segments add up to (a segment of threshold 1 counts ``per`` = 2).
+    Segments that differ by more than their threshold use up what two sets may differ by, so a
+    similar set shares at least ``(held - differ) / per`` keys of the scheme; ``least`` is that for the
+    largest partner of the set.
     """
     largest = int(sizes.max()) if len(sizes) else 0
     if largest == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
     lo, hi, reach, differ, segments, ones = schemes(1 << max(6, largest.bit_length()), percent)
     band = np.searchsorted(lo, sizes, "right") - 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
     value = C.mix(tokens ^ np.uint64(0xD6E8FEB86659FD93))
-    keys_out, sets_out, least_out = [], [], []
+    keys_out, sets_out, more_out = [], [], []
     for back in range(len(lo)):
         scheme = band - back
         sets = np.flatnonzero((scheme >= 0) & (sizes > 0) & (sizes <= reach[np.maximum(scheme, 0)]) &
@@ -109,16 +113,17 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         # usable segments: threshold 0 with any token, threshold 1 with two at least
         weight = np.where(one, np.where(size > 1, 2, 0), 1)
         held = np.bincount(c_own, weight, len(sets)).astype(np.int64)
-        spare = held - differ[sch]
-        least = np.maximum(1, np.where(ones[sch] > 0, (spare + 1) // 2, spare))
+        spare = held - (n + np.minimum(reach[sch], n * 100 // percent)) * (100 - percent) // (100 + percent)
+        per = np.where(ones[sch] > 0, 2, 1)
+        more = np.stack([np.maximum(1, -(-spare // per)), held, per])
         keys_out.append(C.mix(sums + tag))
         sets_out.append(sets[c_own])
-        least_out.append(least[c_own])
+        more_out.append(more[:, c_own])
         cell = np.cumsum(new) - 1
         cut_one = one[cell] & (size[cell] > 1)                              # one-deletion neighbours
         keys_out.append(C.mix(sums[cell[cut_one]] - v[cut_one] + tag[cell[cut_one]]))
         sets_out.append(sets[own[cut_one]])
-        least_out.append(least[own[cut_one]])
+        more_out.append(more[:, own[cut_one]])
         for k in np.flatnonzero(spare <= 0):                       # rare: index empty subsets too
             s = int(sch[k])
             mine = c_own == k
@@ -127,10 +132,10 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
             t = C.mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(s + 1))
             keys_out.append(C.mix(t ^ np.uint64(0xA0761D6478BD642F)))
             sets_out.append(np.full(len(empty), sets[k]))
-            least_out.append(np.ones(len(empty), np.int64))
+            more_out.append(np.repeat(more[:, k:k + 1], len(empty), axis=1))
     if not keys_out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys_out), np.concatenate(sets_out), np.concatenate(least_out)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+    return (np.concatenate(keys_out), np.concatenate(sets_out), *np.concatenate(more_out, axis=1))
 
 
 def block_sets(words: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,48 +168,87 @@ def block_sets(words: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------------------
 # the operator
 # ---------------------------------------------------------------------------
-def shingle_sets(docs: DataFrame, k: int = SHINGLE, arrays: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, node [, tokens]): node identifies the set (hash of its sum and size)."""
+def needed(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least number of index keys, over its schemes, that it shares with a similar one."""
+    _, row, least, _, _ = index_keys(tokens, sizes, percent)
+    out = np.full(len(sizes), np.iinfo(np.int64).max)
+    np.minimum.at(out, row, least)
+    return out
+
+
+def nodes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each set, from its tokens and size; 0 for the empty set."""
+    node = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        cut = (np.cumsum(sizes) - sizes)[full]
+        node[full] = C.mix(np.add.reduceat(C.mix(tokens), cut) + sizes[full].astype(np.uint64))
+    return node.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, node, need) of every row; need: index keys it shares with a similar set at least."""
     def sets(batches):
         for batch in batches:
-            ids = batch.column(0)
             for w in C.word_blocks(batch.column(1), lower=True):
                 tokens, sizes = block_sets(w, k)
-                node = np.zeros(len(sizes), np.uint64)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    cuts = (np.cumsum(sizes) - sizes)[full]
-                    node[full] = C.mix(np.add.reduceat(C.mix(tokens), cuts) + sizes[full].astype(np.uint64))
-                cols = [ids.slice(w.lo, w.hi - w.lo), pa.array(sizes, pa.int64()), pa.array(node.view(np.int64), pa.int64())]
-                names = ["doc_id", "n_shingles", "node"]
-                if arrays:
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64), pa.int64())))
-                    names.append("tokens")
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = "doc_id long, n_shingles long, node long" + (", tokens array<long>" if arrays else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(sets, schema)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(sizes, pa.int64()), pa.array(nodes(tokens, sizes)),
+                     pa.array(needed(tokens, sizes, percent), pa.int64())], ["doc_id", "n_shingles", "node", "need"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n_shingles long, node long, need long")
+
+
+def token_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, tokens) of every row."""
+    def sets(batches):
+        for batch in batches:
+            for w in C.word_blocks(batch.column(1), lower=True):
+                tokens, sizes = block_sets(w, k)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes(tokens, sizes)), pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64)))],
+                                                 ["node", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(sets, "node long, tokens array<long>")
 
 
 def met(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id of the documents that share an index key with another one."""
+    """(doc_id, hits): documents that share index keys with others, and how many of their keys."""
     bits = C.bucket_bits(docs.sparkSession)
 
     def settle(first, last, owner):
         return first != last
 
     def send(batches):
-        out = C.Sender(bits, settle)
+        out = C.Sender(bits, settle, WIDTH)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in C.word_blocks(batch.column(1), lower=True):
-                keys, row, _ = index_keys(*block_sets(w, k), percent)
+                keys, row, *_ = index_keys(*block_sets(w, k), percent)
                 yield from out.add(keys, ids[w.lo:w.hi][row])
         yield from out.flush()
 
+    def count(batches):
+        held, parts = None, []
+
+        def counted():
+            ids, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "hits"])
+
+        for batch in batches:
+            for grp, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if grp != held and parts:
+                    yield counted()
+                    parts = []
+                held = grp
+                parts.append(C.unpack(blob.as_py())[1])
+        if parts:
+            yield counted()
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id IS NOT NULL")
-    return C.exchange(rows.mapInArrow(send, C.KEYED), settle).select("doc_id").distinct()
+    found = C.exchange(rows.mapInArrow(send, C.KEYED), settle)
+    return (found.repartition(C.shuffle_partitions(docs.sparkSession), "grp").sortWithinPartitions("grp")
+            .mapInArrow(count, "doc_id long, hits long"))
 
 
 def linked(a: str, b: str, percent: int):
@@ -219,42 +263,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked("ta", "tb", percent).alias("ok"))
 
 
-def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of all nodes that are linked, from ``sets`` (node, tokens), one row a set."""
+def index_rows(sets: DataFrame, percent: int, part: int = 1) -> DataFrame:
+    """(key, node, comp, n, held, per) of sets (node, comp, tokens); with ``part`` one key in so many."""
     def index(batches):
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            tokens = batch.column(1)
+            nodes, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            tokens = batch.column(2)
             for lo in range(0, len(nodes), 500):
-                part = tokens.slice(lo, 500)
-                sizes = np.diff(part.offsets.to_numpy())
-                keys, row, least = index_keys(part.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[lo:lo + 500][row]), pa.array(least)],
-                                                 ["key", "node", "least"])
-
-    def still_open(lists: DataFrame) -> DataFrame:
-        keys = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return lists.join(keys, "key")
-
-    index_rows = sets.select("node", "tokens").mapInArrow(index, "key long, node long, least long").withColumn("comp", F.col("node"))
-    rows = C.written(still_open(index_rows), "ngram-index")
+                some = tokens.slice(lo, 500)
+                sizes = np.diff(some.offsets.to_numpy())
+                keys, row, _, held, per = index_keys(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
+                take = keys % np.uint64(part) == 0
+                row = row[take]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(nodes[lo:lo + 500][row]),
+                                                  pa.array(comps[lo:lo + 500][row]), pa.array(sizes[row], pa.int64()),
+                                                  pa.array(held[take], pa.int64()), pa.array(per[take], pa.int64())], names)
+
+    names = ["key", "node", "comp", "n", "held", "per"]
+    return sets.select("node", "comp", "tokens").mapInArrow(index, ", ".join(f"{x} long" for x in names))
+
+
+def still_open(lists: DataFrame) -> DataFrame:
+    """Rows of the keys whose nodes are in two components at least."""
+    keys = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return lists.join(keys, "key")
+
+
+def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of all nodes that are linked, from ``sets`` (node, tokens), one row a set."""
+    some = C.written(still_open(index_rows(sets.withColumn("comp", F.col("node")), percent, PIVOT_KEYS)), "ngram-pivots")
     tested = comp = None
     for round_no in range(PIVOT_ROUNDS + 1):
-        lists = rows
-        if comp is not None:
-            lists = rows.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
-            lists = still_open(lists.withColumn("comp", F.coalesce("comp", "node")))
         if round_no < PIVOT_ROUNDS:        # against the first and the last of a random order that the round sets
-            rank = F.struct(F.xxhash64("node", F.lit(round_no)).alias("r"), "node", "comp", "least")
-            other = lists.groupBy("key").agg(F.min(rank).alias("p"), F.max(rank).alias("q"))
-            other = other.select("key", F.explode(F.array("p", "q")).alias("o")).select("key", "o.node", "o.comp", "o.least")
-            differ = F.col("l.comp") != F.col("o.comp")
-        else:                              # whatever is open yet: each pair once
-            other, differ = lists, (F.col("l.comp") != F.col("o.comp")) & (F.col("l.node") < F.col("o.node"))
-        met_rows = lists.alias("l").join(other.alias("o"), "key").where(differ).select(
-            F.least("l.node", "o.node").alias("a"), F.greatest("l.node", "o.node").alias("b"), F.col("l.node").alias("node"),
-            F.greatest("l.least", "o.least").alias("least"))
-        pairs = met_rows.groupBy("node", "a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
+            lists = some
+            if comp is not None:
+                lists = some.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
+                lists = lists.withColumn("comp", F.coalesce("comp", "node"))
+            rank = F.struct(F.xxhash64("node", F.lit(round_no)).alias("r"), "node", "comp")
+            ends = lists.groupBy("key").agg(F.min(rank).alias("p"), F.max(rank).alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            other = ends.where("lo <> hi").select("key", F.explode(F.array("p", "q")).alias("o")).select("key", "o.node", "o.comp")
+            met_rows = lists.alias("l").join(other.alias("o"), "key").where("l.comp <> o.comp").select(
+                F.least("l.node", "o.node").alias("a"), F.greatest("l.node", "o.node").alias("b"), F.col("l.node").alias("node"))
+            pairs = met_rows.groupBy("node", "a", "b").agg(F.count("*").alias("n"))
+        else:                              # whatever is open yet under any key: each pair once
+            named = sets
+            if comp is not None:
+                named = sets.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            else:
+                named = sets.withColumn("comp", F.col("node"))
+            lists = C.written(still_open(index_rows(named, percent)), "ngram-open")
+            fits = f"100 * least(l.n, o.n) >= {percent} * greatest(l.n, o.n)"
+            differ = f"(l.n + o.n) * {100 - percent} DIV {100 + percent}"
+            met_rows = lists.alias("l").join(lists.alias("o"), "key").where(f"l.comp <> o.comp AND l.node < o.node AND {fits}").select(
+                F.col("l.node").alias("a"), F.col("o.node").alias("b"),
+                F.expr(f"greatest(ceil((l.held - {differ}) / l.per), ceil((o.held - {differ}) / o.per))").alias("least"))
+            pairs = met_rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         if round_no < PIVOT_ROUNDS:        # of a document's pivots the one that shares most keys
@@ -282,12 +345,12 @@ def near_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> D
     """
     spark = docs.sparkSession
     C.prepared(spark)
-    base = C.written(shingle_sets(docs, k), "ngram-documents")
+    base = C.written(shingle_sets(docs, k, percent), "ngram-documents")
     heads = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("head"))
-    cand = base.where("n_shingles > 0").join(met(docs, k, percent), "doc_id").select("node").distinct()
-    chosen = cand.join(heads, "node").select(F.col("head").alias("doc_id"), F.col("node").alias("want"))
-    sets = shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id").distinct(), "doc_id"), k, arrays=True)
-    sets = C.written(sets.select("node", "tokens").dropDuplicates(["node"]), "ngram-sets")
+    cand = base.join(met(docs, k, percent), "doc_id").where("hits >= need").select("node").distinct()
+    chosen = cand.join(heads, "node").select(F.col("head").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id")
+    sets = C.bucketed(token_sets(texts, k).dropDuplicates(["node"]), "node", "ngram_sets")
     comp = links(sets, percent)
     named = base.join(comp, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = named.where("comp IS NOT NULL AND doc_id IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -45,7 +45,7 @@ def window_anchors(words: C.Words, window: int, anchor: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, keys): anchors of each document that another document holds too."""
+    """Anchors of each document that another document holds too."""
     bits = C.bucket_bits(docs.sparkSession)
 
     def settle(first, last, owner):
@@ -65,32 +65,28 @@ def shared_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return C.exchange(docs.mapInArrow(send, C.KEYED), settle)
 
 
-def earlier_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, keys) of windows a smaller doc_id holds; docs: doc_id, text, keys (blobs of shared anchors)."""
+def earlier_windows(docs: DataFrame, anchors: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Windows of each document that a smaller doc_id holds, of those whose anchor is shared."""
     bits = C.bucket_bits(docs.sparkSession)
 
     def settle(first, last, owner):
         return owner > first
 
-    def send(batches):
+    def send(batch, keys, owners):
         out = C.Sender(bits, settle)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = batch.column(2)
-            for w in C.word_blocks(batch.column(1)):
-                blobs = found.slice(w.lo, w.hi - w.lo).flatten()
-                known = np.unique(np.frombuffer(b"".join(b.as_py() for b in blobs), np.uint64))
-                a = window_anchors(w, window, anchor)
-                keep = a != 0
-                keep[keep] = np.isin(a[keep], known)
-                yield from out.add(w.grams(window)[keep], ids[w.lo:w.hi][w.rows()[keep]])
+        ids = batch.column(2).to_numpy(zero_copy_only=False)
+        for w in C.word_blocks(batch.column(3)):
+            mine = ids[w.lo:w.hi]
+            known = np.unique(keys[np.isin(owners, mine)])
+            if not len(known):
+                continue
+            a = window_anchors(w, window, anchor)
+            keep = a != 0
+            keep[keep] = np.isin(a[keep], known)
+            yield from out.add(w.grams(window)[keep], mine[w.rows()[keep]])
         yield from out.flush()
 
-    return C.exchange(docs.mapInArrow(send, C.KEYED), settle)
-
-
-def per_document(found: DataFrame) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    return C.exchange(C.with_found(docs, anchors, send, C.KEYED), settle)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, texts: bool = False) -> DataFrame:
@@ -106,38 +102,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     C.prepared(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     named = rows.where("doc_id IS NOT NULL")
-    anchors = per_document(shared_anchors(named, window, anchor))
-    windows = per_document(earlier_windows(rows.join(anchors, "doc_id"), window, anchor))
-
-    def cut(batches):
-        for batch in batches:
-            keys = batch.column(2)
-            for w in C.word_blocks(batch.column(1)):
-                mine = keys.slice(w.lo, w.hi - w.lo)
-                covered = np.zeros(len(w.hashes) + 1, np.int64)
-                hit = np.flatnonzero(~np.asarray(mine.is_null()))
-                if len(hit):
-                    grams, left = w.grams(window), w.left()
-                    for i in hit:
-                        a, b = w.offsets[i], w.offsets[i + 1]
-                        known = np.frombuffer(b"".join(mine[int(i)].as_py()), np.uint64)
-                        at = a + np.flatnonzero((left[a:b] >= window) & np.isin(grams[a:b], known))
-                        covered[at] += 1
-                        covered[at + window] -= 1
-                gone = np.cumsum(covered[:-1]) > 0
-                sums = np.concatenate([[0], np.cumsum(gone)])
-                removed = sums[w.offsets[1:]] - sums[w.offsets[:-1]]
-                left_over = []
-                for i, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())):
-                    if removed[i]:
-                        keep = a + np.flatnonzero(~gone[a:b])
-                        left_over.append(b" ".join(w.raw[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist())))
-                    else:
-                        left_over.append(b" ".join(w.raw[w.starts[a]:w.ends[b - 1]].split()) if b > a else b"")
-                cols = [batch.column(0).slice(w.lo, w.hi - w.lo), pa.array(np.diff(w.offsets), pa.int64()), pa.array(removed, pa.int64()),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in left_over])]
-                if texts:
-                    cols.append(pa.array([t.decode() for t in left_over]))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][:len(cols)])
-
-    return rows.join(windows, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(cut, RESULT + (", kept string" if texts else ""))
+    windows = earlier_windows(named, shared_anchors(named, window, anchor), window, anchor)
+
+    def cut(batch, keys, owners):
+        ids = batch.column(2).to_numpy(zero_copy_only=False) if not batch.column(2).null_count else \
+            batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+        named_row = np.asarray(batch.column(2).is_valid())
+        lo, hi = np.searchsorted(owners, ids, "left"), np.searchsorted(owners, ids, "right")
+        for w in C.word_blocks(batch.column(3)):
+            covered = np.zeros(len(w.hashes) + 1, np.int64)
+            hit = np.flatnonzero((hi[w.lo:w.hi] > lo[w.lo:w.hi]) & named_row[w.lo:w.hi])
+            if len(hit):
+                grams, left = w.grams(window), w.left()
+                for i in hit.tolist():
+                    a, b = w.offsets[i], w.offsets[i + 1]
+                    at = a + np.flatnonzero((left[a:b] >= window) & np.isin(grams[a:b], keys[lo[w.lo + i]:hi[w.lo + i]]))
+                    covered[at] += 1
+                    covered[at + window] -= 1
+            gone = np.cumsum(covered[:-1]) > 0
+            sums = np.concatenate([[0], np.cumsum(gone)])
+            removed = sums[w.offsets[1:]] - sums[w.offsets[:-1]]
+            left_over = []
+            for i, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist())):
+                if removed[i]:
+                    keep = a + np.flatnonzero(~gone[a:b])
+                    left_over.append(b" ".join([w.raw[s:e] for s, e in zip(w.starts[keep].tolist(), w.ends[keep].tolist())]))
+                else:
+                    left_over.append(b" ".join(w.raw[w.starts[a]:w.ends[b - 1]].split()) if b > a else b"")
+            cols = [batch.column(2).slice(w.lo, w.hi - w.lo), pa.array(np.diff(w.offsets), pa.int64()), pa.array(removed, pa.int64()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in left_over])]
+            if texts:
+                cols.append(pa.array([t.decode() for t in left_over]))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][:len(cols)])
+
+    return C.with_found(rows, windows, cut, RESULT + (", kept string" if texts else ""))
