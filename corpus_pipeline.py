@@ -1,8 +1,79 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: quality, near-duplicates, personal data, mixing, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), docs with the columns of documents (doc_id, text, lang, source,
+n_chars), and works on all rows that its predecessor kept. All but the last return those columns.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablefold.llm import common, mixing, ngram_join, packing, pii, quality
+from tablefold.llm.queries import vocabulary
+from tablefold.sources.tables import table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"),
+                       F.col("source").cast("string"), F.col("n_chars").cast("long"))
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the classifier, fitted on ``labels``, scores under its threshold."""
+    docs = _columns(docs)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=["lang", "source", "n_chars"]).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of every component of the shingle join; a null doc_id stays."""
+    docs = _columns(docs)
+    gone = ngram_join.near_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every span of personal data by its kind; n_chars follows the text."""
+    docs = _columns(docs)
+    found = pii.find(docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").alias("body")), keep=["body", "lang", "source", "n_chars"])
+    # from the last span to the first, so that places before it stay right; a span inside a masked one is skipped
+    spans = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.reverse(F.split("spans", ",")))
+    parts = F.transform(spans, lambda s: F.split(s, ":"))
+    mask = F.create_map(*[F.lit(x) for kv in MASK.items() for x in kv])
+    start = F.struct(F.col("body").alias("t"), F.length("body").alias("at"))
+    step = lambda acc, p: F.when(p[2].cast("int") <= acc["at"], F.struct(
+        F.concat(F.substring(acc["t"], F.lit(1), p[1].cast("int")), F.element_at(mask, p[0]),
+                 F.substring(acc["t"], p[2].cast("int") + 1, F.length(acc["t"]))).alias("t"), p[1].cast("int").alias("at"))).otherwise(acc)
+    text = F.aggregate(parts, start, step)["t"]
+    return found.select("doc_id", F.when(F.col("spans") == "", F.col("body")).otherwise(text).alias("text"), "lang", "source", "n_chars").withColumn(
+        "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it. A document without words stays once."""
+    docs = _columns(docs)
+    taken = mixing.mix(docs.where("doc_id IS NOT NULL")).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)).alias("copies"))
+    rows = docs.join(taken, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack every copy into sequences (one row for each piece)."""
+    return packing.pack(_columns(docs), *vocabulary())
+
+
+STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("personal_data", mask_personal_data),
+          ("mixing", mix_sources), ("packing", pack_sequences)]
+ORACLE_SQL = None              # SQL expresses neither the classifier nor the tokenizer
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

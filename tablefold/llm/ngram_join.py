@@ -38,9 +38,10 @@ from tablefold.llm import common as C
 SHINGLE = 5
 PERCENT = 80              # linked when 100 * intersection >= PERCENT * union
 BAND_RATIO = 1.4
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 PIVOT_KEYS = 8            # pivot rounds look at one key in so many
-CHANCE_COST = 40.0        # cost of verifying a chance match, in index entries
+CHANCE_COST = 25.0        # cost of verifying a chance match, in index entries
+SPARE = 0.25              # segments beyond what the pigeonhole needs: similar sets share so many keys more
 WIDTH = 5                 # bytes of a key that travel, besides those of its bucket; matches are verified
 
 
@@ -56,7 +57,7 @@ def schemes(largest: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
         reach = hi * 100 // percent
         differ = (hi + reach) * (100 - percent) // (100 + percent)
         best = (math.inf, 1, 0)
-        need = differ + 1 + (1 + math.ceil(0.08 * (differ + 1)) if differ else 0)
+        need = differ + 1 + (1 + math.ceil(SPARE * (differ + 1)) if differ else 0)
         mid = (lo + hi) / 2
         common = min(0.5, 0.05 + 5 / mid)                      # share of tokens that other sets hold too
         for step in range(9):
@@ -73,16 +74,17 @@ def schemes(largest: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
 
 
 def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least, held, per).
+    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least, held, per, own).
 
     ``held`` is what the set's usable segments add up to (a segment of threshold 1 counts ``per`` = 2).
     Segments that differ by more than their threshold use up what two sets may differ by, so a
     similar set shares at least ``(held - differ) / per`` keys of the scheme; ``least`` is that for the
-    largest partner of the set.
+    largest partner of the set. ``own`` is 1 in the scheme of the set's own band; a pair's scheme is
+    that of its smaller set.
     """
     largest = int(sizes.max()) if len(sizes) else 0
     if largest == 0:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
     lo, hi, reach, differ, segments, ones = schemes(1 << max(6, largest.bit_length()), percent)
     band = np.searchsorted(lo, sizes, "right") - 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -113,9 +115,10 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         # usable segments: threshold 0 with any token, threshold 1 with two at least
         weight = np.where(one, np.where(size > 1, 2, 0), 1)
         held = np.bincount(c_own, weight, len(sets)).astype(np.int64)
-        spare = held - (n + np.minimum(reach[sch], n * 100 // percent)) * (100 - percent) // (100 + percent)
+        partner = np.minimum(reach[sch] if back == 0 else hi[sch], n * 100 // percent)      # the largest; of a smaller band: that band's
+        spare = held - (n + partner) * (100 - percent) // (100 + percent)
         per = np.where(ones[sch] > 0, 2, 1)
-        more = np.stack([np.maximum(1, -(-spare // per)), held, per])
+        more = np.stack([np.maximum(1, -(-spare // per)), held, per, np.full(len(sets), int(back == 0))])
         keys_out.append(C.mix(sums + tag))
         sets_out.append(sets[c_own])
         more_out.append(more[:, c_own])
@@ -134,7 +137,7 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
             sets_out.append(np.full(len(empty), sets[k]))
             more_out.append(np.repeat(more[:, k:k + 1], len(empty), axis=1))
     if not keys_out:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
     return (np.concatenate(keys_out), np.concatenate(sets_out), *np.concatenate(more_out, axis=1))
 
 
@@ -170,7 +173,7 @@ def block_sets(words: C.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------------------
 def needed(tokens: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """For each set the least number of index keys, over its schemes, that it shares with a similar one."""
-    _, row, least, _, _ = index_keys(tokens, sizes, percent)
+    _, row, least, *_ = index_keys(tokens, sizes, percent)
     out = np.full(len(sizes), np.iinfo(np.int64).max)
     np.minimum.at(out, row, least)
     return out
@@ -264,7 +267,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def index_rows(sets: DataFrame, percent: int, part: int = 1) -> DataFrame:
-    """(key, node, comp, n, held, per) of sets (node, comp, tokens); with ``part`` one key in so many."""
+    """(key, node, comp, size) of sets (node, comp, tokens); with ``part`` one key in so many.
+
+    ``size`` holds the set's size, what its usable segments add up to, if the scheme is its own, and ``per``.
+    """
     def index(batches):
         for batch in batches:
             nodes, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -272,14 +278,14 @@ def index_rows(sets: DataFrame, percent: int, part: int = 1) -> DataFrame:
             for lo in range(0, len(nodes), 500):
                 some = tokens.slice(lo, 500)
                 sizes = np.diff(some.offsets.to_numpy())
-                keys, row, _, held, per = index_keys(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
+                keys, row, _, held, per, own = index_keys(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
                 take = keys % np.uint64(part) == 0
                 row = row[take]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(nodes[lo:lo + 500][row]),
-                                                  pa.array(comps[lo:lo + 500][row]), pa.array(sizes[row], pa.int64()),
-                                                  pa.array(held[take], pa.int64()), pa.array(per[take], pa.int64())], names)
+                                                  pa.array(comps[lo:lo + 500][row]),
+                                                  pa.array((sizes[row].astype(np.int64) << 32) + held[take] * 4 + own[take] * 2 + per[take] - 1)], names)
 
-    names = ["key", "node", "comp", "n", "held", "per"]
+    names = ["key", "node", "comp", "size"]
     return sets.select("node", "comp", "tokens").mapInArrow(index, ", ".join(f"{x} long" for x in names))
 
 
@@ -312,9 +318,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             else:
                 named = sets.withColumn("comp", F.col("node"))
             lists = C.written(still_open(index_rows(named, percent)), "ngram-open")
+            lists = lists.selectExpr("key", "node", "comp", "shiftright(size, 32) AS n", "(size & 4294967295) DIV 4 AS held", "(size & 2) > 0 AS own", "(size & 1) + 1 AS per")
+            scheme = "(l.own AND l.n <= o.n OR o.own AND o.n <= l.n)"
             fits = f"100 * least(l.n, o.n) >= {percent} * greatest(l.n, o.n)"
             differ = f"(l.n + o.n) * {100 - percent} DIV {100 + percent}"
-            met_rows = lists.alias("l").join(lists.alias("o"), "key").where(f"l.comp <> o.comp AND l.node < o.node AND {fits}").select(
+            met_rows = lists.alias("l").join(lists.alias("o"), "key").where(f"l.comp <> o.comp AND l.node < o.node AND {scheme} AND {fits}").select(
                 F.col("l.node").alias("a"), F.col("o.node").alias("b"),
                 F.expr(f"greatest(ceil((l.held - {differ}) / l.per), ceil((o.held - {differ}) / o.per))").alias("least"))
             pairs = met_rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")

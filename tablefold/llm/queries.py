@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefold.llm import ann, mixing, ngram_join, packing, simhash, span_dedup
+from tablefold.llm import ann, html_extract, mixing, ngram_join, packing, pii, quality, rollup, simhash, span_dedup
 from tablefold.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@register("op1_skip_chain_pii")
+def q_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @register("op2_ngram_jaccard_join")
 def q_ngram_join(spark, sf_dir):
     return ngram_join.near_classes(table(spark, sf_dir, "documents"))
@@ -49,6 +54,21 @@ def q_spans(spark, sf_dir):
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@register("op6_template_extraction")
+def q_html(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op7_token_rollup", rollup.oracle_sql())
+def q_rollup(spark, sf_dir):
+    return rollup.maintained(table(spark, sf_dir, "documents"))
+
+
+@register("op8_nbsvm_quality")
+def q_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op9_pivotal_mixing")
 def q_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
