@@ -17,7 +17,7 @@ segments of a similar pair hold equal (or nearly equal) subsets:
 
 Documents that meet no other under any key are done. The rest are indexed again and compared in
 rounds: under each key whose documents are not yet in one component, a document is verified against
-a pivot; after ``PIVOT_ROUNDS`` rounds whatever pairs are still open, and share as many keys as a
+a pivot, one that shares keys with most others (the text that copies were made from, for instance); after ``PIVOT_ROUNDS`` rounds whatever pairs are still open, and share as many keys as a
 similar pair must, are verified one by one. A group of thousands of copies thus costs a few
 comparisons each, and no link between components is lost. Verification intersects the two sets in
 full.
@@ -38,7 +38,9 @@ from tablefold.llm import common as C
 SHINGLE = 5
 PERCENT = 80              # linked when 100 * intersection >= PERCENT * union
 BAND_RATIO = 1.4
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 4
+TESTS = 5                 # pivots that a set is verified against in a round
+PIVOTS = 8                # pivots of a list: the most central set of each part by hash
 PIVOT_KEYS = 8            # pivot rounds look at one key in so many
 CHANCE_COST = 25.0        # cost of verifying a chance match, in index entries
 SPARE = 0.25              # segments beyond what the pigeonhole needs: similar sets share so many keys more
@@ -297,17 +299,21 @@ def still_open(lists: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that are linked, from ``sets`` (node, tokens), one row a set."""
-    some = C.written(still_open(index_rows(sets.withColumn("comp", F.col("node")), percent, PIVOT_KEYS)), "ngram-pivots")
+    some = still_open(index_rows(sets.withColumn("comp", F.col("node")), percent, PIVOT_KEYS)).drop("size")
+    central = some.join(some.groupBy("key").agg(F.count("*").alias("others")), "key").groupBy("node").agg(F.sum("others").alias("central"))
+    some = C.written(some.join(central, "node"), "ngram-pivots")
     tested = comp = None
     for round_no in range(PIVOT_ROUNDS + 1):
-        if round_no < PIVOT_ROUNDS:        # against the first and the last of a random order that the round sets
+        if round_no < PIVOT_ROUNDS:        # against the most central node of each of some parts of a list
             lists = some
             if comp is not None:
                 lists = some.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
                 lists = lists.withColumn("comp", F.coalesce("comp", "node"))
-            rank = F.struct(F.xxhash64("node", F.lit(round_no)).alias("r"), "node", "comp")
-            ends = lists.groupBy("key").agg(F.min(rank).alias("p"), F.max(rank).alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            other = ends.where("lo <> hi").select("key", F.explode(F.array("p", "q")).alias("o")).select("key", "o.node", "o.comp")
+            rank = F.struct("central", "node", "comp")
+            ends = lists.groupBy("key").agg(*[F.max(F.when(F.pmod("node", F.lit(PIVOTS)) == i, rank)).alias(f"p{i}") for i in range(PIVOTS)],
+                                            F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            other = ends.where("lo <> hi").select("key", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("o")).where("o IS NOT NULL")
+            other = other.select("key", "o.node", "o.comp")
             met_rows = lists.alias("l").join(other.alias("o"), "key").where("l.comp <> o.comp").select(
                 F.least("l.node", "o.node").alias("a"), F.greatest("l.node", "o.node").alias("b"), F.col("l.node").alias("node"))
             pairs = met_rows.groupBy("node", "a", "b").agg(F.count("*").alias("n"))
@@ -328,8 +334,9 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = met_rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if round_no < PIVOT_ROUNDS:        # of a document's pivots the one that shares most keys
-            pairs = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
+        if round_no < PIVOT_ROUNDS:        # of a set's pivots those that share most keys
+            best = F.slice(F.sort_array(F.collect_list(F.struct("n", "a", "b")), asc=False), 1, TESTS)      # of one set's own keys' pivots
+            pairs = pairs.groupBy("node").agg(best.alias("best")).select(F.explode("best").alias("p")).select("p.a", "p.b")
         now = C.written(verified(pairs.select("a", "b").distinct(), sets, percent), "ngram-verified")
         n_ok = now.where("ok").count()
         tested = now if tested is None else tested.union(now)
