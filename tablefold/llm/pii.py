@@ -201,7 +201,9 @@ def train(docs: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                                               pa.array([r[2] for r in rows], pa.float64())], ["what", "k", "n"])
 
-    sample = docs.select("text").where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(most)
+    ids = docs.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)                       # ids alone are ordered; at most ``most`` are broadcast
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("text")
     got = sample.mapInArrow(gather, "what string, k array<int>, n double").groupBy("what", "k").agg(F.sum("n").alias("n")).orderBy("what", "k").collect()
     pairs = np.full((2, N, N), 0.5)
     x, y, n = [], [], []
