@@ -21,8 +21,8 @@ BASE = 0x9E3779B97F4A7C15          # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BLOCK_BYTES = 4 << 20              # text hashed at once; a longer document is a block of its own
-FLUSH_ENTRIES = 2 << 20            # keys gathered in a task before they are sent on
+BLOCK_BYTES = 1 << 20              # text hashed at once; a longer document is a block of its own
+FLUSH_ENTRIES = 1 << 20            # keys gathered in a task before they are sent on
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
