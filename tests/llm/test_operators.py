@@ -1,0 +1,240 @@
+"""Operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from tablefold.llm import ann, html_extract, mixing, ngram_join, packing, pii, quality, rollup, simhash, span_dedup
+from tablefold.llm.queries import vocabulary
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SMOKE = "/root/testdata/sf0.001"
+
+
+def sample(seed=3, n=60):
+    r = random.Random(seed)
+    vocab = ["w%d" % i for i in range(300)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.choice([1, 4, 20, 120]))) for _ in range(n // 3)]
+    rows = []
+    for i in range(n):
+        words = r.choice(base).split()
+        for _ in range(r.choice([0, 0, 1, 6])):
+            words[r.randrange(len(words))] = r.choice(vocab)
+        rows.append((i * 7, " ".join(words)))
+    passage = " ".join(vocab[:30])
+    rows += [(100000, None), (100001, ""), (100002, " \t\n"), (100003, "É" * 10), (100004, "Only One"), (100005, "only one"),
+             (100006, passage + " tail a"), (100007, "head " + passage), (100008, "x " * 30_000), (100009, "x " * 29_000)]
+    return rows
+
+
+def sets(rows):
+    out = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").encode().lower())
+        out[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[j:j + 5]) for j in range(len(w) - 4)])
+    return out
+
+
+def test_ngram_join(make):
+    rows = sample()
+    s = sets(rows)
+    ids = sorted(s)
+    comp = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]) and comp[a] != comp[b]:
+                    low, high = sorted((comp[a], comp[b]))
+                    comp = {k: low if v == high else v for k, v in comp.items()}
+                    changed = True
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(make(rows)).collect()}
+    assert got == {i: (len(s[i]), comp[i]) for i in ids}
+
+
+def test_ngram_join_empty_and_null_ids(make):
+    assert ngram_join.near_classes(make([])).collect() == []
+    got = ngram_join.near_classes(make([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got if r.doc_id) == [(5, 5), (5, 5), (9, 5)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_index_finds_every_similar_pair():
+    r = np.random.default_rng(1)
+    for size in (5, 8, 13, 30, 70, 300, 900):
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+            most = len(a) // 9
+            b = np.unique(np.concatenate([a[most:] if r.random() < .5 else a[:len(a) - most], r.integers(0, 1 << 63, r.integers(0, most + 1)).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+                continue
+            keys, row, *_ = ngram_join.index_keys(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            assert np.intersect1d(keys[row == 0], keys[row == 1]).size or np.array_equal(a, b)
+
+
+def test_span_removal(make):
+    rows = sample(5)
+    words = {i: WORD.findall((t or "").encode()) for i, t in rows}
+    first = {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][j:j + 13]), i)
+    want = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j:j + 13])] < i:
+                gone[j:j + 13] = [True] * 13
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        want[i] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in span_dedup.remove_repeats(make(rows)).collect()}
+    assert got == want
+    assert span_dedup.remove_repeats(make([])).collect() == []
+
+
+def test_simhash(make):
+    rows = sample(7)
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    got = {r.doc_id: r for r in simhash.edited_fingerprints(make(rows)).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[:len(t) - half] + order[(k + 1) % len(order)][1][:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+    by_text = {}
+    for i, t in order:
+        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    assert simhash.edited_fingerprints(make([])).collect() == []
+
+
+def test_simhash_radius(spark):
+    r = np.random.default_rng(2)
+    base = r.integers(-2**63, 2**63 - 1, (40, 2))
+    rows = []
+    for i in range(120):
+        f = [int(x) for x in base[i % 40]]
+        for b in r.integers(0, 128, i % 5):
+            v = (f[b // 64] & (2**64 - 1)) ^ (1 << int(b % 64))
+            f[b // 64] = v - 2**64 if v >= 2**63 else v
+        rows.append((i, tuple(f)))
+    names = {}
+    for i, f in rows:
+        names.setdefault(f, i)
+    want = {(a, b) for f, a in names.items() for g, b in names.items() if a < b and sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(f, g)) <= 3}
+    df = spark.createDataFrame(rows, "doc_id long, f struct<f0:long,f1:long>")
+    assert {(r.a, r.b) for r in simhash.within_radius(df, radius=3).collect()} == want
+
+
+def test_packing(make):
+    from tokenizers import Tokenizer
+    rows = sample(9) + [(200000, "<|endoftext|> x"), (200001, "日本 é \U0001F600 don't 12345")]
+    tok = Tokenizer.from_file(vocabulary()[0])
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
+    got = packing.pack(make(rows), *vocabulary()).collect()
+    at, seqs = {}, {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at.get(r.doc_id, 0) and r.doc_tokens == len(ids[r.doc_id])
+        piece = ids[r.doc_id][r.start:r.start + r.length]
+        assert zlib.crc32(np.array(piece, "<u4").tobytes()) == r.ids_crc32
+        at[r.doc_id] = r.start + r.length
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert at == {i: len(x) for i, x in ids.items()}
+    for parts in seqs.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_mixing(make):
+    rows = sample(11, 400)
+    got = mixing.mix(make(rows)).collect()
+    size = {i: len(WORD.findall((t or "").encode())) for i, t in rows}
+    assert {r.doc_id: r.size for r in got} == size
+    targets = {(r.source_size, r.target) for r in got}
+    assert sum(t for _, t in targets) == pytest.approx(sum(size.values()))
+    assert all(t <= 3 * s + 1e-6 for s, t in targets) and all(r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0 for r in got)
+    again = mixing.mix(make(rows).repartition(5)).collect()
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: r.taken for r in again}
+    assert mixing.mix(make([])).collect() == []
+
+
+def test_embeddings(spark):
+    df = spark.read.parquet(f"{SMOKE}/embeddings.parquet")
+    rows = [tuple(r) for r in df.collect()]
+    nan = float("nan")
+    rows += [(90001, None, 1), (90002, [0.0] * 64, 1), (90003, [nan] * 64, 1), (90004, rows[0][1], None), (90005, rows[0][1], rows[0][2])]
+    got = {r.vec_id: r for r in ann.near_duplicates(spark.createDataFrame(rows, df.schema)).collect()}
+    good = [r for r in rows if r[0] < 90001 or r[0] == 90005]
+    v = np.array([r[1] for r in good], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    labels = np.array([r[2] for r in good])
+    true = ((v @ v.T >= 0.93) & (labels[:, None] == labels[None, :])).sum(1) - 1
+    found = np.array([got[r[0]].n_links for r in good])
+    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
+    assert got[90005].component_id <= rows[0][0] and all(got[i].n_links == 0 and got[i].component_id == i for i in range(90001, 90005))
+
+
+def test_pii(make):
+    text = "mail a.b@c-d.org, ip 10.0.0.255 not 10.0.0.256 card 4111 1111 1111 1111 call +1 (555) 010-9999."
+    rows = [(1, text), (2, None), (3, ""), (4, "nothing here"), (5, "É " * 5 + "x@y.zz"), (5, "a@b@c.d")]
+    got = pii.find(make(rows)).collect()
+    r = next(r for r in got if r.doc_id == 1)
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
+    base = [(m.start(), k, m.end()) for k, p in ((0, r"a\.b@c-d\.org"), (1, r"10\.0\.0\.255"), (2, "4111[ 1]*1"), (3, r"\+1.*9999")) for m in re.finditer(p, text)]
+    assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(x.base_sha256 == empty and x.spans == "" for x in got if x.doc_id in (2, 3, 4))
+    assert {x.spans for x in got if x.doc_id == 5} == {"email:10:16", "email:2:7"}
+
+
+def test_pii_repeats_are_consistent():
+    weights = np.zeros((pii.FEATURES, pii.N))
+    pull = np.zeros((2, pii.N, pii.N))
+    pull[1] = 4 * np.eye(pii.N)
+    text = "pay 4111111111111111 again 41111111111111110"
+    assert pii.added_spans(text, pii.base_spans(text), weights, pull) == [(27, 2, 44)]
+
+
+def test_html(spark):
+    page = ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>menu</a></nav><div class=\"ad\">buy</div>"
+            "<article><h1>Head</h1><p>One  &amp;\n two<br>three<p><b>bold</b>er</p></article><div class='comments'><p>no</p></div><footer>f</footer>")
+    rows = [(i, f"http://h.example/{i}", page.replace("One", f"One{i}"), 1) for i in range(4)] + [(9, None, None, 1), (10, "odd", "", 1), (11, "http://z/", "plain <b>text</b>", 1)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host long").drop("host")).collect()}
+    assert got == {**{i: f"Head One{i} & two three bolder" for i in range(4)}, 9: "", 10: "", 11: "plain text"}
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert len(got) == docs.count() and all((zlib.crc32(str(i).encode()) % 4 == 2) == r.held_out for i, r in got.items())
+    held = [(r.quality, got[r.doc_id].predicted) for r in labels.collect() if got[r.doc_id].held_out]
+    assert sum(a == b for a, b in held) / len(held) >= 0.95
+
+
+def test_rollup(make):
+    rows = [(3, "Ab c1 x@y.zz"), (1, "same text"), (2, "same text"), (4, None), (5, "")]
+    got = {(r.source, r.version): (r.docs, r.tokens) for r in rollup.maintained(make(rows)).collect()}
+    assert sum(d for (_, v), (d, _) in got.items() if v == "words-1") == 3
+    assert sum(t for (_, v), (_, t) in got.items() if v == "words-1") == 2 + 2
+    assert rollup.maintained(make([])).collect() == []
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    before = None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMOKE)
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        n = docs.count()
+        assert n > 0 and (before is None or name in ("mixing", "packing") or n <= before)
+        before = n
