@@ -38,9 +38,9 @@ def pystrip(c: Column) -> Column:
 
 # X1 / X2 -------------------------------------------------------------------
 def completion(response: Column, choices: Column | None = None) -> Column:
-    """Completion text: ``choices[0].text`` when given, else ``response``; NULL -> ''."""
+    """Completion text of a row of either shape: ``choices[0].text``, else ``response``, else ''."""
     if choices is not None:
-        return F.coalesce(F.try_element_at(choices, F.lit(1)).getField("text"), F.lit(""))
+        return F.coalesce(F.try_element_at(choices, F.lit(1)).getField("text"), response, F.lit(""))
     return F.coalesce(response, F.lit(""))
 
 
@@ -61,55 +61,56 @@ def _json_default(o):
     return str(o)
 
 
-def _py_first_with_key(cands, key):
-    """JSON text of the value of ``key`` in the first candidate holding it (reference rules)."""
-    if cands is None:
-        return None
-    for m in cands:
+_SYNTAXES = (json.loads, ast.literal_eval)      # JSON first, then Python literals
+
+
+def _decoded(text):
+    """(True, value) of a candidate in the first syntax that reads it, else (False, None)."""
+    for read in _SYNTAXES:
         try:
-            result = json.loads(m)
-            if key in result:
-                return json.dumps(result[key], ensure_ascii=False, default=_json_default)
-        except Exception:
-            try:
-                result = ast.literal_eval(m)
-                if key in result:
-                    return json.dumps(result[key], ensure_ascii=False, default=_json_default)
-            except Exception:
-                continue
-    return None
+            return True, read(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            pass
+    return False, None
+
+
+def _decode_all(cands):
+    """Values of the candidates that can be read, in order."""
+    return [value for ok, value in map(_decoded, [] if cands is None else cands) if ok]
+
+
+def _as_json(value):
+    try:
+        return json.dumps(value, ensure_ascii=False, default=_json_default)
+    except (TypeError, ValueError):
+        return None
+
+
+def _lookup(values, key):
+    """JSON text of ``key`` in the first object that has it."""
+    hits = (_as_json(v[key]) for v in values if isinstance(v, dict) and key in v)
+    return next((h for h in hits if h is not None), None)
+
+
+def _py_first_with_key(cands, key):
+    return _lookup(_decode_all(cands), key)
 
 
 def _py_keys_object(cands, keys):
     """JSON object text ``{key: value}`` of every key found, each searched on its own."""
     if cands is None:
         return None
-    parts = []
+    values, parts = _decode_all(cands), []
     for k in keys:
-        v = _py_first_with_key(cands, k)
+        v = _lookup(values, k)
         if v is not None:
             parts.append(json.dumps(k) + ": " + v)
     return "{" + ", ".join(parts) + "}"
 
 
 def _py_all_objects(cands):
-    if cands is None:
-        return None
-    out = []
-    for m in cands:
-        try:
-            out.append(json.loads(m))
-        except Exception:
-            try:
-                out.append(ast.literal_eval(m))
-            except Exception:
-                continue
-    if not out:
-        return None
-    try:
-        return json.dumps(out, ensure_ascii=False, default=_json_default)
-    except Exception:
-        return None
+    values = _decode_all(cands)
+    return _as_json(values) if values else None
 
 
 @F.pandas_udf(T.StringType())

@@ -60,7 +60,8 @@ def entity_clusters(df: DataFrame, id_col: str, block: list[str], attrs: list[st
     (the smallest id). Pairs are implied by equal cluster ids; none is materialized."""
     keyed = df.select(id_col, *block, *[normalize_text(F.col(a).cast("string")).alias(f"_n{i}")
                                         for i, a in enumerate(attrs)])
-    kcols = block + [f"_n{i}" for i in range(len(attrs))]
+    kcols = ["_key"]                     # NULL attributes are equal to each other
+    keyed = keyed.withColumn("_key", F.to_json(F.struct(*block, *[f"_n{i}" for i in range(len(attrs))])))
     cl = keyed.groupBy(*kcols).agg(F.min(id_col).alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size"))
     return keyed.join(cl, kcols).select(id_col, "cluster_id", "cluster_size",
                                         (F.col("cluster_size") > 1).alias("is_duplicate"))
@@ -68,8 +69,8 @@ def entity_clusters(df: DataFrame, id_col: str, block: list[str], attrs: list[st
 
 # D7 ------------------------------------------------------------------------
 def match_key(c: Column) -> Column:
-    """Normalized join key: lower case letters and digits only."""
-    return F.lower(F.regexp_replace(c, r"[^A-Za-z0-9]", ""))
+    """Normalized join key: lower case letters and digits of any script; NULL (joins nothing) if there are none."""
+    return F.nullif(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")), F.lit(""))
 
 
 def value_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str, normalized: bool = True) -> DataFrame:
@@ -83,8 +84,9 @@ def value_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str, normaliz
 
 # D10 -----------------------------------------------------------------------
 def locate_cells(cells: DataFrame, queries: DataFrame) -> DataFrame:
-    """``queries(case_id, row_idx, col_name)`` -> the cell value (inner join on the cell key)."""
-    return queries.join(cells.select("case_id", "row_idx", "col_name", "value"), ["case_id", "row_idx", "col_name"])
+    """``queries(case_id, [table_name,] row_idx, col_name)`` -> the cell value (inner join on the cell key)."""
+    on = [c for c in ("case_id", "table_name", "row_idx", "col_name") if c in queries.columns]
+    return queries.join(cells.select(*on, "value"), on)
 
 
 # D11 -----------------------------------------------------------------------

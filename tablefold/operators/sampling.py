@@ -62,6 +62,6 @@ def shuffle(df: DataFrame, id_cols: list[str], seed: int = 42) -> DataFrame:
     return df.withColumn("_h", _h(id_cols, seed)).orderBy("_h", *id_cols).drop("_h")
 
 
-def sample_rows(df: DataFrame, order: list[str], n: int = 10, max_rows: int = 100) -> DataFrame:
-    """M6: first ``min(n, 100)`` rows in an explicit order."""
-    return df.orderBy(*order).limit(min(n, max_rows))
+def sample_rows(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """M6: the first ``n`` rows in an explicit order."""
+    return df.orderBy(*order).limit(n)
