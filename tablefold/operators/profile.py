@@ -1,19 +1,18 @@
 """Table profiling and routing (Q1-Q11): the six table tools as DataFrame operators.
 
-Tables are Spark tables or temp views; each tool is one small query. Only
-bounded results come back (schemas, counts, at most 100 rows).
+Tables are Spark tables or temp views; each tool is one small query. Results
+are whole unless the caller passes a limit.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablefold.functions import extract as X
 
-MAX_ROWS = 100                       # fixed values: row cap of the SELECT and distinct tools
 SQL_ONLY_CELLS, HYBRID_CELLS = 1842, 488   # fixed values: size cut-offs of the strategy choice
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -42,19 +41,28 @@ def sample_rows(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 _SELECT_ONLY = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 
 
-def run_select(spark: SparkSession, sql: str) -> tuple[DataFrame, DataFrame]:
-    """Q4: run a SELECT; return (first 100 rows, total row count). Anything else is refused."""
+def run_select(spark: SparkSession, sql: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Q4: run a SELECT; return (rows, total row count). Anything else is refused.
+
+    All rows come back unless the caller asks for ``limit``; order the SELECT to make that cut stable.
+    """
     if not _SELECT_ONLY.match(sql):
         raise ValueError("only SELECT statements are allowed")
     df = spark.sql(sql)
-    return df.limit(MAX_ROWS), df.agg(F.count(F.lit(1)).alias("total_rows"))
+    return df if limit is None else df.limit(limit), df.agg(F.count(F.lit(1)).alias("total_rows"))
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Q5: distinct values ordered, first 100, with a ``truncated`` flag from the distinct count."""
-    d = df.select(col).distinct()
-    n = d.count()   # one scalar: how many distinct values exist
-    return d.orderBy(col).limit(MAX_ROWS).withColumn("truncated", F.lit(n > MAX_ROWS))
+def distinct_values(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
+    """Q5: all distinct values, ordered.
+
+    With ``limit`` the first so many and a ``truncated`` flag: one value more is taken to see whether
+    any is left (a top-k, so the window runs over at most ``limit + 1`` rows).
+    """
+    d = df.select(col).distinct().orderBy(col)
+    if limit is None:
+        return d
+    first = d.limit(limit + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return first.orderBy(col).limit(limit).select(col, (F.col("_n") > limit).alias("truncated"))
 
 
 def column_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -75,17 +83,17 @@ def route_task(task: Column, cells: Column) -> Column:
     return F.when(task == "NL2SQL", F.lit("direct_sql")).otherwise(route(cells))
 
 
-def context_text(cells_df: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Q10: per table: schema line, plus the first 100 rows unless the table is sql_only."""
+def context_text(cells_df: DataFrame, shapes: DataFrame, hybrid_rows: int) -> DataFrame:
+    """Q10: per table: schema line, then all rows of a direct table, the first ``hybrid_rows`` of a
+    hybrid one and none of a sql_only one (it is read by queries; ``strategy`` says so)."""
     from tablefold.operators.serialize import markdown_short_line
-    from tablefold.operators.cells import first_n_rows
     s = shapes.withColumn("strategy", route(F.col("n_cells")))
     heads = cells_df.filter(F.col("row_idx") == 0).groupBy("case_id", "table_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "col_name"))),
                                  lambda x: x["col_name"]), ", ").alias("schema"))
-    keep = cells_df.join(s.filter(F.col("strategy") != "sql_only").select("case_id", "table_name"),
-                         ["case_id", "table_name"], "left_semi")
-    body = markdown_short_line(first_n_rows(keep, MAX_ROWS))
+    shown = s.select("case_id", "table_name", F.when(F.col("strategy") == "hybrid", hybrid_rows).alias("_rows"), "strategy")
+    keep = cells_df.join(shown.filter(F.col("strategy") != "sql_only").drop("strategy"), ["case_id", "table_name"])
+    body = markdown_short_line(keep.filter(F.col("_rows").isNull() | (F.col("row_idx") < F.col("_rows"))).drop("_rows"))
     out = s.join(heads, ["case_id", "table_name"], "left").join(body, ["case_id", "table_name"], "left")
     return out.select("case_id", "table_name", "strategy", F.concat(
         F.lit("Columns: "), F.col("schema"),

@@ -95,7 +95,8 @@ def fewshot_field(cases: DataFrame, shots: DataFrame, sub_template: str, columns
 def build_metadata(fixed: dict[str, Column], info: Column | None = None, home: str | None = None) -> Column:
     """JSON text of fixed keys, then the case's info keys (info wins on clashes).
 
-    ``case_path`` has ``home`` replaced by ``$HOME``.
+    Info values keep their JSON types (lists, numbers, flags); an info that is no JSON object adds
+    nothing. ``case_path`` has ``home`` replaced by ``$HOME``.
     """
     fx = dict(fixed)
     if home and "case_path" in fx:
@@ -104,8 +105,8 @@ def build_metadata(fixed: dict[str, Column], info: Column | None = None, home: s
     if info is None:
         return base
     # merge two JSON objects: keys of ``info`` replace fixed ones
-    fm = F.from_json(base, "map<string,string>")
-    im = F.from_json(info, "map<string,string>")
+    fm = F.from_json(base, "map<string,variant>")
+    im = F.coalesce(F.from_json(info, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     keep = F.map_filter(fm, lambda k, v: ~F.map_contains_key(im, k))
     return F.to_json(F.map_concat(keep, im))
 

@@ -158,11 +158,17 @@ def q_row_counts(spark, sf_dir):
     return Q.count_rows({t: table(spark, sf_dir, t) for t in names})
 
 
-@register("distinct_values", """SELECT p_type, (SELECT count(DISTINCT p_type) FROM part) > 100 AS truncated
-    FROM (SELECT DISTINCT p_type FROM part ORDER BY p_type LIMIT 100)""")
+@register("distinct_values", "SELECT DISTINCT c_name FROM customer")
 def q_distinct_values(spark, sf_dir):
-    """Q5."""
-    return Q.distinct_values(table(spark, sf_dir, "part"), "p_type")
+    """Q5: every distinct value."""
+    return Q.distinct_values(table(spark, sf_dir, "customer"), "c_name")
+
+
+@register("distinct_values_top", """SELECT c_name, (SELECT count(DISTINCT c_name) FROM customer) > 100 AS truncated
+    FROM (SELECT DISTINCT c_name FROM customer ORDER BY c_name LIMIT 100)""")
+def q_distinct_values_top(spark, sf_dir):
+    """Q5 with the caller's limit (a top-k report)."""
+    return Q.distinct_values(table(spark, sf_dir, "customer"), "c_name", limit=100)
 
 
 @register("column_stats", "SELECT * FROM (" + " UNION ALL ".join(
@@ -174,18 +180,39 @@ def q_column_stats(spark, sf_dir):
     return s.select("column", *[F.round(c, R).alias(c) for c in ("min", "max", "avg")])
 
 
-@register("run_select", """SELECT o_orderpriority, n, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS total_rows
-    FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 100)""")
+@register("run_select", """SELECT o_custkey, n, (SELECT count(DISTINCT o_custkey) FROM orders) AS total_rows
+    FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
 def q_run_select(spark, sf_dir):
-    """Q4: a SELECT over temp views: first 100 rows plus the full row count."""
+    """Q4: a SELECT over temp views: all rows, and their number."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    rows, total = Q.run_select(spark, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1")
-    n = total.first()[0]
-    return rows.withColumn("total_rows", F.lit(n).cast("bigint"))
+    rows, total = Q.run_select(spark, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+    return rows.select("*", total.scalar().alias("total_rows"))
+
+
+HYBRID_ROWS = 20
+CONTEXT_CASES = ["'part ' || {p}", "'supplier ' || {s} || ' ' || l_returnflag", "'supplier ' || {s}"]   # direct, hybrid, sql_only
+CONTEXT_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+def _case_union(body: str) -> str:
+    return " UNION ALL ".join(body.replace("$CASE", c.format(p="CAST(l_partkey AS VARCHAR)", s="CAST(l_suppkey AS VARCHAR)")) for c in CONTEXT_CASES)
 
 
-@register("context_text")
+@register("context_text", f"""WITH l AS ({_case_union("SELECT $CASE AS case_id, * FROM lineitem")}),
+r AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY {CONTEXT_ORDER}) AS i,
+   5 * count(*) OVER (PARTITION BY case_id) AS n_cells,
+   '|' || l_linenumber || '|' || l_partkey || '|' || CAST(l_quantity AS INTEGER) || '|' || l_returnflag || '|' || strftime(l_shipdate, '%Y-%m-%d') || '|' AS line
+   FROM l),
+s AS (SELECT *, CASE WHEN n_cells > 1842 THEN 'sql_only' WHEN n_cells > 488 THEN 'hybrid' ELSE 'direct' END AS strategy FROM r)
+SELECT case_id, 'lineitem' AS table_name, strategy, 'Columns: l_linenumber, l_partkey, l_quantity, l_returnflag, l_shipdate' ||
+   CASE WHEN strategy = 'sql_only' THEN '' ELSE chr(10) || '|l_linenumber|l_partkey|l_quantity|l_returnflag|l_shipdate|' || chr(10) ||
+     '|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY i) FILTER (WHERE strategy = 'direct' OR i <= {HYBRID_ROWS}) || chr(10) END AS context
+FROM s GROUP BY case_id, strategy""")
 def q_context_text(spark, sf_dir):
-    """Q10: schema line plus first rows unless the table is SQL-only (rows-only check)."""
-    cells = C.lineitem_cells(spark, sf_dir)
-    return Q.context_text(cells, C.table_shape(cells))
+    """Q10 on tables of all three sizes: lines by part, by supplier and flag, by supplier."""
+    li = table(spark, sf_dir, "lineitem")
+    cases = F.array(*[F.expr(c.format(p="CAST(l_partkey AS STRING)", s="CAST(l_suppkey AS STRING)")) for c in CONTEXT_CASES])
+    rows = li.withColumn("case_key", F.explode(cases))
+    texts = {"l_quantity": F.col("l_quantity").cast("int").cast("string"), "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd")}
+    cells = C.frame_to_cells(rows, "case_key", "lineitem", C.F4_COLUMNS, C.F4_ORDER, texts)
+    return Q.context_text(cells, C.table_shape(cells), HYBRID_ROWS)

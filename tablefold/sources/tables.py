@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -23,56 +23,147 @@ READERS = {
     "pandas": dict(header=True, infer=True),          # S1 inferred types
     "pandas.str": dict(header=True, infer=False),     # S2 all strings
     "pandas.w_idx": dict(header=True, infer=False, index=True),   # S3 first column is the row label
-    "pandas.no_header": dict(header=False, infer=False),          # S4 positional names
+    "pandas.no_header": dict(header=False, infer=True),           # S4 positional names, inferred types
 }
 
+# possessive throughout: matching loops instead of recursing, so long texts don't overflow the stack
+_QUOTED = r'"(?:[^"]++|"")*+"'
+_FIELD = rf"(?:{_QUOTED}[^,\r\n]*+|[^,\r\n]*+)"
+_RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\n|\r)"
+_IN_RECORD = rf"({_QUOTED}[^,]*+|[^,]*+),"
+_INT, _FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_BOOL = r"^(?:True|TRUE|true|False|FALSE|false)$"
 
-def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas",
-                     encoding: str = "UTF-8", malformed_rows: int = 100) -> DataFrame:
-    """CSV files -> ``cells(file_path, case_id, table_name, row_idx, col_idx, col_name, value)``.
-
-    Every file is read as one whole-text record (case tables are small; the
-    corpus is many files, so Spark parallelises over files). Lines are split,
-    posexploded for a stable ``row_idx`` and split on commas outside quotes
-    -- header and width per file come from its own first line, so files of
-    different shapes share one DataFrame. Empty cells are '' (never NULL).
-    A file whose lines do not parse keeps its first ``malformed_rows`` rows (S5).
+
+def _records(text: Column) -> Column:
+    """CSV text -> records: quoted line breaks stay inside, blank lines are skipped."""
+    text = F.regexp_replace(text, r"^\x{FEFF}", "")
+    text = F.when(text.rlike(r"[\r\n]\z"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.filter(F.regexp_extract_all(text, F.lit(_RECORD), 1), lambda r: F.trim(F.translate(r, "\t", " ")) != "")
+
+
+def _fields(record: Column) -> Column:
+    """One record -> unquoted fields; a quote that is not closed is plain text."""
+    def plain(f: Column) -> Column:
+        inner = F.regexp_extract(f, r'(?s)^"((?:[^"]++|"")*+)"', 1)
+        after = F.regexp_extract(f, r'(?s)^"(?:[^"]++|"")*+"(.*)$', 1)
+        return F.when(f.rlike(f"^{_QUOTED}"), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), after)).otherwise(f)
+
+    return F.transform(F.regexp_extract_all(F.concat(record, F.lit(",")), F.lit(_IN_RECORD), 1), plain)
+
+
+def _header(names: Column) -> Column:
+    """Blank names become ``Unnamed: <i>``; the k-th repetition of a name gets ``.k``."""
+    named = F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(n))
+
+    def numbered(n: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(named, F.lit(1), i), lambda x: x == n))
+        return F.when(before > 0, F.concat(n, F.lit("."), before.cast("string"))).otherwise(n)
+
+    return F.transform(named, numbered)
+
+
+def _kind(rows: Column, col: Column) -> Column:
+    """int, float, bool or text: the narrowest type that all values of a column have."""
+    def all_match(pattern: str) -> Column:
+        return F.forall(rows, lambda r: F.get(r, col).rlike(pattern))
+
+    return (F.when(F.size(rows) == 0, "text").when(all_match(_INT), "int").when(all_match(_FLOAT), "float")
+            .when(all_match(_BOOL), "bool").otherwise("text"))
+
+
+def _float_text(d: Column) -> Column:
+    """Text of a double as Python prints it: plain from 1e-4 up to 1e16, else ``1e+16``."""
+    s = d.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(s, r"E-?(\d+)$", 1)
+    science = F.concat(F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)E", 1), r"\.0$", ""),
+                       F.when(s.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+    return (F.when(~s.contains("E"), s).when(F.abs(d).between(1e-4, 9.999999999999998e15), plain).otherwise(science))
+
+
+def _typed(value: Column, kind: Column) -> Column:
+    """The text of a value once read as its column's type: ``007`` -> ``7``, ``1.50`` -> ``1.5``."""
+    return (F.when(kind == "int", F.trim(value).try_cast("bigint").cast("string"))
+            .when(kind == "float", _float_text(F.trim(value).try_cast("double")))
+            .when(kind == "bool", F.initcap(value)).otherwise(value))
+
+
+def parse_case_texts(texts: DataFrame, reader: str = "pandas", infer: bool | None = None) -> DataFrame:
+    """``texts(file_path, text)`` -> one row per file: ``header``, ``rows``, ``bad_rows``.
+
+    ``rows`` holds every row at the header's width: short rows are padded with '', of longer
+    rows the surplus is cut and the row's number (from 0) listed in ``bad_rows``; no row is lost. An empty
+    or NULL text is a table without columns, a header alone one without rows. ``infer`` overrides the
+    reader's choice of typed or plain text. With row labels (S3) ``labels`` holds column 0.
+    All work is inside the row (a case table is small, the corpus is many files): no shuffle.
     """
     opts = READERS[reader]
-    raw = (spark.read.option("encoding", encoding).text(path_glob, wholetext=True)
-           .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
-    lines = raw.select(
-        "file_path",
-        F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("case_dir"),
-        F.regexp_extract("file_path", r"([^/]+)\.csv$", 1).alias("table_name"),
-        F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    fields = F.split(F.col("line"), ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-    lines = lines.withColumn("fields", F.transform(fields, lambda f: F.regexp_replace(
-        F.regexp_replace(f, r'^"|"$', ""), '""', '"')))
+    infer = opts["infer"] if infer is None else infer
+    d = texts.withColumn("_all", F.transform(_records(F.coalesce("text", F.lit(""))), _fields))
+    first = F.coalesce(F.get("_all", F.lit(0)), F.array().cast("array<string>"))
     if opts["header"]:
-        hdr = lines.filter(F.col("line_no") == 0).select("file_path", F.col("fields").alias("header"))
-        body = lines.filter(F.col("line_no") > 0).withColumn("row_idx", (F.col("line_no") - 1).cast("int"))
-        body = body.join(hdr, "file_path", "left")
+        d = d.withColumn("header", _header(first)).withColumn("_body", F.slice("_all", F.lit(2), F.size("_all")))
     else:
-        body = lines.withColumn("row_idx", F.col("line_no").cast("int"))
-        body = body.withColumn("header", F.transform(F.col("fields"), lambda _, i: i.cast("string")))
+        d = d.withColumn("header", F.transform(first, lambda _, i: i.cast("string"))).withColumn("_body", F.col("_all"))
     width = F.size("header")
-    body = body.withColumn("ok", F.size("fields") == width)
-    bad_file = F.max(F.when(~F.col("ok"), 1).otherwise(0)).over(
-        Window.partitionBy("file_path"))
-    body = body.withColumn("_bad", bad_file).filter((F.col("_bad") == 0) | (F.col("row_idx") < malformed_rows))
-    cells = body.select("file_path", "case_dir", "table_name", "row_idx",
-                        F.posexplode(F.arrays_zip(F.col("header").alias("name"),
-                                                  F.col("fields").alias("value"))).alias("col_idx", "cell"))
-    out = cells.select("file_path", F.col("case_dir").alias("case_id"), "table_name", "row_idx",
-                       F.col("col_idx").cast("int"), F.coalesce(F.col("cell.name"), F.lit("")).alias("col_name"),
-                       F.coalesce(F.col("cell.value"), F.lit("")).alias("value"))
+    d = d.withColumn("bad_rows", F.filter(F.transform("_body", lambda r, i: F.when(F.size(r) > width, i)), lambda i: i.isNotNull()))
+    d = d.withColumn("rows", F.transform("_body", lambda r: F.slice(
+        F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), F.lit(1), width)))
+    if infer:
+        cols = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+        d = d.withColumn("kinds", F.transform(cols, lambda c: _kind(F.col("rows"), c)))
+        d = d.withColumn("rows", F.transform("rows", lambda r: F.transform(r, lambda v, i: _typed(v, F.get("kinds", i)))))
     if opts.get("index"):
-        # S3: column 0 is the row label, the others shift left by one
-        out = out.withColumn("row_label", F.first(F.when(F.col("col_idx") == 0, F.col("value")), True).over(
-            Window.partitionBy("file_path", "row_idx")))
-        out = out.filter(F.col("col_idx") > 0).withColumn("col_idx", F.col("col_idx") - 1)
-    return out
+        d = d.withColumn("labels", F.transform("rows", lambda r: F.coalesce(F.get(r, F.lit(0)), F.lit(""))))
+        d = d.withColumn("header", F.slice("header", F.lit(2), F.greatest(width - 1, F.lit(0))))
+        d = d.withColumn("rows", F.transform("rows", lambda r: F.slice(r, F.lit(2), F.size(r))))
+    return d.drop("_all", "_body", "kinds", "text")
+
+
+def case_cells(tables: DataFrame) -> DataFrame:
+    """``parse_case_texts`` -> ``cells(file_path, case_id, table_name, row_idx, col_idx, col_name, value, bad_row)``."""
+    label = ["labels"] if "labels" in tables.columns else []
+    # an inner explode would infer a filter on ``rows``, pushed below the parsing and parsing once more per value
+    rows = tables.select("file_path", "header", "bad_rows", *label, F.posexplode_outer("rows").alias("row_idx", "row")).where("row_idx IS NOT NULL")
+    label = [F.get("labels", F.col("row_idx")).alias("row_label")] if label else []
+    cells = rows.select("file_path", "header", "row_idx", F.array_contains("bad_rows", F.col("row_idx")).alias("bad_row"), *label,
+                        F.posexplode("row").alias("col_idx", "value"))
+    return cells.select("file_path", F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("case_id"),
+                        F.regexp_extract("file_path", r"([^/]+)\.csv$", 1).alias("table_name"),
+                        "row_idx", "col_idx", F.get("header", F.col("col_idx")).alias("col_name"), "value", "bad_row",
+                        *(["row_label"] if label else []))
+
+
+def case_headers(tables: DataFrame) -> DataFrame:
+    """``parse_case_texts`` -> one row per file, those without rows or columns too."""
+    return tables.select("file_path", F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("case_id"),
+                         F.regexp_extract("file_path", r"([^/]+)\.csv$", 1).alias("table_name"),
+                         F.col("header").alias("col_names"), F.size("rows").alias("n_rows"), F.size("bad_rows").alias("n_bad"))
+
+
+def read_case_texts(spark: SparkSession, path_glob: str, encoding: str = "UTF-8") -> DataFrame:
+    """Whole files -> ``texts(file_path, text)``; Spark parallelises over files."""
+    return (spark.read.option("encoding", encoding).text(path_glob, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
+
+
+def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas",
+                     encoding: str = "UTF-8", infer: bool | None = None) -> DataFrame:
+    """CSV files -> cells, see ``parse_case_texts``. Empty cells are '' (never NULL)."""
+    return case_cells(parse_case_texts(read_case_texts(spark, path_glob, encoding), reader, infer))
+
+
+def named_case_tables(cells: DataFrame, cases: DataFrame, field: str) -> DataFrame:
+    """The cells of the table that each case's info names by relative path under ``field``.
+
+    ``cases`` as ``read_case_infos`` gives them; one join on the path. ``case_id`` becomes the case's;
+    a case whose info lacks the field, or names no file of ``cells``, has no cells.
+    """
+    named = F.get_json_object("info_json", f"$['{field}']")
+    paths = cases.select(F.col("case_id").alias("_case"), F.concat_ws("/", "case_path", F.regexp_replace(named, r"^(?:\./)+", ""))
+                         .alias("file_path")).where(named.isNotNull())
+    return cells.join(paths, "file_path").withColumn("case_id", F.col("_case")).select(*cells.columns)
 
 
 def read_case_infos(spark: SparkSession, root: str) -> DataFrame:
@@ -88,14 +179,13 @@ def read_case_infos(spark: SparkSession, root: str) -> DataFrame:
 
 def load_entity_pairs(spark: SparkSession, folder: str, rename: dict | None = None,
                       drop: list[str] | None = None, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """tableA, tableB, train, valid, test with renames and drops."""
+    """tableA, tableB, train, valid, test; renames and drops hold for the two tables only."""
     out = {}
     for name in ("tableA", "tableB", "train", "valid", "test"):
         df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding)
               .csv(os.path.join(folder, f"{name}.csv")))
-        if rename:
-            df = df.withColumnsRenamed({k: v for k, v in rename.items() if k in df.columns})
-        if drop:
-            df = df.drop(*[c for c in drop if c in df.columns])
+        if name in ("tableA", "tableB"):
+            df = df.withColumnsRenamed({k: v for k, v in (rename or {}).items() if k in df.columns})
+            df = df.drop(*[c for c in drop or [] if c in df.columns])
         out[name] = df
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablefold.operators.prompts import build_metadata, fill, lint_configs, list_field
 from tablefold.sources import io as IO
-from tablefold.sources.tables import read_case_infos, read_case_tables
+from tablefold.sources.tables import case_cells, case_headers, parse_case_texts, read_case_infos, read_case_tables
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -36,6 +36,25 @@ def test_read_case_tables_and_infos(spark):
     assert sorted((r.dataset, r.case_id) for r in infos) == [("ds", "c1"), ("ds", "c2")]
 
 
+def test_parse_case_texts_edges(spark):
+    texts = spark.createDataFrame([
+        ("d/null/t.csv", None), ("d/empty/t.csv", ""), ("d/head/t.csv", "a,b\n"),
+        ("d/open/t.csv", 'a,b\n"x,1\n'), ("d/long/t.csv", "a\n" + "1\n" * 5000), ("d/wide/t.csv", "t\n\"" + "y" * 100000 + "\n\"\n"),
+        ("d/names/t.csv", "a,,a\n1,2,3"), ("d/float/t.csv", "a,b\n1e20,0.00012\n12345678.5,-.5"), ("d/mixed/t.csv", "a\n007\nx"),
+    ], "file_path string, text string")
+    parsed = parse_case_texts(texts)
+    got = {r.file_path.split("/")[1]: r for r in parsed.collect()}
+    assert got["null"].header == got["empty"].header == [] and got["null"].rows == []
+    assert got["head"].header == ["a", "b"] and got["head"].rows == []
+    assert got["open"].rows == [['"x', "1"]]
+    assert len(got["long"].rows) == 5000 and len(got["wide"].rows[0][0]) == 100001
+    assert got["names"].header == ["a", "Unnamed: 1", "a.1"]
+    assert got["float"].rows == [["1e+20", "0.00012"], ["12345678.5", "-0.5"]]
+    assert got["mixed"].rows == [["007"], ["x"]]
+    assert case_cells(parsed).where("case_id IN ('null', 'empty', 'head')").count() == 0
+    assert case_headers(parsed).count() == 9
+
+
 def test_prompt_io_roundtrip(spark):
     out = tempfile.mkdtemp(prefix="tablefold-test-")
     p = spark.createDataFrame([(1, "p1", True), (2, "p2", False)], "case_id long, prompt string, valid boolean")
@@ -69,6 +88,8 @@ def test_fill_lint_and_metadata(spark):
     assert res == {"ok": True, "bad": False}
     m = df.select(build_metadata({"task": F.lit("T"), "case_path": F.lit("/home/u/x")},
                                  F.lit('{"task": "override", "k": 1}'), home="/home/u").alias("m")).first().m
-    assert json.loads(m) == {"case_path": "$HOME/x", "task": "override", "k": "1"}
+    assert json.loads(m) == {"case_path": "$HOME/x", "task": "override", "k": 1}
+    m = df.select(build_metadata({"task": F.lit("T")}, F.lit("not json")).alias("m")).first().m
+    assert json.loads(m) == {"task": "T"}
     items = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "case_id long, pos int, v string")
     assert list_field(items, ["case_id"], "- {{{v}}}", {"v": "v"}).first().text == "- a\n- b"
