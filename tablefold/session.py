@@ -82,15 +82,26 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+_SHUFFLING = {"Aggregate", "Window", "Join", "Sort", "Distinct", "Deduplicate", "Repartition", "RepartitionByExpression",
+              "RebalancePartitions", "Intersect", "Except", "GlobalLimit", "Pivot", "AsOfJoin"}
+
+
+def _shuffles(plan) -> bool:
+    """Whether a logical plan has an operator that moves rows."""
+    kids = plan.children()
+    return plan.nodeName() in _SHUFFLING or any(_shuffles(kids.apply(i)) for i in range(kids.size()))
+
+
 def spread(df):
     """Round-robin repartition when a scan gives fewer partitions than the cluster has cores.
 
     CPU-heavy row work (regexes, JSON parsing, candidate generation) runs in
     the scan stage; a table stored as one large row group would put all of it
     in one task. On big inputs the scan already has enough partitions and this
-    is a no-op (no shuffle). Streaming inputs are returned unchanged.
+    is a no-op (no shuffle). Streaming inputs are returned unchanged, as are those with a shuffle:
+    it spreads the rows, and asking for its partitions would run it. No job runs here.
     """
-    if df.isStreaming:
+    if df.isStreaming or _shuffles(df._jdf.queryExecution().analyzed()):
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < n:
