@@ -15,12 +15,18 @@ segments of a similar pair hold equal (or nearly equal) subsets:
   themselves, so no pair is lost.
 * Subset hashes are sums of mixed token hashes: a deletion is one subtraction.
 
-Documents that meet no other under any key are done. The rest are indexed again and compared in
-rounds: under each key whose documents are not yet in one component, a document is verified against
-a pivot, one that shares keys with most others (the text that copies were made from, for instance); after ``PIVOT_ROUNDS`` rounds whatever pairs are still open, and share as many keys as a
-similar pair must, are verified one by one. A group of thousands of copies thus costs a few
-comparisons each, and no link between components is lost. Verification intersects the two sets in
-full.
+Documents that meet no other under any key are done. Of the rest each takes a hub: of all sets that it
+shares a key with the one that meets most others (the text that copies were made from, for instance).
+
+* Same hub: a set is looked at as its difference from the hub. ``r`` and ``s`` differ by the symmetric
+  difference of their differences, so that similar ones must have ``(|Dr| + |Ds| - H) / 2`` tokens of
+  these in common. Sets that are similar to their hub are linked by it; a pair that is not must have at
+  least one such token. Tokens are ordered from the rarest on, so only the first of a difference are
+  indexed, and a common one counts only if enough may follow it (prefix and place filter). The edits
+  of copies are rare tokens: groups of thousands of copies give few candidates.
+* Other hubs: the same filters over the index keys themselves, of which similar sets share ``least``.
+
+All candidates are verified in full: the two sets are intersected.
 """
 
 from __future__ import annotations
@@ -38,10 +44,6 @@ from tablefold.llm import common as C
 SHINGLE = 5
 PERCENT = 80              # linked when 100 * intersection >= PERCENT * union
 BAND_RATIO = 1.4
-PIVOT_ROUNDS = 4
-TESTS = 5                 # pivots that a set is verified against in a round
-PIVOTS = 8                # pivots of a list: the most central set of each part by hash
-PIVOT_KEYS = 8            # pivot rounds look at one key in so many
 CHANCE_COST = 25.0        # cost of verifying a chance match, in index entries
 SPARE = 0.25              # segments beyond what the pigeonhole needs: similar sets share so many keys more
 WIDTH = 5                 # bytes of a key that travel, besides those of its bucket; matches are verified
@@ -76,17 +78,17 @@ def schemes(largest: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
 
 
 def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least, held, per, own).
+    """Index keys of sets given as sorted distinct hashes one after another: (keys, set number, least, back).
 
-    ``held`` is what the set's usable segments add up to (a segment of threshold 1 counts ``per`` = 2).
-    Segments that differ by more than their threshold use up what two sets may differ by, so a
-    similar set shares at least ``(held - differ) / per`` keys of the scheme; ``least`` is that for the
-    largest partner of the set. ``own`` is 1 in the scheme of the set's own band; a pair's scheme is
-    that of its smaller set.
+    A set's usable segments add up to ``held`` (a segment of threshold 1 counts ``per`` = 2). Segments
+    that differ by more than their threshold use up what two sets may differ by, so a similar set
+    shares at least ``(held - differ) / per`` keys of the scheme; ``least`` is that for the largest
+    partner of the set. ``back`` tells a set's schemes apart: 0 is that of its own band, 1 that of the
+    band below, and so on. A pair's scheme is that of its smaller set.
     """
     largest = int(sizes.max()) if len(sizes) else 0
     if largest == 0:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     lo, hi, reach, differ, segments, ones = schemes(1 << max(6, largest.bit_length()), percent)
     band = np.searchsorted(lo, sizes, "right") - 1
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -120,7 +122,7 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         partner = np.minimum(reach[sch] if back == 0 else hi[sch], n * 100 // percent)      # the largest; of a smaller band: that band's
         spare = held - (n + partner) * (100 - percent) // (100 + percent)
         per = np.where(ones[sch] > 0, 2, 1)
-        more = np.stack([np.maximum(1, -(-spare // per)), held, per, np.full(len(sets), int(back == 0))])
+        more = np.stack([np.maximum(1, -(-spare // per)), np.full(len(sets), back)])
         keys_out.append(C.mix(sums + tag))
         sets_out.append(sets[c_own])
         more_out.append(more[:, c_own])
@@ -139,7 +141,7 @@ def index_keys(tokens: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
             sets_out.append(np.full(len(empty), sets[k]))
             more_out.append(np.repeat(more[:, k:k + 1], len(empty), axis=1))
     if not keys_out:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     return (np.concatenate(keys_out), np.concatenate(sets_out), *np.concatenate(more_out, axis=1))
 
 
@@ -268,84 +270,85 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", linked("ta", "tb", percent).alias("ok"))
 
 
-def index_rows(sets: DataFrame, percent: int, part: int = 1) -> DataFrame:
-    """(key, node, comp, size) of sets (node, comp, tokens); with ``part`` one key in so many.
-
-    ``size`` holds the set's size, what its usable segments add up to, if the scheme is its own, and ``per``.
-    """
+def index_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, back, least, n) of sets (node, tokens); n is the set's size."""
     def index(batches):
         for batch in batches:
-            nodes, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            tokens = batch.column(2)
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            tokens = batch.column(1)
             for lo in range(0, len(nodes), 500):
                 some = tokens.slice(lo, 500)
                 sizes = np.diff(some.offsets.to_numpy())
-                keys, row, _, held, per, own = index_keys(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
-                take = keys % np.uint64(part) == 0
-                row = row[take]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(nodes[lo:lo + 500][row]),
-                                                  pa.array(comps[lo:lo + 500][row]),
-                                                  pa.array((sizes[row].astype(np.int64) << 32) + held[take] * 4 + own[take] * 2 + per[take] - 1)], names)
+                keys, row, least, back = index_keys(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sizes, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[lo:lo + 500][row]), pa.array(back, pa.int32()),
+                                                  pa.array(least, pa.int32()), pa.array(sizes[row], pa.int32())], ["key", "node", "back", "least", "n"])
+
+    return sets.select("node", "tokens").mapInArrow(index, "key long, node long, back int, least int, n int")
 
-    names = ["key", "node", "comp", "size"]
-    return sets.select("node", "comp", "tokens").mapInArrow(index, ", ".join(f"{x} long" for x in names))
 
+def hubs(shared: DataFrame) -> DataFrame:
+    """(node, hub): of the nodes under a node's keys, itself included, the one that meets most others."""
+    central = shared.join(shared.groupBy("node").agg(F.sum("others").alias("central")), "node")
+    top = central.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"))
+    return shared.join(top, "key").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("hub"))
 
-def still_open(lists: DataFrame) -> DataFrame:
-    """Rows of the keys whose nodes are in two components at least."""
-    keys = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return lists.join(keys, "key")
+
+def differences(sets: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """(node, hub, n, nh, diff, ok): what each set and its hub don't share, and whether they are similar.
+
+    A hub's set is sent once to each part of its nodes, so that no task gets all nodes of a hub;
+    there are no more copies of sets than nodes.
+    """
+    parts = C.shuffle_partitions(sets.sparkSession)
+    mine = sets.join(hub, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+    wanted = hub.select("hub", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).distinct()
+    heads = wanted.join(sets.select(F.col("node").alias("hub"), F.col("tokens").alias("other")), "hub")
+    both = mine.join(heads, ["hub", "part"])
+    diff = F.concat(F.array_except("tokens", "other"), F.array_except("other", "tokens"))
+    rows = both.select("node", "hub", F.size("tokens").alias("n"), F.size("other").alias("nh"), diff.alias("diff"))
+    return rows.withColumn("ok", F.size("diff") <= F.expr(f"(n + nh) * {100 - percent} DIV {100 + percent}"))
+
+
+def same_hub(diffs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of one hub that may be similar, but for those that are both linked to it."""
+    c = f"{100 - percent} / {100 + percent}D"
+    flat = diffs.select("node", "n", "nh", "ok", F.size("diff").alias("d"), "hub", F.explode("diff").alias("token"))
+    flat = flat.select("node", "n", "nh", "ok", "d", F.xxhash64("hub", "token").alias("key"))
+    often = flat.groupBy("key").agg(F.count("*").alias("others")).where("others > 1")
+    mine = Window.partitionBy("node")
+    rows = flat.join(often, "key").withColumn("at", F.row_number().over(mine.orderBy("others", "key")) - 1 + F.col("d") - F.count("*").over(mine))
+    # what a partner must share at least: it is not linked to the hub if this set is; else it may be any
+    most = f"(n + n * 100 DIV {percent}) * {100 - percent} DIV {100 + percent}"
+    need = f"greatest(1, d - {most}, CASE WHEN ok THEN cast(floor((d + (nh - n) * {c}) / 2) AS int) + 1 ELSE (d + 2 - {most}) DIV 2 END)"
+    rows = rows.where(F.expr(f"at <= d - {need}")).select("key", "node", "n", "ok", "d", "at")
+    differ = f"(l.n + o.n) * {100 - percent} DIV {100 + percent}"
+    return rows.alias("l").join(rows.alias("o"), "key").where(
+        f"l.node < o.node AND NOT (l.ok AND o.ok) AND 100 * least(l.n, o.n) >= {percent} * greatest(l.n, o.n) "
+        f"AND 2 * least(l.d - l.at, o.d - o.at) >= l.d + o.d - {differ}").select(F.col("l.node").alias("a"), F.col("o.node").alias("b"))
+
+
+def other_hub(shared: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of two hubs that may be similar, from the index keys."""
+    named = shared.join(hub, "node")
+    keys = named.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).where("lo <> hi").select("key")
+    mine = Window.partitionBy("node", "back")
+    rows = named.join(keys, "key").withColumn("held", F.count("*").over(mine)).withColumn("at", F.row_number().over(mine.orderBy("others", "key")) - 1)
+    rows = rows.where("held - at >= least").select("key", "node", "hub", "n", "least", F.expr("held - at").alias("rest"))
+    return rows.alias("l").join(rows.alias("o"), "key").where(
+        f"l.node < o.node AND l.hub <> o.hub AND 100 * least(l.n, o.n) >= {percent} * greatest(l.n, o.n) "
+        "AND least(l.rest, o.rest) >= greatest(l.least, o.least)").select(F.col("l.node").alias("a"), F.col("o.node").alias("b"))
 
 
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that are linked, from ``sets`` (node, tokens), one row a set."""
-    some = still_open(index_rows(sets.withColumn("comp", F.col("node")), percent, PIVOT_KEYS)).drop("size")
-    central = some.join(some.groupBy("key").agg(F.count("*").alias("others")), "key").groupBy("node").agg(F.sum("others").alias("central"))
-    some = C.written(some.join(central, "node"), "ngram-pivots")
-    tested = comp = None
-    for round_no in range(PIVOT_ROUNDS + 1):
-        if round_no < PIVOT_ROUNDS:        # against the most central node of each of some parts of a list
-            lists = some
-            if comp is not None:
-                lists = some.drop("comp").join(comp.withColumnRenamed("component", "comp"), "node", "left")
-                lists = lists.withColumn("comp", F.coalesce("comp", "node"))
-            rank = F.struct("central", "node", "comp")
-            ends = lists.groupBy("key").agg(*[F.max(F.when(F.pmod("node", F.lit(PIVOTS)) == i, rank)).alias(f"p{i}") for i in range(PIVOTS)],
-                                            F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            other = ends.where("lo <> hi").select("key", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("o")).where("o IS NOT NULL")
-            other = other.select("key", "o.node", "o.comp")
-            met_rows = lists.alias("l").join(other.alias("o"), "key").where("l.comp <> o.comp").select(
-                F.least("l.node", "o.node").alias("a"), F.greatest("l.node", "o.node").alias("b"), F.col("l.node").alias("node"))
-            pairs = met_rows.groupBy("node", "a", "b").agg(F.count("*").alias("n"))
-        else:                              # whatever is open yet under any key: each pair once
-            named = sets
-            if comp is not None:
-                named = sets.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            else:
-                named = sets.withColumn("comp", F.col("node"))
-            lists = C.written(still_open(index_rows(named, percent)), "ngram-open")
-            lists = lists.selectExpr("key", "node", "comp", "shiftright(size, 32) AS n", "(size & 4294967295) DIV 4 AS held", "(size & 2) > 0 AS own", "(size & 1) + 1 AS per")
-            scheme = "(l.own AND l.n <= o.n OR o.own AND o.n <= l.n)"
-            fits = f"100 * least(l.n, o.n) >= {percent} * greatest(l.n, o.n)"
-            differ = f"(l.n + o.n) * {100 - percent} DIV {100 + percent}"
-            met_rows = lists.alias("l").join(lists.alias("o"), "key").where(f"l.comp <> o.comp AND l.node < o.node AND {scheme} AND {fits}").select(
-                F.col("l.node").alias("a"), F.col("o.node").alias("b"),
-                F.expr(f"greatest(ceil((l.held - {differ}) / l.per), ceil((o.held - {differ}) / o.per))").alias("least"))
-            pairs = met_rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least")
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        if round_no < PIVOT_ROUNDS:        # of a set's pivots those that share most keys
-            best = F.slice(F.sort_array(F.collect_list(F.struct("n", "a", "b")), asc=False), 1, TESTS)      # of one set's own keys' pivots
-            pairs = pairs.groupBy("node").agg(best.alias("best")).select(F.explode("best").alias("p")).select("p.a", "p.b")
-        now = C.written(verified(pairs.select("a", "b").distinct(), sets, percent), "ngram-verified")
-        n_ok = now.where("ok").count()
-        tested = now if tested is None else tested.union(now)
-        if n_ok:
-            fresh = now.where("ok").select("a", "b")
-            if comp is not None:
-                fresh = fresh.union(comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-            comp = C.components(fresh, "ngram-components")
-    return comp if comp is not None else C.components(tested.where("ok").select("a", "b"), "ngram-components")
+    rows = index_rows(sets, percent)
+    lists = rows.groupBy("key").agg(F.count("*").alias("others")).where("others > 1")
+    shared = C.written(rows.join(lists, "key"), "ngram-shared")
+    hub = C.written(hubs(shared), "ngram-hubs")
+    diffs = C.written(differences(sets, hub, percent), "ngram-differences")
+    pairs = C.written(same_hub(diffs, percent).union(other_hub(shared, hub, percent)).distinct(), "ngram-pairs")
+    found = verified(pairs, sets, percent).where("ok").select("a", "b")
+    return C.components(found.union(diffs.where("ok AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "ngram-components")
 
 
 def near_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

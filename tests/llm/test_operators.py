@@ -57,6 +57,30 @@ def test_ngram_join(make):
     assert got == {i: (len(s[i]), comp[i]) for i in ids}
 
 
+def test_ngram_join_group_of_edited_copies(make):
+    """Copies of one text with few to many edits, some of them alike, around a hub and around a common passage."""
+    r = random.Random(11)
+    vocab = ["v%d" % i for i in range(4000)]
+    base = [r.choice(vocab) for _ in range(150)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 180):
+        words = list(base) if i % 4 else rows[r.randrange(len(rows))][1].split()
+        for _ in range(r.choice([1, 2, 3, 4, 6, 9])):
+            at = r.randrange(len(words))
+            words[at:at + r.choice([0, 1, 1, 2])] = [r.choice(vocab)]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:60] + [r.choice(vocab) for _ in range(r.choice([4, 8, 40]))])) for i in range(40)]
+    s = {i: x for i, x in sets(rows).items()}
+    comp = {i: i for i in s}
+    for a in s:
+        for b in s:
+            if a < b and comp[a] != comp[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {k: low if v == high else v for k, v in comp.items()}
+    assert len(set(comp.values())) > 20 and max(list(comp.values()).count(v) for v in set(comp.values())) > 40
+    assert {x.doc_id: x.component_id for x in ngram_join.near_classes(make(rows)).collect()} == comp
+
+
 def test_ngram_join_empty_and_null_ids(make):
     assert ngram_join.near_classes(make([])).collect() == []
     got = ngram_join.near_classes(make([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "A b c d e f")])).collect()
