@@ -372,7 +372,7 @@ def near_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> D
     comp = links(sets, percent)
     named = base.join(comp, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = named.where("comp IS NOT NULL AND doc_id IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "comp", "left")
+    out = named.join(C.written(least, "ngram-least"), "comp", "left")         # written: Spark splits a large component's rows
     return out.select("doc_id", "n_shingles",
                       F.when(F.col("doc_id").isNull(), F.lit(None).cast("long"))
                       .otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
