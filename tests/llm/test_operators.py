@@ -206,6 +206,25 @@ def test_embeddings(spark):
     assert got[90005].component_id <= rows[0][0] and all(got[i].n_links == 0 and got[i].component_id == i for i in range(90001, 90005))
 
 
+def test_embeddings_of_dense_groups(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_MOST", 1000)
+    monkeypatch.setattr(ann, "EXACT", 1000, raising=False)
+    rng = np.random.default_rng(3)
+    at = lambda n, spread: rng.normal(size=64) / 8 + spread * rng.normal(size=(n, 64))
+    groups = [np.concatenate([at(2300, 0.028), rng.normal(size=(300, 64))]), at(2400, 0.012), rng.normal(size=(50, 64))]
+    v = np.concatenate(groups)
+    labels = np.repeat(np.arange(3), [len(g) for g in groups])
+    df = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, labels))], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: r for r in ann.near_duplicates(df.repartition(8)).collect()}
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hit = (v @ v.T >= 0.93) & (labels[:, None] == labels[None, :])
+    assert [got[i].n_links for i in range(len(v))] == (hit.sum(1) - 1).tolist()
+    least = np.arange(len(v))
+    for _ in range(20):
+        least = np.array([least[h].min() for h in hit])
+    assert [got[i].component_id for i in range(len(v))] == least.tolist()
+
+
 def test_pii(make):
     text = "mail a.b@c-d.org, ip 10.0.0.255 not 10.0.0.256 card 4111 1111 1111 1111 call +1 (555) 010-9999."
     rows = [(1, text), (2, None), (3, ""), (4, "nothing here"), (5, "É " * 5 + "x@y.zz"), (5, "a@b@c.d")]
