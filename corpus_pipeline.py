@@ -37,18 +37,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every span of personal data by its kind; n_chars follows the text."""
+    """Replace every span of personal data by its kind, overlapping ones by that of the longest; n_chars follows the text."""
     docs = _columns(docs)
     found = pii.find(docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").alias("body")), keep=["body", "lang", "source", "n_chars"])
-    # from the last span to the first, so that places before it stay right; a span inside a masked one is skipped
-    spans = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.reverse(F.split("spans", ",")))
-    parts = F.transform(spans, lambda s: F.split(s, ":"))
+    # overlapping spans are one interval, of the longest one's kind; ``at`` is how much of the body has been taken
+    spans = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", ","))
+    part = lambda s, i: F.split(s, ":")[i]
+    parts = F.array_sort(F.transform(spans, lambda s: F.struct(part(s, 1).cast("int").alias("s"), part(s, 2).cast("int").alias("e"), part(s, 0).alias("kind"))))
     mask = F.create_map(*[F.lit(x) for kv in MASK.items() for x in kv])
-    start = F.struct(F.col("body").alias("t"), F.length("body").alias("at"))
-    step = lambda acc, p: F.when(p[2].cast("int") <= acc["at"], F.struct(
-        F.concat(F.substring(acc["t"], F.lit(1), p[1].cast("int")), F.element_at(mask, p[0]),
-                 F.substring(acc["t"], p[2].cast("int") + 1, F.length(acc["t"]))).alias("t"), p[1].cast("int").alias("at"))).otherwise(acc)
-    text = F.aggregate(parts, start, step)["t"]
+    state = lambda t, at, s, e, kind, size: F.struct(t.alias("t"), at.alias("at"), s.alias("s"), e.alias("e"), kind.alias("kind"), size.alias("size"))
+    taken = lambda acc: F.when(acc["kind"].isNull(), acc["t"]).otherwise(F.concat(
+        acc["t"], F.substring(F.col("body"), acc["at"] + 1, acc["s"] - acc["at"]), F.element_at(mask, acc["kind"])))
+    step = lambda acc, p: F.when(p["s"] < acc["e"], state(
+        acc["t"], acc["at"], acc["s"], F.greatest(acc["e"], p["e"]), F.when(p["e"] - p["s"] > acc["size"], p["kind"]).otherwise(acc["kind"]),
+        F.greatest(acc["size"], p["e"] - p["s"]))).otherwise(state(taken(acc), acc["e"], p["s"], p["e"], p["kind"], p["e"] - p["s"]))
+    zero = F.lit(0)
+    text = F.aggregate(parts, state(F.lit(""), zero, zero, zero, F.lit(None).cast("string"), zero), step,
+                       lambda acc: F.concat(taken(acc), F.substring(F.col("body"), acc["e"] + 1, F.length("body"))))
     return found.select("doc_id", F.when(F.col("spans") == "", F.col("body")).otherwise(text).alias("text"), "lang", "source", "n_chars").withColumn(
         "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 

@@ -270,6 +270,14 @@ def test_rollup(make):
     assert rollup.maintained(make([])).collect() == []
 
 
+def test_masks_cover_overlapping_spans(make):
+    import corpus_pipeline
+    texts = ["root@10.0.0.1", "4111111111111111@mail.com", "+49.30.12.34.567", "a root@10.0.0.1 b 10.0.0.2 c", "none", None]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.mask_personal_data(None, make(list(enumerate(texts))), None).collect()}
+    assert [got[i][0] for i in range(6)] == ["<EMAIL>", "<EMAIL>", "<PHONE>", "a <EMAIL> b <IP> c", "none", None]
+    assert [got[i][1] for i in range(5)] == [7, 7, 7, 18, 4]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
