@@ -254,6 +254,15 @@ def test_html(spark):
     assert got == {**{i: f"Head One{i} & two three bolder" for i in range(4)}, 9: "", 10: "", 11: "plain text"}
 
 
+def test_html_attributes(spark):
+    page = ("<html><body class='single no-sidebar'><div class=ad>buy</div><article><div class='article-header'><h1>Head</h1></div>"
+            "<p title='a hidden gem'>one <a href=\"/hidden-valley\">two</a> <a href=/x?id=search>three</a> <i aria-hidden=\"false\">four</i></p>"
+            "<p hidden>no</p><p style='color:red; display: none'>no</p><p class='x share'>no</p><p id=comments>no</p></article></body></html>")
+    rows = [(1, "http://h.example/1", page), (2, "http://g.example/", "<body class='menu'><main class='header'><p data-id='menu'>text</p></main>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Head one two three four", 2: "text"}
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
