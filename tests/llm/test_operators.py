@@ -254,6 +254,12 @@ def test_html(spark):
     assert got == {**{i: f"Head One{i} & two three bolder" for i in range(4)}, 9: "", 10: "", 11: "plain text"}
 
 
+def test_html_vectors_tell_counts_of_pages_apart(spark):
+    rows = [(1, "h", "<div class=a></div><div class=a></div><div class=b></div>"), (2, "h", "<div class=a></div><div class=b></div><div class=b></div>")]
+    got = html_extract.occurrences(spark.createDataFrame(rows, "page_id long, host string, html string")).collect()
+    assert len(got) == 2 and len({r.vector for r in got}) == 2 and {r.pages for r in got} == {2}
+
+
 def test_html_attributes(spark):
     page = ("<html><body class='single no-sidebar'><div class=ad>buy</div><article><div class='article-header'><h1>Head</h1></div>"
             "<p title='a hidden gem'>one <a href=\"/hidden-valley\">two</a> <a href=/x?id=search>three</a> <i aria-hidden=\"false\">four</i></p>"
