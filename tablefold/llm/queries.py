@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablefold.llm import ann, html_extract, mixing, ngram_join, packing, pii, quality, rollup, simhash, span_dedup
+from tablefold.llm import ann, html_extract, mixing, ngram_join, packing, pii, quality, repair, rollup, simhash, span_dedup, spelling, token_files
 from tablefold.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,19 @@ def q_mixing(spark, sf_dir):
 @register("op10_embedding_graph")
 def q_embeddings(spark, sf_dir):
     return ann.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_arrow_token_files")
+def q_token_files(spark, sf_dir):
+    import public_tokenizers
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op12_spelling_variants")
+def q_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair")
+def q_repair(spark, sf_dir):
+    return repair.repaired(table(spark, sf_dir, "conversations"))
