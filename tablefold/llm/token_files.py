@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ from tablefold.session import ensure_checkpoint_dir
 LENGTH = 1024                 # ids of a sequence
 BATCH = 512                   # sequences of a record batch
 RANGE_BYTES = 48 << 20        # text of a range, which becomes a file
-CACHE = 1 << 18               # distinct pieces of text whose ids a task keeps
+CACHE = 1 << 18               # distinct pieces of text whose ids a task keeps, twice
+BLOCK_BYTES = 8 << 20         # text encoded at once
 END = 2                       # the id that closes a document
 MANIFEST = "part int, data string, places string, docs long, tokens long"
 
@@ -144,11 +146,13 @@ class TokenFile:
 # encoding
 # ---------------------------------------------------------------------------
 class Encoder:
-    """text -> ids as little-endian unsigned 32-bit bytes.
+    """Texts -> ids, block by block.
 
-    If the tokenizer's own pattern drops white space (``spaced``), a text is the sum of its pieces
-    between blanks, tabs and line breaks: each distinct piece is encoded once and kept in a bounded
-    table. Other tokenizers, and texts that hold a special token's string, get whole texts.
+    If the tokenizer's own pattern drops white space (``spaced``), a text's ids are those of its pieces
+    between blanks, tabs and line breaks, in lower case as the tokenizer has it: Arrow cuts a block of texts
+    into pieces and numbers the distinct ones, each of which is encoded once and kept in a bounded table.
+    A full stop or comma after a small Latin letter is a piece too. Other tokenizers, and texts that hold a
+    special token's string, get whole texts.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -157,22 +161,71 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.known: dict[str, bytes] = {"": b""}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if not self.spaced or any(s in text for s in self.special):
-            return self.whole([text])[0]
-        parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces as bytes."""
+        known, older = self.known, self.older
+        new = []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         if new:
-            if len(known) + len(new) > CACHE:
-                known = self.known = {"": b""}
-                new = list(set(parts) - {""})
-            known.update(zip(new, self.whole(new)))
-        return b"".join(map(known.__getitem__, parts))
+            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(new)), "right") * 4
+            at = 0
+            for p, end in zip(new, ends.tolist()):
+                known[p] = ids[at:end]
+                at = end
+        out = [known[p] for p in pieces]
+        if len(known) > CACHE:
+            self.known, self.older = {"": b""}, known
+        return out
+
+    def block(self, texts: pa.Array):
+        """Ids of every text of a block, in order."""
+        if not self.spaced:
+            for t in texts:
+                yield self.whole(t.as_py())
+            return
+        low = pc.ascii_lower(texts)
+        odd = np.zeros(len(texts), bool)
+        for s in self.special:
+            odd |= pc.match_substring(low, s.lower()).to_numpy(zero_copy_only=False)
+        for blank in "\n\t\r":
+            low = pc.replace_substring(low, blank, " ")
+        low = pc.replace_substring_regex(low, "([a-z\u00DF-\u00F6\u00F8-\u00FF])([.,]) ", r"\1 \2 ")
+        lists = pc.split_pattern(low, " ")
+        ends = lists.offsets.to_numpy()
+        pieces = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        parts = self._pieces(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes
+        index = pieces.indices.to_numpy()
+        n = sizes[index]
+        after = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(starts[index] - after[:-1], n) + np.arange(after[-1])]
+        cuts = after[ends - ends[0]].tolist()
+        for row, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            yield self.whole(texts[row].as_py()) if odd[row] else flat[lo:hi]
+
+    def __call__(self, texts: pa.Array):
+        """Ids of every text, in order; blocks of ``BLOCK_BYTES``, a longer text is a block of its own."""
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + BLOCK_BYTES, "right")))
+            yield from self.block(texts.slice(lo, hi - lo))
+            lo = hi
 
 
 def drops_space(path: str) -> bool:
@@ -221,8 +274,9 @@ def write_files(docs: DataFrame, json_path: str, folder: str | None = None, end:
                 encode = Encoder(json_path, spaced)
                 width = np.uint16 if max(encode.tok.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else np.uint32
                 writer = Writer(folder, f"{part:08d}-{uuid.uuid4().hex}", width, length)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                writer.add(doc, np.append(np.frombuffer(encode(text.as_py()), "<u4"), np.uint32(end)))
+            if batch.num_rows:
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    writer.add(doc, np.append(ids, np.uint32(end)))
         if writer is not None:
             data, places, n, tokens = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data]), pa.array([places]), pa.array([n], pa.int64()),
