@@ -2,8 +2,7 @@
 
 K1 counts tokens with a regex piece rule that runs JVM-side (no tokenizer
 vocabulary needed): a run of ASCII letters/digits is one token, every other
-non-blank character is one token. Texts over 640,000 characters count as
-infinite, as in the reference.
+non-blank character is one token. Texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -15,8 +15,7 @@ TOKEN = K.TOKEN_PATTERN
 
 F6_SQL = f"""
 prompts AS (SELECT doc_id AS case_id, lang AS dataset, text AS prompt,
-  CASE WHEN length(text) > 640000 THEN CAST('inf' AS DOUBLE)
-       ELSE CAST(len(regexp_extract_all(text, '{TOKEN}')) AS DOUBLE) END AS token_count
+  CAST(len(regexp_extract_all(text, '{TOKEN}')) AS DOUBLE) AS token_count
   FROM documents),
 budget AS (SELECT *, token_count <= {LIMIT} AS valid FROM prompts)
 """

@@ -61,13 +61,18 @@ def q_ffill(spark, sf_dir):
 @register("reshape_explode", f4("""p AS (SELECT case_id, table_name, row_idx, string_split(value, '-') AS ps FROM cells WHERE col_idx = 4),
 o AS (SELECT *, coalesce(sum(len(ps)) OVER (PARTITION BY case_id, table_name ORDER BY row_idx
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p),
-e AS (SELECT case_id, table_name, row_idx, off, trim(unnest(ps)) AS piece, generate_subscripts(ps, 1) - 1 AS j FROM o)
-""" + OUT + """(SELECT c.case_id, c.table_name, e.off + e.j AS row_idx, c.col_idx, c.col_name,
+e AS (SELECT case_id, table_name, row_idx, off, trim(unnest(ps)) AS piece, generate_subscripts(ps, 1) - 1 AS j FROM o),
+x AS (SELECT c.case_id, c.table_name, e.off + e.j AS row_idx, c.col_idx, c.col_name,
   CASE WHEN c.col_idx = 4 THEN e.piece ELSE c.value END AS value
-  FROM cells c JOIN e ON c.case_id = e.case_id AND c.table_name = e.table_name AND c.row_idx = e.row_idx)"""))
+  FROM cells c JOIN e ON c.case_id = e.case_id AND c.table_name = e.table_name AND c.row_idx = e.row_idx)
+SELECT case_id, count(*) AS n_cells, sha256(string_agg(row_idx || '|' || col_idx || '|' || col_name || '|' || value, chr(10)
+  ORDER BY row_idx, col_idx)) AS cells_sha256 FROM x GROUP BY case_id"""))
 def q_explode(spark, sf_dir):
-    """Explode the ship date on '-' (three rows per line)."""
-    return RS.explode(_cells(spark, sf_dir), 4, "-")
+    """Explode the ship date on '-' (three rows per line); all cells of a case as one digest."""
+    cells = RS.explode(_cells(spark, sf_dir), 4, "-")
+    line = F.concat_ws("|", F.col("row_idx").cast("string"), F.col("col_idx").cast("string"), "col_name", "value")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", line.alias("line")))), lambda x: x["line"])
+    return cells.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sha2(F.array_join(lines, "\n"), 256).alias("cells_sha256"))
 
 
 def _subtitled(c):

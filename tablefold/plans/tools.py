@@ -189,7 +189,7 @@ def q_run_select(spark, sf_dir):
     return rows.select("*", total.scalar().alias("total_rows"))
 
 
-HYBRID_ROWS = 20
+HYBRID_ROWS = 100
 CONTEXT_CASES = ["'part ' || {p}", "'supplier ' || {s} || ' ' || l_returnflag", "'supplier ' || {s}"]   # direct, hybrid, sql_only
 CONTEXT_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 

@@ -31,7 +31,7 @@ _QUOTED = r'"(?:[^"]++|"")*+"'
 _FIELD = rf"(?:{_QUOTED}[^,\r\n]*+|[^,\r\n]*+)"
 _RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r\n|\n|\r)"
 _IN_RECORD = rf"({_QUOTED}[^,]*+|[^,]*+),"
-_INT, _FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+_INT, _FLOAT = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _BOOL = r"^(?:True|TRUE|true|False|FALSE|false)$"
 
 
@@ -79,12 +79,13 @@ def _float_text(d: Column) -> Column:
     power = F.regexp_extract(s, r"E-?(\d+)$", 1)
     science = F.concat(F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)E", 1), r"\.0$", ""),
                        F.when(s.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
-    return (F.when(~s.contains("E"), s).when(F.abs(d).between(1e-4, 9.999999999999998e15), plain).otherwise(science))
+    return (F.when(F.abs(d) == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(~s.contains("E"), s).when(F.abs(d).between(1e-4, 9.999999999999998e15), plain).otherwise(science))
 
 
 def _typed(value: Column, kind: Column) -> Column:
-    """The text of a value once read as its column's type: ``007`` -> ``7``, ``1.50`` -> ``1.5``."""
-    return (F.when(kind == "int", F.trim(value).try_cast("bigint").cast("string"))
+    """The text of a value once read as its column's type: ``007`` -> ``7``, ``1.50`` -> ``1.5``; integers of any length."""
+    whole = F.regexp_replace(F.regexp_replace(F.trim(F.translate(value, "\t", " ")), r"^\+?(-?)0*(\d)", "$1$2"), "^-0$", "0")
+    return (F.when(kind == "int", whole)
             .when(kind == "float", _float_text(F.trim(value).try_cast("double")))
             .when(kind == "bool", F.initcap(value)).otherwise(value))
 
