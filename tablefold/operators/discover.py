@@ -119,54 +119,77 @@ def name_suffix(name: str) -> str:
     return name.split("_", 1)[1] if "_" in name else name
 
 
+def name_key(name: str) -> str:
+    """``l_partkey`` -> ``partkey``: the name without a table's abbreviation of one or two letters; ``doc_id`` stays."""
+    head, _, rest = name.partition("_")
+    return rest if rest and len(head) <= 2 else name
+
+
+def _family(dtype: str) -> str | None:
+    """Types whose values can be equal: numbers, texts, points in time, truth values; None for nested ones."""
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        return "n"
+    return {"string": "s", "date": "d", "timestamp": "d", "timestamp_ntz": "d", "boolean": "b"}.get(dtype)
+
+
+def _value_key(c: str, dtype: str) -> Column:
+    """One text for equal values of a family; NULL and NaN have none, long texts go by their hash."""
+    v = F.col(c)
+    if _family(dtype) == "s":
+        return F.when(F.length(v) > 48, F.md5(v.cast("binary"))).otherwise(v)
+    if dtype in ("float", "double") or dtype.startswith("decimal"):
+        d = v.cast("double")
+        whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
+        return F.when(~F.isnan(d), F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string")))
+    return (v.cast("timestamp") if dtype == "date" else v).cast("string")
+
+
+WORD_BITS = 62
+
+
 def key_foreign_keys(tables: dict[str, DataFrame], min_containment: float = 1.0) -> DataFrame:
-    """(fk_table, fk_column) -> (pk_table, pk_column).
-
-    Key side: a column whose values are unique and non-null. Pairs are only
-    formed between columns with the same name suffix (``o_custkey`` ~
-    ``c_custkey``): dense small integer keys make value overlap alone report
-    false joins. Columns whose suffix occurs once are dropped before any data
-    is read (driver-side metadata). Containment = distinct fk values found among
-    key values / distinct fk values, by one join on (suffix, value) of distinct values.
+    """(fk_table, fk_column) -> (pk_table, pk_column) over all columns of all scalar types.
+
+    Key side: a column whose values are unique and never NULL. Pairs are formed between columns of one type family
+    and name key (``o_custkey`` ~ ``c_custkey``): dense small integer keys make value overlap alone report
+    false joins. Columns without a namesake are left out by metadata. One aggregate maps each value to a
+    bitmap of the columns that hold it; a second one counts the bitmaps' column pairs and, from the same columns,
+    rows and values by column. Pairs of columns fit in one row, from which containment (distinct fk values found among
+    key values / distinct fk values) is read.
     """
-    typed = {t: [c for c, ty in df.dtypes if ty in ("int", "bigint", "string", "smallint")]
-             for t, df in tables.items()}
-    sfx_count: dict[str, int] = {}
-    for cols in typed.values():
-        for c in cols:
-            sfx_count[name_suffix(c)] = sfx_count.get(name_suffix(c), 0) + 1
-    longs, sizes = [], []
+    found = [(t, c, ty, (_family(ty), name_key(c))) for t, df in tables.items() for c, ty in df.dtypes if _family(ty)]
+    names = [x[3] for x in found]
+    cols = [x for x in found if names.count(x[3]) > 1]
+    spark = next(iter(tables.values())).sparkSession
+    if not cols:
+        return spark.createDataFrame([], "fk_table string, fk_column string, pk_table string, pk_column string, "
+                                         "n_hits bigint, n_fk_distinct bigint, containment double")
+    words = -(-len(cols) // WORD_BITS)
+    values, counts = [], []
     for t, df in tables.items():
-        cols = [c for c in typed[t] if sfx_count[name_suffix(c)] > 1]
-        if not cols:
+        mine = [(i, c, ty, key) for i, (tt, c, ty, key) in enumerate(cols) if tt == t]
+        if not mine:
             continue
-        d = spread(df.select(*cols))
-        # rows and non-null counts per column: one narrow aggregate per table
-        cnt = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols])
-        sizes.append(cnt.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tbl"), F.lit(c).alias("col"),
-                                                             F.col("n").alias("n"), F.col(c).alias("n_nonnull"))
-                                                    for c in cols])).alias("s")).select("s.*"))
-        items = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(name_suffix(c)).alias("suffix"),
-                                             F.col(c).cast("string").alias("value")) for c in cols]))
-        longs.append(d.select(items.alias("i")).select(F.lit(t).alias("tbl"), "i.*"))
-    long = reduce(lambda a, b: a.unionByName(b), longs)
-    size = reduce(lambda a, b: a.unionByName(b), sizes)
-    dv = long.filter(F.col("value").isNotNull()).distinct()
-    nd = dv.groupBy("tbl", "col").agg(F.count(F.lit(1)).alias("n_distinct"))
-    stats = size.join(nd, ["tbl", "col"], "left")
-    keys = stats.filter((F.col("n") == F.col("n_nonnull")) & (F.col("n_distinct") == F.col("n"))) \
-        .select(F.col("tbl").alias("pk_table"), F.col("col").alias("pk_column"))
-    # the key list has one row per key column of the input tables: a proven small size
-    pkv = dv.join(F.broadcast(keys), (dv.tbl == keys.pk_table) & (dv.col == keys.pk_column)) \
-        .select("pk_table", "pk_column", "suffix", "value")
-    fkv = dv.select(F.col("tbl").alias("fk_table"), F.col("col").alias("fk_column"), "suffix", "value")
-    hits = fkv.join(pkv, ["suffix", "value"]).filter(
-        ~((F.col("fk_table") == F.col("pk_table")) & (F.col("fk_column") == F.col("pk_column"))))
-    h = hits.groupBy("fk_table", "fk_column", "pk_table", "pk_column").agg(F.count(F.lit(1)).alias("n_hits"))
-    fk_nd = nd.select(F.col("tbl").alias("fk_table"), F.col("col").alias("fk_column"),
-                      F.col("n_distinct").alias("n_fk_distinct"))
-    out = h.join(fk_nd, ["fk_table", "fk_column"]).withColumn(
-        "containment", (F.col("n_hits") / F.col("n_fk_distinct")).cast("double"))
+        d = df.select(*[c for _, c, _, _ in mine])
+        item = [F.struct(F.lit("|".join(key)).alias("key"), _value_key(c, ty).alias("value"),
+                         *[F.lit(1 << i % WORD_BITS if i // WORD_BITS == w else 0).cast("long").alias(f"w{w}") for w in range(words)]) for i, c, ty, key in mine]
+        values.append(d.select(F.explode(F.array(*item)).alias("x")).select("x.*").where("value IS NOT NULL"))
+        tally = [F.struct(F.lit(i).alias("a"), F.lit(-1).alias("b")) for i, _, _, _ in mine]
+        counts.append(d.select(F.explode(F.array(*tally)).alias("x")).select("x.a", "x.b"))
+    held = reduce(DataFrame.unionByName, values).groupBy("key", "value").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)])
+    bits = ", ".join(f"if((w{i // WORD_BITS} & {1 << i % WORD_BITS}L) <> 0, {i}, NULL)" for i in range(len(cols)))
+    holders = F.array_compact(F.expr(f"array({bits})"))
+    pairs = held.select(holders.alias("h")).select(F.explode("h").alias("a"), "h").select("a", F.explode("h").alias("b"))
+    n = reduce(DataFrame.unionByName, counts, pairs).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # at most (columns + 1) ** 2 entries, by metadata
+    row = n.agg(F.map_from_entries(F.collect_list(F.struct((F.col("a") * (len(cols) + 1) + F.col("b") + 1).alias("k"), "n"))).alias("m"))
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    entry = lambda x, y: f"coalesce(try_element_at(m, {x * (len(cols) + 1) + y + 1}), 0L)"
+    cands = [f"struct({text(ft)} AS fk_table, {text(fc)} AS fk_column, {text(pt)} AS pk_table, {text(pc)} AS pk_column, {entry(i, j)} AS n_hits, "
+             f"{entry(i, i)} AS n_fk_distinct, {entry(j, j)} AS pk_distinct, {entry(j, -1)} AS pk_rows)"
+             for i, (ft, fc, _, key) in enumerate(cols) for j, (pt, pc, _, other) in enumerate(cols) if i != j and key == other]
+    out = row.select(F.expr(f"inline(array({', '.join(cands)}))")).where("n_fk_distinct > 0 AND pk_distinct = pk_rows")
+    out = out.withColumn("containment", (F.col("n_hits") / F.col("n_fk_distinct")).cast("double")).drop("pk_distinct", "pk_rows")
     return out.filter(F.col("containment") >= min_containment)
 
 

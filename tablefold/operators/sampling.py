@@ -9,6 +9,8 @@ survivors per group. Nothing is capped: every group keeps exactly
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +37,44 @@ def sample_n(df: DataFrame, by: list[str], n: int, id_cols: list[str], seed: int
     return _top_n_by_hash(df, by, n, id_cols, seed)
 
 
-def balance(df: DataFrame, label: str, id_cols: list[str], seed: int = 42, cap: int | None = None) -> DataFrame:
-    """M2 (M4 with ``cap``): every class down-sampled to the minority size (and to ``cap``)."""
+def smallest_hashes(df: DataFrame, by: list[str], wanted: DataFrame, id_cols: list[str], seed: int = 42, hashed: Column | None = None) -> DataFrame:
+    """Per group the rows of smallest hash, as many as ``wanted(by..., want)`` says; groups it doesn't name are left out.
+
+    A histogram of hash buckets per group (partial sums) tells the bucket in which the last row lies: rows of lower buckets are
+    taken as they are, and only that bucket's rows (a 16,384th of a group) are ranked. No window spans a group.
+    ``hashed`` replaces the seeded hash of the ids by a 64-bit number of the caller's.
+    """
+    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by])
+    rows = df.withColumn("_h", _h(id_cols, seed) if hashed is None else hashed).withColumn("_b", F.shiftright("_h", 50))
+    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by])
+    cuts = counts.withColumn("_before", before).alias("c").join(wanted.alias("w"), named).where("_before < want")
+    edge = cuts.groupBy(*[F.col(f"c.{c}").alias(c) for c in by]).agg(F.max_by(F.struct(F.col("_b").alias("edge"), (F.col("want") - F.col("_before")).alias("left")), "_b").alias("_e"))
+    near = rows.alias("r").join(edge.alias("e"), on & (F.col("r._b") <= F.col("e._e.edge"))).select("r.*", "_e")
+    taken = near.where("_b < _e.edge").drop("_e")
+    last = near.where("_b = _e.edge").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", *id_cols))).where("_r <= _e.left")
+    return taken.unionByName(last.drop("_r", "_e")).drop("_h", "_b")
+
+
+def balance(df: DataFrame, label: str, id_cols: list[str], seed: int = 42, cap: int | None = None,
+            hashed: Column | None = None) -> DataFrame:
+    """M2 (M4 with ``cap``): every class down-sampled to the minority size (and to ``cap``), the smallest seeded hashes of each.
+
+    The minority size is an aggregate inside the plan; no job runs here. A NULL label is a class. Rows that repeat an id share its hash.
+    """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    m = counts.agg(F.min("_c")).first()[0] or 0      # one scalar: the minority size
-    if cap is not None:
-        m = min(m, cap)
-    return _top_n_by_hash(df, [label], int(m), id_cols, seed)
+    least = counts.agg(F.min("_c").alias("_m"))
+    want = least.scalar() if cap is None else F.least(least.scalar(), F.lit(cap))
+    return smallest_hashes(df, [label], counts.select(label, want.alias("want")), id_cols, seed, hashed)
 
 
 def balance_two(df: DataFrame, label: str, n: int, id_cols: list[str], seed: int = 42) -> DataFrame:
-    """M4: exactly two classes required; min(minority, n // 2) each, ordered by label."""
-    k = df.select(label).distinct().count()
-    if k != 2:
-        raise ValueError(f"balance_two needs exactly 2 classes, found {k}")
-    return balance(df, label, id_cols, seed, cap=n // 2).orderBy(label, *id_cols)
+    """M4: exactly two classes required; min(minority, n // 2) each, ordered by label. The check runs with the plan, as an assertion on its rows."""
+    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")).agg(F.count("*").alias("_k"))
+    checked = F.when(F.assert_true(classes.scalar() == 2, F.lit("balance_two needs exactly 2 classes")).isNull(), F.col("_one"))
+    rows = balance(df, label, id_cols, seed, cap=n // 2).withColumn("_one", F.lit(1))
+    return rows.where(checked == 1).drop("_one").orderBy(label, *id_cols)
 
 
 def cap(df: DataFrame, n: int, id_cols: list[str], seed: int = 42) -> DataFrame:

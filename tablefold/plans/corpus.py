@@ -85,6 +85,18 @@ def q_balance_labels(spark, sf_dir):
     return b.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("balance_labels_rows", """WITH j AS (SELECT doc_id, lang, quality, CAST('0x' || substr(md5(doc_id || ':42'), 1, 15) AS BIGINT) AS h
+    FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, quality ORDER BY h, doc_id) AS r FROM j),
+m AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM j GROUP BY lang || quality))
+SELECT doc_id, lang || quality AS class FROM r, m WHERE r <= m""")
+def q_balance_rows(spark, sf_dir):
+    """M2 by language and quality: which documents are kept (the smallest MD5 numbers of each class)."""
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").withColumn("class", F.concat("lang", F.col("quality").cast("string")))
+    number = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":42")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return M.balance(j.select("doc_id", "class"), "class", ["doc_id"], hashed=number).select("doc_id", "class")
+
+
 @register("cap_documents", "SELECT least(100, count(*)) AS n, least(100, count(DISTINCT doc_id)) AS n_distinct "
                            "FROM documents")
 def q_cap_documents(spark, sf_dir):

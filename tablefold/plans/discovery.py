@@ -10,7 +10,7 @@ from tablefold.operators import cells as C
 from tablefold.operators import discover as DV
 from tablefold.plans.base import R, register
 from tablefold.plans.tables import f4
-from tablefold.sources.tables import table
+from tablefold.sources.tables import TABLES, table
 
 
 def _fd_sql(tbl: str, cols: list[str]) -> str:
@@ -90,19 +90,20 @@ def q_string_relations(spark, sf_dir):
     return r.select("target", "relation", F.round("support", R).alias("support"))
 
 
-FK_TABLES = {
-    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+#: Columns that share type family and name key with another one; the query finds them itself.
+FK_COLUMNS = {
+    "DOUBLE": ["region.r_regionkey", "nation.n_regionkey", "nation.n_nationkey", "customer.c_nationkey", "supplier.s_nationkey", "customer.c_custkey",
+               "orders.o_custkey", "supplier.s_suppkey", "lineitem.l_suppkey", "part.p_partkey", "lineitem.l_partkey", "orders.o_orderkey", "lineitem.l_orderkey",
+               "customer.c_acctbal", "supplier.s_acctbal", "documents.doc_id", "labels.doc_id"],
+    "VARCHAR": ["region.r_name", "nation.n_name", "customer.c_name", "supplier.s_name", "part.p_name", "documents.text", "benchmark.text", "conversations.text"],
 }
 
 
 def _fk_sql() -> str:
     long = " UNION ALL ".join(
-        f"SELECT '{t}' AS tbl, '{c}' AS col, '{DV.name_suffix(c)}' AS suffix, CAST({c} AS VARCHAR) AS value FROM {t}"
-        for t, cols in FK_TABLES.items() for c in cols)
+        f"SELECT '{c.split('.')[0]}' AS tbl, '{c.split('.')[1]}' AS col, '{DV.name_key(c.split('.')[1])}' AS suffix, "
+        f"CAST(CAST({c.split('.')[1]} AS {kind}) AS VARCHAR) AS value FROM {c.split('.')[0]}"
+        for kind, cols in FK_COLUMNS.items() for c in cols)
     return f"""WITH long AS ({long}),
 stats AS (SELECT tbl, col, suffix, count(*) AS n, count(value) AS nn, count(DISTINCT value) AS nd FROM long GROUP BY ALL),
 keys AS (SELECT tbl AS pk_table, col AS pk_column, suffix FROM stats WHERE n = nn AND nd = n),
@@ -112,15 +113,14 @@ h AS (SELECT f.tbl AS fk_table, f.col AS fk_column, k.pk_table, k.pk_column, cou
       JOIN keys k ON p.tbl = k.pk_table AND p.col = k.pk_column
       WHERE NOT (f.tbl = k.pk_table AND f.col = k.pk_column) GROUP BY ALL)
 SELECT h.*, nd AS n_fk_distinct, CAST(n_hits AS DOUBLE) / nd AS containment
-FROM h JOIN stats s ON s.tbl = h.fk_table AND s.col = h.fk_column WHERE CAST(n_hits AS DOUBLE) / nd >= 1.0"""
+FROM h JOIN stats s ON s.tbl = h.fk_table AND s.col = h.fk_column WHERE CAST(n_hits AS DOUBLE) / nd >= 0.05"""
 
 
 @register("key_foreign_keys", _fk_sql())
 def q_fk(spark, sf_dir):
-    """D4 over the TPC-H-like tables: true joins only (name-suffix rule + unique key side)."""
-    tabs = {t: table(spark, sf_dir, t).select(*cols) for t, cols in FK_TABLES.items()}
-    return DV.key_foreign_keys(tabs).select("fk_table", "fk_column", "pk_table", "pk_column", "n_hits",
-                                            "n_fk_distinct", "containment")
+    """D4 over all columns of all tables: inclusions of 5 % and more in a key of the same name and type family."""
+    return DV.key_foreign_keys({t: table(spark, sf_dir, t) for t in TABLES}, 0.05).select(
+        "fk_table", "fk_column", "pk_table", "pk_column", "n_hits", "n_fk_distinct", "containment")
 
 
 def _types_sql() -> str:
