@@ -54,6 +54,40 @@ def impute_mode(df: DataFrame, id_col: str, col: str, by: list[str], missing: Co
     return rows.join(mode, by, "left").select(id_col, *by, F.coalesce(F.col("_mode"), F.lit(glob)).alias("imputed"))
 
 
+def impute_lookup(df: DataFrame, id_col: str, col: str, determinants: list[str], numeric: bool = False,
+                  min_confidence: float = 0.6, min_support: int = 2) -> DataFrame:
+    """Missing cells filled from lookup tables learnt on the other rows, best determinant first.
+
+    (id, imputed, source). A determinant's lookup table maps each of its values to the most frequent value of ``col`` (ties by
+    smaller value); its confidence is the share of known rows that the table gets right. A missing cell takes the
+    entry of the most confident determinant (then of greater support, then in the order given) that has a value in the
+    row, a confidence of ``min_confidence`` and an entry of ``min_support`` rows; where there is none, the column's
+    mode, or its mean if ``numeric``. Missing: NULL or blank. All tables come from one aggregate over (determinant, value, target).
+    """
+    text = F.col(col).cast("string")
+    miss = text.isNull() | (F.trim(text) == "")
+    known = df.where(~miss)
+
+    def items(rows: DataFrame, *keep: Column) -> DataFrame:
+        x = F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.lit(d).alias("det"), F.col(d).cast("string").alias("a")) for i, d in enumerate(determinants)]))
+        return rows.select(*keep, x.alias("x")).select("*", "x.*").drop("x").where("a IS NOT NULL")
+
+    counts = items(known, text.alias("y")).groupBy("det", "a", "y").agg(F.count(F.lit(1)).alias("n"))
+    entry = counts.groupBy("det", "a").agg(F.min(F.struct((-F.col("n")).alias("m"), "y")).alias("top"), F.sum("n").alias("total"))
+    entry = entry.select("det", "a", F.col("top.y").alias("y"), (-F.col("top.m")).alias("support"), "total")
+    trust = entry.groupBy("det").agg((F.sum("support") / F.sum("total")).alias("confidence"))
+    rows = df.where(miss)
+    asked = items(rows, F.col(id_col)).join(entry.where(F.col("support") >= min_support), ["det", "a"]).join(trust.where(F.col("confidence") >= min_confidence), "det")
+    best = asked.groupBy(id_col).agg(F.max(F.struct("confidence", "support", (-F.col("o")).alias("o"), "y", "det")).alias("b"))
+    if numeric:
+        rest = known.agg(F.avg(F.col(col).cast("double")).cast("string").alias("v"))
+    else:
+        mode = known.groupBy(text.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        rest = mode.agg(F.min(F.struct((-F.col("n")).alias("m"), "v")).alias("t")).select("t.v")
+    out = rows.select(id_col).join(best, id_col, "left")
+    return out.select(id_col, F.coalesce("b.y", rest.scalar()).alias("imputed"), F.coalesce("b.det", F.lit("mean" if numeric else "mode")).alias("source"))
+
+
 # D25 -----------------------------------------------------------------------
 # fixed values: patterns of the sensitive-data gate (portable between Java regex and RE2)
 SENSITIVE_PATTERNS = {

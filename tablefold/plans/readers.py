@@ -134,3 +134,14 @@ def q_metadata_types(spark, sf_dir):
     v = F.parse_json("m")
     return m.select("o_orderkey", *[F.variant_get(v, f"$.{k}", "string").alias(k) for k in ("task", "note")],
                     *[F.to_json(F.variant_get(v, f"$.{k}", "variant")).alias(k) for k in ("n", "flag", "label")])
+
+
+@register("read_two_encodings", """SELECT CAST(c_custkey AS VARCHAR) AS case_id, 0 AS row_idx, 0 AS col_idx, 'prénom' AS col_name, 'Élodie ' || c_name || ' ß' AS value FROM customer
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 0, 1, 'größe', CAST(c_nationkey AS VARCHAR) FROM customer""")
+def q_two_encodings(spark, sf_dir):
+    """Odd customers' files are Latin-1, even ones UTF-8; each is decoded by itself."""
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("prénom,größe\nÉlodie "), F.col("c_name"), F.lit(" ß,"), F.col("c_nationkey").cast("string"))
+    content = F.when(F.col("c_custkey") % 2 == 1, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    files = c.select(F.concat(F.lit("file:/ds/"), F.col("c_custkey").cast("string"), F.lit("/data.csv")).alias("file_path"), T.decoded(content).alias("text"))
+    return T.case_cells(T.parse_case_texts(files, "pandas")).select(*COLUMNS)

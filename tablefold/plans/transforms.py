@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefold.operators import cells as C
 from tablefold.operators import transform as TR
+from tablefold.operators.discover import TYPE_PATTERNS
 from tablefold.plans.base import R, register
 from tablefold.sources.tables import table
 
@@ -42,3 +46,58 @@ def q_assign_headers(spark, sf_dir):
     cells = C.dataframe_cells(table(spark, sf_dir, "nation"), "nation", "nation", ["n_nationkey"])
     a = TR.assign_headers(cells, table(spark, sf_dir, "region"))
     return a.select("case_id", "table_name", "col_idx", "header", F.round("jaccard", R).alias("jaccard"))
+
+
+HEADER_TABLES = {
+    "lineitem": ("l_orderkey", {"l_partkey": "t", "l_suppkey": "t", "l_linenumber": "t", "l_quantity": "m", "l_extendedprice": "m", "l_discount": "m", "l_returnflag": "t",
+                                "l_linestatus": "t", "l_shipdate": "d"}),
+    "orders": ("o_orderkey", {"o_custkey": "t", "o_orderstatus": "t", "o_totalprice": "m", "o_orderdate": "d", "o_orderpriority": "t"}),
+    "customer": ("c_custkey", {"c_name": "t", "c_nationkey": "t", "c_acctbal": "m", "c_mktsegment": "t"}),
+}
+SHAPE_SQL = "regexp_replace(regexp_replace(regexp_replace(value, '[0-9]+', '9', 'g'), '\\p{Lu}+', 'A', 'g'), '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]+', 'a', 'g')"
+
+
+def _sides(spark, sf_dir):
+    """Columns without names from the odd keys' rows, the same columns with their headers from the even keys' rows."""
+    unnamed, known = [], []
+    for name, (key, cols) in HEADER_TABLES.items():
+        df = table(spark, sf_dir, name)
+        text = {"t": lambda c: F.col(c).cast("string"), "m": lambda c: F.col(c).cast("decimal(18,2)").cast("string"), "d": lambda c: F.date_format(c, "yyyy-MM-dd")}
+        cell = lambda tag: F.explode(F.array(*[F.struct((F.lit(i) if tag == "col_idx" else F.lit(c)).alias(tag), text[k](c).alias("value")) for i, (c, k) in enumerate(cols.items())]))
+        for tag, rest, out in (("col_idx", 1, unnamed), ("header", 0, known)):
+            out.append(df.where(F.col(key) % 2 == rest).select(F.lit(name).alias("case_id"), cell(tag).alias("x")).select("case_id", "x.*"))
+    return reduce(DataFrame.union, unnamed), reduce(DataFrame.union, known)
+
+
+def _match_sql() -> str:
+    kinds = {"t": "CAST({c} AS VARCHAR)", "m": "CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)", "d": "strftime({c}, '%Y-%m-%d')"}
+    side = lambda tag, rest: " UNION ALL ".join(
+        f"SELECT '{t}' AS case_id, {i if tag == 'col_idx' else repr(c)} AS {tag}, {kinds[k].format(c=c)} AS value FROM {t} WHERE {key} % 2 = {rest}"
+        for t, (key, cols) in HEADER_TABLES.items() for i, (c, k) in enumerate(cols.items()))
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(trim(value), '{p}') THEN '{k}'" for k, p in TYPE_PATTERNS.items()) + " ELSE 'text' END"
+    parts = []
+    for s, tag, rest in (("u", "col_idx", 1), ("k", "header", 0)):
+        parts.append(f"""{s}0 AS ({side(tag, rest)}), {s}v AS (SELECT DISTINCT case_id, {tag}, value FROM {s}0),
+{s}s AS (SELECT case_id, {tag}, {SHAPE_SQL} AS shape, CAST(count(*) AS DOUBLE) / any_value(t) AS share FROM (SELECT *, count(*) OVER (PARTITION BY case_id, {tag}) AS t FROM {s}0) GROUP BY ALL),
+{s}t AS (SELECT * FROM (SELECT case_id, {tag}, {kind} AS kind, count(*) AS n FROM {s}0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY case_id, {tag} ORDER BY n DESC, kind) = 1),
+{s} AS (SELECT v.case_id, v.{tag}, count(*) AS nd, any_value(kind) AS kind FROM {s}v v JOIN {s}t USING (case_id, {tag}) GROUP BY ALL)""")
+    return f"""WITH RECURSIVE {", ".join(parts)},
+c AS (SELECT uv.case_id, col_idx, header, count(*) AS c FROM uv JOIN kv USING (case_id, value) GROUP BY ALL),
+a AS (SELECT us.case_id, col_idx, header, sum(least(us.share, ks.share)) AS alike FROM us JOIN ks USING (case_id, shape) GROUP BY ALL),
+s AS (SELECT case_id, col_idx, header, round(0.5 * (coalesce(c, 0) / CAST(u.nd + k.nd - coalesce(c, 0) AS DOUBLE)) + 0.3 * coalesce(alike, 0)
+      + CASE WHEN u.kind = k.kind THEN 0.2 ELSE 0 END, 9) AS score FROM u JOIN k USING (case_id) LEFT JOIN c USING (case_id, col_idx, header) LEFT JOIN a USING (case_id, col_idx, header)),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, col_idx, header) AS i FROM s WHERE score >= 0.4),
+f AS (SELECT case_id, 0::BIGINT AS i, []::INTEGER[] AS cs, []::VARCHAR[] AS hs, []::DOUBLE[] AS ss FROM (SELECT DISTINCT case_id FROM u)
+  UNION ALL SELECT f.case_id, o.i, CASE WHEN list_contains(cs, col_idx) OR list_contains(hs, header) THEN cs ELSE list_append(cs, col_idx) END,
+    CASE WHEN list_contains(cs, col_idx) OR list_contains(hs, header) THEN hs ELSE list_append(hs, header) END,
+    CASE WHEN list_contains(cs, col_idx) OR list_contains(hs, header) THEN ss ELSE list_append(ss, score) END FROM f JOIN o ON o.case_id = f.case_id AND o.i = f.i + 1),
+l AS (SELECT case_id, unnest(cs) AS col_idx, unnest(hs) AS header, unnest(ss) AS score FROM f QUALIFY i = max(i) OVER (PARTITION BY case_id))
+SELECT u.case_id, u.col_idx, l.header, round(l.score, {R}) AS score FROM u LEFT JOIN l ON u.case_id = l.case_id AND u.col_idx = l.col_idx"""
+
+
+@register("match_headers", _match_sql())
+def q_match_headers(spark, sf_dir):
+    """The columns of three tables find their headers by the values, shapes and types of other rows."""
+    unnamed, known = _sides(spark, sf_dir)
+    m = TR.match_headers(TR.header_scores(unnamed, known))
+    return m.select("case_id", "col_idx", "header", F.round("score", R).alias("score"))

@@ -143,16 +143,30 @@ def case_headers(tables: DataFrame) -> DataFrame:
                          F.col("header").alias("col_names"), F.size("rows").alias("n_rows"), F.size("bad_rows").alias("n_bad"))
 
 
-def read_case_texts(spark: SparkSession, path_glob: str, encoding: str = "UTF-8") -> DataFrame:
-    """Whole files -> ``texts(file_path, text)``; Spark parallelises over files."""
-    return (spark.read.option("encoding", encoding).text(path_glob, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")))
+SECOND_ENCODING = "ISO-8859-1"           # fixed value: tried where a file is not UTF-8
+
+
+def decoded(content: Column, second: str = SECOND_ENCODING) -> Column:
+    """Bytes (or a string of raw bytes) as UTF-8 if they are that, else in the second encoding."""
+    raw = content.cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.decode(content.cast("binary"), second))
+
+
+def read_case_texts(spark: SparkSession, path_glob: str, second: str = SECOND_ENCODING) -> DataFrame:
+    """Whole files -> ``texts(file_path, text)``, each decoded by itself (S9); Spark parallelises over files."""
+    return (spark.read.text(path_glob, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("file_path"), decoded(F.col("value"), second).alias("text")))
+
+
+def encoding_of(spark: SparkSession, path: str, second: str = SECOND_ENCODING) -> str:
+    """The encoding of one large file, by a scan of its lines for bytes that are not UTF-8."""
+    return second if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
 
 
 def read_case_tables(spark: SparkSession, path_glob: str, reader: str = "pandas",
-                     encoding: str = "UTF-8", infer: bool | None = None) -> DataFrame:
+                     second: str = SECOND_ENCODING, infer: bool | None = None) -> DataFrame:
     """CSV files -> cells, see ``parse_case_texts``. Empty cells are '' (never NULL)."""
-    return case_cells(parse_case_texts(read_case_texts(spark, path_glob, encoding), reader, infer))
+    return case_cells(parse_case_texts(read_case_texts(spark, path_glob, second), reader, infer))
 
 
 def named_case_tables(cells: DataFrame, cases: DataFrame, field: str) -> DataFrame:
@@ -179,12 +193,17 @@ def read_case_infos(spark: SparkSession, root: str) -> DataFrame:
 
 
 def load_entity_pairs(spark: SparkSession, folder: str, rename: dict | None = None,
-                      drop: list[str] | None = None, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """tableA, tableB, train, valid, test; renames and drops hold for the two tables only."""
-    out = {}
+                      drop: list[str] | None = None, second: str = SECOND_ENCODING) -> dict[str, DataFrame]:
+    """tableA, tableB, train, valid, test, each in the encoding that it has; renames and drops (by default those
+    of the folder's ``info.json``, ``rename_columns`` and ``drop_columns``) hold for the two tables only. ``info`` is that file as a row."""
+    info = spark.read.text(os.path.join(folder, "info.json"), wholetext=True) if rename is None and drop is None else None
+    if info is not None:
+        parsed = info.select(F.from_json("value", "rename_columns map<string,string>, drop_columns array<string>").alias("i")).first()
+        rename, drop = (parsed[0].rename_columns, parsed[0].drop_columns) if parsed and parsed[0] else ({}, [])
+    out = {} if info is None else {"info": info}
     for name in ("tableA", "tableB", "train", "valid", "test"):
-        df = (spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding)
-              .csv(os.path.join(folder, f"{name}.csv")))
+        path = os.path.join(folder, f"{name}.csv")
+        df = spark.read.option("header", True).option("inferSchema", True).option("encoding", encoding_of(spark, path, second)).csv(path)
         if name in ("tableA", "tableB"):
             df = df.withColumnsRenamed({k: v for k, v in (rename or {}).items() if k in df.columns})
             df = df.drop(*[c for c in drop or [] if c in df.columns])
