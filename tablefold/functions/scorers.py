@@ -143,8 +143,7 @@ def score_needle(c: Ctx) -> dict[str, Column]:
 # E8 Table-Locate-by-Row-Col ---------------------------------------------------
 def score_locate(c: Ctx) -> dict[str, Column]:
     same = V.py_str(c.gt) == V.py_str(c.y)
-    tf, pf = V.py_float(c.gt), V.py_float(c.y)
-    # NaN never equals in Python; decimals carry no NaN, so a plain compare is exact
+    tf, pf = V.py_double(c.gt), V.py_double(c.y)
     return {"correct": _bool01(same | F.coalesce(tf == pf, F.lit(False)))}
 
 
@@ -231,7 +230,8 @@ def score_exact(c: Ctx) -> dict[str, Column]:
     """Type-sensitive equality (1 == 1.0 holds, "1" == 1 does not)."""
     kt, kp = V.kind(c.gt), V.kind(c.y)
     num = kt.isin("integer", "number", "boolean") & kp.isin("integer", "number", "boolean")
-    eq = F.when(num, V.py_float(c.gt) == V.py_float(c.y)).otherwise((kt == kp) & (F.to_json(c.gt) == F.to_json(c.y)))
+    whole = (kt == "integer") & (kp == "integer")
+    eq = F.when(whole, F.to_json(c.gt) == F.to_json(c.y)).when(num, V.py_double(c.gt) == V.py_double(c.y)).otherwise((kt == kp) & (F.to_json(c.gt) == F.to_json(c.y)))
     return {"correct": _bool01(F.coalesce(eq, F.lit(False)))}
 
 

@@ -33,11 +33,21 @@ def as_string(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def double_text(d: Column) -> Column:
+    """Text of a double as Python prints it: plain from 1e-4 up to 1e16, else ``1e+16``."""
+    s = d.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    power = F.regexp_extract(s, r"E-?(\d+)$", 1)
+    science = F.concat(F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)E", 1), r"\.0$", ""),
+                       F.when(s.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
+    return (F.when(F.abs(d) == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(~s.contains("E"), s)
+            .when(F.abs(d).between(1e-4, 9.999999999999998e15), plain).otherwise(science))
+
+
 def py_float_text(v: Column) -> Column:
-    """Text of a JSON number as Python prints the float (``900.0``, ``900.1``)."""
-    d = F.try_variant_get(v, "$", "decimal(38,10)")
-    txt = F.regexp_replace(F.regexp_replace(d.cast("string"), r"0+$", ""), r"\.$", ".0")
-    return F.when(d.isNotNull(), txt).otherwise(F.to_json(v))
+    """Text of a JSON number as Python prints the float (``900.0``, ``900.1``, ``1e-11``)."""
+    d = F.try_variant_get(v, "$", "double")
+    return F.when(d.isNotNull(), double_text(d)).otherwise(F.to_json(v))
 
 
 def py_str(v: Column) -> Column:
@@ -63,6 +73,15 @@ def py_float(v: Column) -> Column:
                   .cast("decimal(38,10)")))
 
 
+def py_double(v: Column) -> Column:
+    """``float(value)`` as DOUBLE; NULL where Python raises, and for NaN, which equals nothing."""
+    k = kind(v)
+    d = (F.when(k == "string", F.trim(as_string(v)).try_cast("double"))
+         .when(k.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+         .when(k == "boolean", F.when(F.try_variant_get(v, "$", "boolean"), 1.0).otherwise(0.0)))
+    return F.when(~F.isnan(d), d)
+
+
 def text_to_decimal(s: Column) -> Column:
     """Tolerant numeric parse of text (``float(text)``), as DECIMAL(38,10)."""
     return F.trim(s).try_cast("decimal(38,10)")

@@ -7,7 +7,9 @@ partition crosses the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablefold.functions import scorers as S
@@ -48,6 +50,32 @@ def f1_of(prec: Column, rec: Column, variant: str = "or") -> Column:
         .otherwise(F.try_divide(2 * prec * rec, prec + rec)).cast("double")
 
 
+# U1 --------------------------------------------------------------------------
+def table_scored(verdicts: DataFrame, task: str, groups: DataFrame, key: str = "case_id") -> DataFrame:
+    """Verdicts on produced tables (E1, E5, E14, E15: one row a case) as scored rows of ``task``.
+
+    ``groups(case_id, dataset, tag, note, ...)`` gives the report keys; a case without a verdict scores 0 with the error class
+    ``execution error``, as nothing was produced that could be compared.
+    """
+    rows = groups.join(verdicts, key, "left")
+    return rows.withColumn("task", F.lit(task)).withColumn("test_case", F.col(key).cast("string")).withColumn(
+        "error", F.when(F.col("correct").isNull(), "execution error")).withColumn("correct", F.coalesce("correct", F.lit(0.0))).drop(key)
+
+
+def union_scored(*frames: DataFrame) -> DataFrame:
+    """Scored rows of several tasks with differing columns, as one frame of all columns.
+
+    A column's type is the widest that any frame gives it (numbers become DOUBLE, mixed kinds text); a frame that lacks it has NULL.
+    """
+    kinds: dict[str, set] = {}
+    for f in frames:
+        for name, kind in f.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    merged = {n: k.copy().pop() if len(k) == 1 else "double" if all(x in numbers or x.startswith("decimal") for x in k) else "string" for n, k in kinds.items()}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.select(*[F.col(n).cast(merged[n]).alias(n) for n in f.columns]) for f in frames])
+
+
 # A1 / A2 -------------------------------------------------------------------
 def group_accuracy(scored: DataFrame, keys: list[str] = GROUP_KEYS, extra: bool = False) -> DataFrame:
     aggs = [F.avg("correct").alias("acc")]
@@ -180,15 +208,20 @@ def error_count_long(scored: DataFrame, keys: list[str] = GROUP_KEYS) -> DataFra
 
 
 # A11 -----------------------------------------------------------------------
-def group_details(scored: DataFrame, keys: list[str] = GROUP_KEYS, cols: list[str] | None = None,
-                  order_by: str = "test_case") -> DataFrame:
-    """Per group, rows as an ordered list of structs (sorted by ``order_by``).
+def group_details(scored: DataFrame, keys: list[str] = GROUP_KEYS, cols: list[str] | None = None, order_by: str = "test_case",
+                  most: int = 100, salts: int = 64) -> DataFrame:
+    """Per group its number of rows and the first ``most`` of them as a list of structs, ordered by ``order_by`` and the other columns.
 
-    Memory per group grows with the group: use for reports on bounded groups.
+    ``most`` is the report's length, not a cap on what is read: the number counts every row. The first rows are taken in two steps, by
+    (group, salt) and then by group, so that a group of a third of all rows is spread over ``salts`` tasks and no list is longer than ``most``.
     """
     cols = cols or ["test_case", "y_pred", "y_gt", "correct", "error"]
-    ordered = [order_by] + [c for c in cols if c != order_by]
-    return _keyed_agg(scored, keys, F.array_sort(F.collect_list(F.struct(*ordered))).alias("rows"))
+    item = F.struct(order_by, *[c for c in cols if c != order_by])
+    rows = scored.select(*keys, item.alias("_item"), F.pmod(F.xxhash64(item), F.lit(salts)).alias("_salt"))
+    w = Window.partitionBy(*keys, "_salt").orderBy("_item")
+    ranked = rows.select("*", F.row_number().over(w).alias("_r"))
+    part = ranked.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(F.when(F.col("_r") <= most, F.col("_item"))).alias("_top"))
+    return _keyed_agg(part, keys, F.sum("_n").alias("n_rows"), F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, most).alias("rows"))
 
 
 # A16 / A17 / A18 -----------------------------------------------------------

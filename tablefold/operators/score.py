@@ -62,10 +62,10 @@ def _truth(spec: S.TaskSpec) -> Column:
             F.lit(',"alternative_label":'), F.coalesce(F.to_json(V.field(meta, "alternative_label")), F.lit("null")),
             F.lit("}")))
     if spec.task == "Table-needle-in-a-haystack":
-        # the column name is resolved from the table header upstream (S20) into needle_col_name
+        # the column's name comes from the table's header (S20, joins.needle_truth) or from the metadata
         return F.try_parse_json(F.to_json(F.struct(
             F.try_variant_get(meta, "$.needle_row_idx", "bigint").alias("row"),
-            F.try_variant_get(meta, "$.needle_col_name", "string").alias("column"))))
+            F.coalesce(F.col("_needle_name"), F.try_variant_get(meta, "$.needle_col_name", "string")).alias("column"))))
     return V.field(meta, "label")
 
 
@@ -142,7 +142,8 @@ def score_responses(responses: DataFrame, tasks: list[str] | None = None) -> Dat
     comp = X.completion(F.col("response") if "response" in cols else F.lit(None).cast("string"),
                         F.col("choices") if "choices" in cols else None)
     base = responses.select("*", task.alias("_task"), V.json_variant(F.col("metadata")).alias("_meta"),
-                            comp.alias("completion"))
+                            comp.alias("completion"),
+                            (F.col("needle_col_name") if "needle_col_name" in cols else F.lit(None)).cast("string").alias("_needle_name"))
     specs = [S.REGISTRY[t] for t in (tasks or list(S.REGISTRY))]
 
     a = extract_answers(base, specs)

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablefold.functions.values import double_text
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -72,21 +74,11 @@ def _kind(rows: Column, col: Column) -> Column:
             .when(all_match(_BOOL), "bool").otherwise("text"))
 
 
-def _float_text(d: Column) -> Column:
-    """Text of a double as Python prints it: plain from 1e-4 up to 1e16, else ``1e+16``."""
-    s = d.cast("string")
-    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
-    power = F.regexp_extract(s, r"E-?(\d+)$", 1)
-    science = F.concat(F.regexp_replace(F.regexp_extract(s, r"^(-?[\d.]+)E", 1), r"\.0$", ""),
-                       F.when(s.contains("E-"), "e-").otherwise("e+"), F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power))
-    return (F.when(F.abs(d) == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(~s.contains("E"), s).when(F.abs(d).between(1e-4, 9.999999999999998e15), plain).otherwise(science))
-
-
 def _typed(value: Column, kind: Column) -> Column:
     """The text of a value once read as its column's type: ``007`` -> ``7``, ``1.50`` -> ``1.5``; integers of any length."""
     whole = F.regexp_replace(F.regexp_replace(F.trim(F.translate(value, "\t", " ")), r"^\+?(-?)0*(\d)", "$1$2"), "^-0$", "0")
     return (F.when(kind == "int", whole)
-            .when(kind == "float", _float_text(F.trim(value).try_cast("double")))
+            .when(kind == "float", double_text(F.trim(value).try_cast("double")))
             .when(kind == "bool", F.initcap(value)).otherwise(value))
 
 
