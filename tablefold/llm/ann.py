@@ -13,9 +13,9 @@ Only vectors of equal label are compared. Equal vectors are one node with a coun
    that it found in range (and a margin below) until nothing new is in range.
 5. Found pairs are verified by cosine in double precision. An audit compares a sample with all
    vectors of its group by brute force.
-6. A group is counted exactly, in pairs of blocks, in place of steps 2 to 5 if it has at most
-   ``EXACT`` vectors; and after them if the audit finds less than ``RECALL`` of its links or sampled
-   none of its vectors, or if a vector has ``SHARD`` links or more, as shards may have cut a dense place.
+6. After them a group is counted exactly, in pairs of blocks, if the audit finds less than ``RECALL`` of its links, or if a
+   vector has ``SHARD`` links or more, as shards may have cut a dense place; a group of which nothing was
+   sampled goes by the recall over all groups.
    Centres and radii of two blocks show whether no pair or every pair links; other pairs of blocks are
    multiplied out. So a group counted exactly costs up to all pairs of its vectors.
 
@@ -38,11 +38,10 @@ SAMPLE = 20_000               # vectors that centres are fitted on
 SHARD = 600                   # vectors a centre aims at
 CENTRES = 4096                # at most, over all labels: what is broadcast
 SHARD_MOST = 4000
-EXACT = 20_000                # vectors of a group that is always counted exactly, for less than its graph costs
 OVERLAP = 3
 CANDIDATES, DEGREE, ALPHA = 48, 24, 1.2
 BEAM, MARGIN = 32, 0.08
-AUDIT, RECALL = 200, 0.95
+AUDIT, RECALL = 500, 0.95
 SLACK = 1e-6                  # of an angle, for rounding
 NODE = "rep long, n long, grp string, vec array<double>"
 
@@ -386,7 +385,8 @@ def unsettled(nodes: DataFrame, counts: DataFrame, cosine: float, most: int = AU
     ids = [int(x) for x in sample["rep"]]
     named = nodes.select("rep", "grp").join(counts, "rep", "left")
     got = named.groupBy("grp").agg(F.sum(F.when(F.col("rep").isin(ids), F.col("links"))).alias("found"), F.max("links").alias("top")).collect()
-    return [r["grp"] for r in got if r["grp"] not in asks or (r["top"] or 0) >= SHARD or (r["found"] or 0) < RECALL * true.get(r["grp"], 0)]
+    poor = sum(r["found"] or 0 for r in got if r["grp"] in asks) < RECALL * sum(true.values())
+    return [r["grp"] for r in got if (r["top"] or 0) >= SHARD or (r["found"] or 0) < RECALL * true.get(r["grp"], 0) or (poor and r["grp"] not in asks)]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
@@ -405,19 +405,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = O
     valid = rows.where("ok").select("vec_id", "vec", F.concat_ws("/", F.col("label").cast("string"), F.size("vec")).alias("grp"))
     nodes = C.written(valid.groupBy("grp", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "grp", "vec"), "ann-nodes")
     centres = fit_centres(nodes)
-    sizes = C.written(nodes.groupBy("grp").count(), "ann-sizes")
-    large = nodes.join(sizes.where(F.col("count") > EXACT).select("grp"), "grp", "left_semi").select(*nodes.columns)
-    raw = C.written(search_links(large, centres, overlap, cosine), "ann-links")
+    raw = C.written(search_links(nodes, centres, overlap, cosine), "ann-links")
     across = raw.where("found = 1").select("a", "b", "na", "nb").distinct()
     each = raw.where("a = b").select(F.col("a").alias("rep"), F.col("nb").alias("links"))
     each = each.union(across.select("a", "nb")).union(across.select("b", "na")).groupBy("rep").agg(F.sum("links").alias("links"))
     each = C.written(each, "ann-counts")
-    again = F.col("grp").isin(unsettled(large, each, cosine))
-    exact = nodes.join(sizes.where((F.col("count") <= EXACT) | again).select("grp"), "grp", "left_semi").select(*nodes.columns)
-    settled = large.where(~again).select("rep")
-    sure = C.written(exact_links(exact, centres, cosine), "ann-exact")
-    each = each.join(settled, "rep", "left_semi").union(sure.where("a = b").groupBy("a").agg(F.sum("links")))
-    raw = raw.select("a", "b").union(sure.select("a", "b"))             # a link that the search found stays true
+    poor = unsettled(nodes, each, cosine)
+    raw = raw.select("a", "b")
+    if poor:
+        again = F.col("grp").isin(poor)
+        sure = C.written(exact_links(nodes.where(again), centres, cosine), "ann-exact")
+        each = each.join(nodes.where(~again).select("rep"), "rep", "left_semi").union(sure.where("a = b").groupBy("a").agg(F.sum("links")))
+        raw = raw.union(sure.select("a", "b"))                          # a link that the search found stays true
     comp = C.components(raw.where("a <> b").select("a", "b"), "ann-components")
     named = nodes.join(each, "rep", "left").join(comp, nodes["rep"] == comp["node"], "left")
     named = named.select("grp", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

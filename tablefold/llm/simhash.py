@@ -103,19 +103,19 @@ def within_radius(prints: DataFrame, key: str = "doc_id", radius: int = 3, block
 
 
 def ring(lengths: DataFrame) -> DataFrame:
-    """(doc_id, prev_id, prev_chars): the document before in descending doc_id, round from the last to the first.
+    """(key, prev_key, prev_chars): the row before in descending doc_id (nulls last, then by length and MD5), round from the last to the first.
 
-    Only ids and lengths are sorted, over all partitions; ranks come from offsets, one row a
-    partition, so the order does not pass through one task.
+    ``lengths``: (key, doc_id, n_chars, md5), keys unique. Only ids and lengths are sorted, over all partitions; ranks come from
+    offsets, one row a partition, so the order does not pass through one task.
     """
-    ids = lengths.orderBy(F.col("doc_id").desc()).withColumn("at", F.monotonically_increasing_id())
+    ids = lengths.orderBy(F.col("doc_id").desc_nulls_last(), "n_chars", "md5").select("key", "n_chars", F.monotonically_increasing_id().alias("at"))
     ids = C.written(ids, "simhash-order").withColumn("part", F.shiftright("at", 33))
     counts = ids.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     counts = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))     # one row a partition
-    ranked = ids.join(counts, "part").select("doc_id", "n_chars", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
+    ranked = ids.join(counts, "part").select("key", "n_chars", (F.col("at") - F.col("first") + F.col("before")).alias("rank"))
     n = max(1, ids.count())
-    before = ranked.select(F.col("doc_id").alias("prev_id"), F.col("n_chars").alias("prev_chars"), ((F.col("rank") + 1) % n).alias("rank"))
-    return ranked.join(before, "rank").select("doc_id", "prev_id", "prev_chars")
+    before = ranked.select(F.col("key").alias("prev_key"), F.col("n_chars").alias("prev_chars"), ((F.col("rank") + 1) % n).alias("rank"))
+    return ranked.join(before, "rank").select("key", "prev_key", "prev_chars")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,28 +123,33 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text is empty. The edited text replaces the last floor(n_chars / 2) code points by the
     first as many (or all) of the next document in descending doc_id, after the last the first;
-    with one document that is itself. Returns doc_id, n_chars, edited_sha256, fingerprint,
+    with one document that is itself. Returns a row for each row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint (32 hex digits; empty for a text without words), near_edited, near_next
-    (likeness; 1 between two texts without words, 0 between one with and one without). Of rows that
-    repeat a doc_id the shortest text counts, of those the one of the least MD5; a row with a null
-    doc_id has no place in the order and is left out. Other columns are ignored; an empty table
-    gives an empty result.
+    (likeness; 1 between two texts without words, 0 between one with and one without). Rows that
+    repeat a doc_id follow each other by length and MD5, a null doc_id is after all others; of equal rows (id and text) each has
+    the next one as its next document, the last one the document after them. Equal rows are worked on once. Other columns are
+    ignored; an empty table gives an empty result.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5")]
-    lengths = rows.groupBy("doc_id").agg(F.min(F.struct(*order)).alias("s")).select("doc_id", "s.n_chars")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
+    rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "md5")).withColumn("n_chars", F.length("text").cast("long"))
+    lengths = rows.groupBy("key", "doc_id", "md5", "n_chars").agg(F.count("*").alias("rows")).drop("rows")
     places = C.written(ring(lengths), "simhash-ring")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*order, "text")).alias("s")).select("doc_id", "s.n_chars", "s.text")
-    tail = rows.join(places, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("doc_id").alias("next_id"),
-                                              F.expr("left(text, CAST(prev_chars DIV 2 AS INT))").alias("tail"))
-    edited = rows.join(tail, "doc_id").withColumn("edited", F.concat(F.expr("left(text, CAST(n_chars - n_chars DIV 2 AS INT))"), "tail"))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    keys = ["doc_id", "next_id", "n_chars", "edited_sha256", "kind"]
-    two = edited.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(kinds).alias("s")).select("*", "s.*")
-    prints = fingerprints(two, keys, "t")
-    prints = prints.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("kind") == 0, F.col("f"))).alias("a"), F.max(F.when(F.col("kind") == 1, F.col("f"))).alias("b"))
+    rows = rows.groupBy("key", "doc_id", "n_chars").agg(F.min("text").alias("text"), F.count("*").alias("rows"))
+    tail = rows.join(places, "key").select(F.col("prev_key").alias("key"), F.col("key").alias("next_key"),
+                                           F.expr("left(text, CAST(prev_chars DIV 2 AS INT))").alias("tail"))
+    head = F.expr("left(text, CAST(n_chars - n_chars DIV 2 AS INT))")
+    edited = rows.join(tail, "key").withColumn("edited", F.concat(head, "tail"))
+    twin = F.when(F.col("rows") > 1, F.concat(head, F.expr("left(text, CAST(n_chars DIV 2 AS INT))")))      # before an equal row
+    texts = F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in enumerate((F.col("text"), F.col("edited"), twin))])
+    keys = ["key", "next_key", "doc_id", "n_chars", "rows", "edited_sha256", "twin_sha256", "kind"]
+    each = edited.select("key", "next_key", "doc_id", "n_chars", "rows", F.sha2("edited", 256).alias("edited_sha256"), F.sha2(twin, 256).alias("twin_sha256"),
+                         F.explode(F.filter(texts, lambda x: x["t"].isNotNull())).alias("s")).select("*", "s.*")
+    prints = fingerprints(each, keys, "t")
+    prints = prints.groupBy(*keys[:-1]).agg(*[F.max(F.when(F.col("kind") == k, F.col("f"))).alias(name) for k, name in enumerate("abt")])
     prints = C.written(prints, "simhash-prints")
-    following = prints.select(F.col("doc_id").alias("next_id"), F.col("a").alias("c"))
-    out = prints.join(following, "next_id")
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"),
-                      likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    following = prints.select(F.col("key").alias("next_key"), F.col("a").alias("c"))
+    last = prints.join(following, "next_key").select("doc_id", "n_chars", "edited_sha256", "a", "b", "c")
+    others = prints.where("rows > 1").select("doc_id", "n_chars", F.col("twin_sha256").alias("edited_sha256"), "a", F.col("t").alias("b"), F.col("a").alias("c"),
+                                             F.explode(F.sequence(F.lit(2).cast("long"), "rows")).alias("row")).drop("row")
+    return last.union(others).select("doc_id", "n_chars", "edited_sha256", as_text("a").alias("fingerprint"), as_text("b").alias("edited_fingerprint"),
+                                     likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))

@@ -122,19 +122,36 @@ def test_span_removal(make):
 
 
 def test_simhash(make):
-    rows = sample(7)
-    order = sorted(((i, t or "") for i, t in rows), reverse=True)
-    got = {r.doc_id: r for r in simhash.edited_fingerprints(make(rows)).collect()}
-    assert set(got) == {i for i, _ in rows}
+    rows = sample(7) + [(7, "same id, other text"), (7, "a"), (14, "twins of one id"), (14, "twins of one id"), (14, "twins of one id"), (None, "no id"), (None, None), (None, None)]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), len(x[1]), hashlib.md5(x[1].encode()).hexdigest()))
+    got = simhash.edited_fingerprints(make(rows)).collect()
+    prints = {}
+    for r in got:
+        prints.setdefault(r.n_chars, set()).add(r.fingerprint)
+    want = []
     for k, (i, t) in enumerate(order):
         half = len(t) // 2
         edited = t[:len(t) - half] + order[(k + 1) % len(order)][1][:half]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
     by_text = {}
-    for i, t in order:
-        assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
+    for r in got:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        for digest, value in ((r.edited_sha256, r.edited_fingerprint),):
+            assert by_text.setdefault(digest, value) == value
+    single = {i: t or "" for i, t in rows if [x for x, _ in rows].count(i) == 1}
+    alike = {}
+    for r in got:
+        if r.doc_id in single:
+            assert alike.setdefault(single[r.doc_id], r.fingerprint) == r.fingerprint
+    # likeness from the fingerprints themselves
+    full = 64 * simhash.WORDS
+    for r in got:
+        a, b = r.fingerprint, r.edited_fingerprint
+        near = 1.0 if not a and not b else 0.0 if not a or not b else max(0.0, float(np.cos(bin(int(a, 16) ^ int(b, 16)).count("1") * np.pi / full)))
+        assert r.near_edited == pytest.approx(near, abs=1e-9)
     assert simhash.edited_fingerprints(make([])).collect() == []
+    assert [(r.n_chars, r.near_next) for r in simhash.edited_fingerprints(make([(1, "only one")])).collect()] == [(8, 1.0)]
 
 
 def test_simhash_radius(spark):
@@ -208,7 +225,6 @@ def test_embeddings(spark):
 
 def test_embeddings_of_dense_groups(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_MOST", 1000)
-    monkeypatch.setattr(ann, "EXACT", 1000, raising=False)
     rng = np.random.default_rng(3)
     at = lambda n, spread: rng.normal(size=64) / 8 + spread * rng.normal(size=(n, 64))
     groups = [np.concatenate([at(2300, 0.028), rng.normal(size=(300, 64))]), at(2400, 0.012), rng.normal(size=(50, 64))]
@@ -225,6 +241,28 @@ def test_embeddings_of_dense_groups(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(v))] == least.tolist()
 
 
+def test_embeddings_by_the_graph_alone(spark, monkeypatch):
+    """Clusters of a few to some hundred vectors, no group counted exactly: nearly all links, none that isn't there."""
+    monkeypatch.setattr(ann, "exact_links", None)
+    rng = np.random.default_rng(6)
+    groups = []
+    for size in (1, 2, 3, 40, 300, 1800):
+        parts = [rng.normal(size=64) / 8 + 0.024 * rng.normal(size=(n, 64)) for n in rng.integers(1, 60, max(1, size // 20))]
+        groups.append(np.concatenate(parts)[:size])
+    v = np.concatenate(groups)
+    labels = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    df = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, labels))], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: r for r in ann.near_duplicates(df.repartition(8)).collect()}
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    true = ((v @ v.T >= 0.93) & (labels[:, None] == labels[None, :])).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert true.sum() > 10_000 and (found <= true).all() and found.sum() >= 0.95 * true.sum()
+
+
+def test_embeddings_without_rows(spark):
+    assert ann.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label long")).collect() == []
+
+
 def test_pii(make):
     text = "mail a.b@c-d.org, ip 10.0.0.255 not 10.0.0.256 card 4111 1111 1111 1111 call +1 (555) 010-9999."
     rows = [(1, text), (2, None), (3, ""), (4, "nothing here"), (5, "É " * 5 + "x@y.zz"), (5, "a@b@c.d")]
@@ -285,6 +323,28 @@ def test_rollup(make):
     assert rollup.maintained(make([])).collect() == []
 
 
+def test_rollup_judges_rows_by_text_and_id(make):
+    """A copy stays out though its doc_id names a unique text too; a text of a null doc_id alone stays; nulls lose to ids."""
+    rows = [(1, "one two"), (2, "one two"), (2, "unique words here"), (None, "no id"), (None, "one two"), (7, "again a b"), (7, "again a b")]
+    got = rollup.maintained(make(rows)).where("version = 'words-1'").collect()
+    assert sum(r.docs for r in got) == 1 + 1 + 1 + 2 and sum(r.tokens for r in got) == 2 + 3 + 2 + 6
+
+
+def test_rollup_commits_are_published_whole(make, spark):
+    store = rollup.new_store(spark)
+    one, two = make([(1, "a b c")]), make([(1, "a b c d e")])
+    tokens = lambda: {r.version: r.tokens for r in rollup.totals(spark, store).collect()}["words-1"]
+    rollup.commit(spark, store, "b", rollup.changes(one, 1))
+    assert tokens() == 3
+    # an attempt that wrote its rows and died before it was published changes nothing
+    rollup.changes(two, 1).groupBy(*rollup.KEYS).sum("docs", "tokens").toDF(*rollup.KEYS, "docs", "tokens").write.parquet(f"{store}/data/attempt=a-dead")
+    assert tokens() == 3
+    rollup.commit(spark, store, "b", rollup.changes(two, 1))
+    assert tokens() == 5
+    rollup.commit(spark, store, "c", rollup.changes(one, -1))
+    assert tokens() == 2
+
+
 def test_masks_cover_overlapping_spans(make):
     import corpus_pipeline
     texts = ["root@10.0.0.1", "4111111111111111@mail.com", "+49.30.12.34.567", "a root@10.0.0.1 b 10.0.0.2 c", "none", None]
