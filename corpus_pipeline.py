@@ -23,9 +23,15 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier, fitted on ``labels``, scores under its threshold."""
+    """Drop documents that the classifier, fitted on ``labels``, scores under its threshold.
+
+    Rows are judged one by one by their text, so that repeated rows share their fate; a null text is empty. Without labels of both
+    classes nothing is learnt and every document stays. An empty table stays empty.
+    """
     docs = _columns(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model["weights"].any():
+        return docs
     return quality.score(docs, model, keep=["lang", "source", "n_chars"]).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
