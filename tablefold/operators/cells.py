@@ -136,9 +136,8 @@ def with_index(cells: DataFrame, name: str = "index") -> DataFrame:
 
 # P10 -----------------------------------------------------------------------
 def drop_empty_tables(cells: DataFrame) -> DataFrame:
-    """P10: drop tables without any non-empty value."""
-    keep = cells.groupBy(*TABLE_KEYS).agg(F.max(F.length("value")).alias("_m")).filter(F.col("_m") > 0)
-    return cells.join(keep.select(*TABLE_KEYS), TABLE_KEYS, "left_semi")
+    """P10: only tables with rows: one whose cells are all '' stays; one without rows has no cells, or cells without a row number."""
+    return cells.where(F.col("row_idx").isNotNull())
 
 
 # Q7 ------------------------------------------------------------------------
