@@ -9,21 +9,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablefold.operators.cells import CELL_COLUMNS, TABLE_KEYS
 
 
-def _ncols(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*TABLE_KEYS).agg((F.max("col_idx") + 1).alias("_ncols"))
-
-
 def _with_ncols(cells: DataFrame) -> DataFrame:
     """Column count of each cell's table as a window (no join on the table key)."""
     return cells.withColumn("_ncols", F.max("col_idx").over(Window.partitionBy(*TABLE_KEYS)) + 1)
 
 
+def _rows(cells: DataFrame) -> DataFrame:
+    """One row per table row: ``cs``, its cells in order, and ``_ncols``, the table's column count."""
+    cell = F.struct(F.col("col_idx").cast("int").alias("c"), F.col("col_name").alias("n"), F.col("value").alias("v"))
+    rows = cells.groupBy(*TABLE_KEYS, "row_idx").agg(F.array_sort(F.collect_list(cell)).alias("cs"))
+    return rows.withColumn("_ncols", F.max(F.element_at("cs", -1)["c"]).over(Window.partitionBy(*TABLE_KEYS)) + 1)
+
+
+def _cell(row: Column, col: Column, name: Column, value: Column) -> Column:
+    return F.struct(row.cast("int").alias("row_idx"), col.cast("int").alias("col_idx"), name.alias("col_name"), value.alias("value"))
+
+
+def _exploded(rows: DataFrame, *made: Column) -> DataFrame:
+    return rows.select(*TABLE_KEYS, F.explode(F.concat(*made)).alias("_c")).select(*TABLE_KEYS, "_c.*").select(*CELL_COLUMNS)
+
+
 def _out(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("int").alias(c) if c in ("row_idx", "col_idx") else F.col(c)
                        for c in CELL_COLUMNS])
@@ -31,52 +42,50 @@ def _out(df: DataFrame) -> DataFrame:
 
 # D13 -----------------------------------------------------------------------
 def stack(cells: DataFrame, start: int, end: int, var_name: str = "variable", value_name: str = "value") -> DataFrame:
-    """Columns ``start..end`` collapse into (variable, value) rows; other columns repeat."""
+    """Columns ``start..end`` collapse into (variable, value) rows; other columns repeat.
+
+    A row becomes its new cells in one explode.
+    """
     k = end - start + 1
-    c = _with_ncols(cells)
-    inrange = (F.col("col_idx") >= start) & (F.col("col_idx") <= end)
-    n_id = F.col("_ncols") - k
-    ids = c.filter(~inrange).select(*TABLE_KEYS, "row_idx", "col_idx", "col_name", "value", F.explode(
-        F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    ids = ids.select(*TABLE_KEYS, (F.col("row_idx") * k + F.col("j")).alias("row_idx"),
-                     F.when(F.col("col_idx") < start, F.col("col_idx")).otherwise(F.col("col_idx") - k).alias("col_idx"),
-                     "col_name", "value")
-    rng = c.filter(inrange).withColumn("row_idx", F.col("row_idx") * k + F.col("col_idx") - start)
-    var = rng.select(*TABLE_KEYS, "row_idx", n_id.alias("col_idx"), F.lit(var_name).alias("col_name"),
-                     F.col("col_name").alias("value"))
-    val = rng.select(*TABLE_KEYS, "row_idx", (n_id + 1).alias("col_idx"), F.lit(value_name).alias("col_name"), "value")
-    return _out(ids.unionByName(var).unionByName(val))
+    inside = lambda x: (x["c"] >= start) & (x["c"] <= end)
+    at, ids = F.col("row_idx") * k, F.col("_ncols") - k
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.transform(
+        F.filter("cs", lambda x: ~inside(x)),
+        lambda x: _cell(at + j, F.when(x["c"] < start, x["c"]).otherwise(x["c"] - k), x["n"], x["v"]))))
+    rng = F.filter("cs", inside)
+    var = F.transform(rng, lambda x: _cell(at + x["c"] - start, ids, F.lit(var_name), x["n"]))
+    val = F.transform(rng, lambda x: _cell(at + x["c"] - start, ids + 1, F.lit(value_name), x["v"]))
+    return _exploded(_rows(cells), kept, var, val)
 
 
 # D14 -----------------------------------------------------------------------
 def wide_to_long(cells: DataFrame, start: int, end: int, sep_pattern: str = r"^(.*?)[_ ]?(\d+)$",
                  j_name: str = "suffix") -> DataFrame:
-    """Repeating column groups ``stub<sep><n>`` in ``start..end`` collapse into rows per suffix."""
-    inrange = (F.col("col_idx") >= start) & (F.col("col_idx") <= end)
-    heads = cells.filter(inrange & (F.col("row_idx") == 0)).select(
-        *TABLE_KEYS, "col_idx", F.regexp_extract("col_name", sep_pattern, 1).alias("stub"),
-        F.regexp_extract("col_name", sep_pattern, 2).alias("sfx"))
-    sfx = heads.groupBy(*TABLE_KEYS, "sfx").agg(F.min("col_idx").alias("_f"))
-    sfx = sfx.withColumn("s_rank", F.row_number().over(Window.partitionBy(*TABLE_KEYS).orderBy("_f")) - 1)
-    stub = heads.groupBy(*TABLE_KEYS, "stub").agg(F.min("col_idx").alias("_f"))
-    stub = stub.withColumn("t_rank", F.row_number().over(Window.partitionBy(*TABLE_KEYS).orderBy("_f")) - 1)
-    nsfx = sfx.groupBy(*TABLE_KEYS).agg(F.count(F.lit(1)).alias("_ns"))
+    """Repeating column groups ``stub<sep><n>`` in ``start..end`` collapse into rows per suffix.
+
+    Stubs and suffixes are those of the first row's names, in column order; a table whose first row
+    has no cell there has no result. The groups reach the rows by a window over the table's rows.
+    """
     k = end - start + 1
-    c = cells.join(nsfx, TABLE_KEYS)
-    ids = c.filter(~inrange).select("*", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1)).alias("j"))
-    ids = ids.select(*TABLE_KEYS, (F.col("row_idx") * F.col("_ns") + F.col("j")).alias("row_idx"),
-                     F.when(F.col("col_idx") < start, F.col("col_idx")).otherwise(F.col("col_idx") - k).alias("col_idx"),
-                     "col_name", "value")
-    n_id = cells.join(_ncols(cells), TABLE_KEYS).select(*TABLE_KEYS, "_ncols").distinct() \
-        .withColumn("_nid", F.col("_ncols") - k).drop("_ncols")
-    rng = (c.filter(inrange).join(heads, TABLE_KEYS + ["col_idx"]).join(sfx, TABLE_KEYS + ["sfx"])
-           .join(stub, TABLE_KEYS + ["stub"]).join(n_id, TABLE_KEYS))
-    newrow = F.col("row_idx") * F.col("_ns") + F.col("s_rank")
-    vals = rng.select(*TABLE_KEYS, newrow.alias("row_idx"), (F.col("_nid") + 1 + F.col("t_rank")).alias("col_idx"),
-                      F.col("stub").alias("col_name"), "value")
-    jcol = rng.select(*TABLE_KEYS, newrow.alias("row_idx"), F.col("_nid").alias("col_idx"),
-                      F.lit(j_name).alias("col_name"), F.col("sfx").alias("value")).distinct()
-    return _out(ids.unionByName(vals).unionByName(jcol))
+    inside = lambda x: (x["c"] >= start) & (x["c"] <= end)
+    head = F.transform(F.filter("cs", inside), lambda x: F.struct(
+        x["c"].alias("c"), F.regexp_extract(x["n"], sep_pattern, 1).alias("stub"), F.regexp_extract(x["n"], sep_pattern, 2).alias("sfx")))
+    rows = _rows(cells).withColumn("_head", F.max(F.when(F.col("row_idx") == 0, head)).over(Window.partitionBy(*TABLE_KEYS)))
+    rows = rows.where(F.size("_head") > 0).withColumn("_sfx", F.array_distinct(F.transform("_head", lambda h: h["sfx"]))) \
+        .withColumn("_stub", F.array_distinct(F.transform("_head", lambda h: h["stub"])))
+    at, ids = F.col("row_idx") * F.size("_sfx"), F.col("_ncols") - k
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_sfx") - 1), lambda j: F.transform(
+        F.filter("cs", lambda x: ~inside(x)),
+        lambda x: _cell(at + j, F.when(x["c"] < start, x["c"]).otherwise(x["c"] - k), x["n"], x["v"]))))
+    # the row's cells with the names they have in the header
+    named = F.filter(F.transform("cs", lambda x: F.struct(x["v"].alias("v"), F.filter("_head", lambda h: h["c"] == x["c"]).alias("h"))),
+                     lambda y: F.size(y["h"]) > 0)
+    spot = lambda what, x: F.array_position(what, x) - 1
+    vals = F.transform(named, lambda y: _cell(at + spot(F.col("_sfx"), y["h"][0]["sfx"]), ids + 1 + spot(F.col("_stub"), y["h"][0]["stub"]),
+                                              y["h"][0]["stub"], y["v"]))
+    js = F.transform(F.array_distinct(F.transform(named, lambda y: y["h"][0]["sfx"])),
+                     lambda x: _cell(at + spot(F.col("_sfx"), x), ids, F.lit(j_name), x))
+    return _exploded(rows, kept, vals, js)
 
 
 # D15 -----------------------------------------------------------------------
