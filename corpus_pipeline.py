@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefold.llm import common, mixing, ngram_join, packing, pii, quality
+from tablefold.llm import common as C
+from tablefold.llm import mixing, ngram_join, packing, pii, quality
 from tablefold.llm.queries import vocabulary
 from tablefold.sources.tables import table
 
@@ -35,11 +36,29 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.score(docs, model, keep=["lang", "source", "n_chars"]).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_id``, a hash of doc_id and text: rows that repeat a doc_id, or have none, are told apart by their texts."""
+    return docs.withColumn("row_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every component of the shingle join; a null doc_id stays."""
-    docs = _columns(docs)
-    gone = ngram_join.near_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one row of every component of the shingle join: that of the smallest doc_id (null last), of these the smallest text hash.
+
+    Rows are compared by their texts, whatever their ids: of rows equal in doc_id and text one stays, a text of its own stays beside
+    a copy that has the same doc_id, and rows without a doc_id take part. Texts without words (null, empty, blank) are linked with
+    nothing and all stay. An empty table stays empty.
+    """
+    docs = _named(_columns(docs))
+    rows = C.written(ngram_join.near_classes(docs.select(F.col("row_id").alias("doc_id"), "text")), "pipeline-classes")
+    rows = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("row_id"), F.col("component_id").alias("component")).agg(F.count("*").alias("rows"))
+    shared = rows.groupBy("component").agg(F.count("*").alias("texts")).where("texts > 1").select("component")
+    members = C.written(rows.join(shared, "component").join(docs.select("row_id", "doc_id").distinct(), "row_id"), "pipeline-members")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("best"))
+    gone = members.join(best, "component").where("row_id <> best").select("row_id").distinct()
+    equal = rows.where("rows > 1").select("row_id")
+    kept = docs.join(gone.union(equal), "row_id", "left_anti")
+    once = docs.join(equal.join(gone, "row_id", "left_anti"), "row_id", "left_semi").dropDuplicates(["row_id", "doc_id"])
+    return kept.select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,15 +84,18 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it. A document without words stays once."""
-    docs = _columns(docs)
-    taken = mixing.mix(docs.where("doc_id IS NOT NULL")).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)).alias("copies"))
-    rows = docs.join(taken, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeat each document as often as the mix takes it. A document without words stays once.
+
+    Rows are decided by doc_id and text; rows equal in both share the largest of their copies. An empty table stays empty.
+    """
+    docs = _named(_columns(docs))
+    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
+    taken = mixing.mix(docs.select(F.col("row_id").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("row_id")).agg(F.max(copies).alias("copies"))
+    return docs.join(taken, "row_id").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack every copy into sequences (one row for each piece)."""
+    """Pack every copy into sequences (one row for each piece); a null text is its closing id alone, no rows give none."""
     return packing.pack(_columns(docs), *vocabulary())
 
 
@@ -86,5 +108,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

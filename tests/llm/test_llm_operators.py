@@ -364,3 +364,48 @@ def test_pipeline_stages(spark):
         n = docs.count()
         assert n > 0 and (before is None or name in ("mixing", "packing") or n <= before)
         before = n
+
+
+def stage_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_near_duplicates_by_row(spark, make):
+    import corpus_pipeline as P
+    r = random.Random(11)
+    words = lambda n: " ".join("w%d" % r.randrange(10_000) for _ in range(n))
+    t, u, v = words(60), words(60), words(60)
+    near = " ".join(t.split()[:-1] + ["other"])
+    rows = [(1, t), (1, t), (2, u), (2, t), (3, near), (None, v), (None, v), (None, t), (4, None), (4, None), (5, ""), (None, " ")]
+    kept = stage_rows(P.near_duplicates(spark, make(rows), SMOKE))
+    assert kept == sorted([(1, t), (2, u), (None, v), (4, None), (4, None), (5, ""), (None, " ")], key=repr)
+    many = [(i % 3, t) for i in range(300)] + [(9, near)] * 50
+    assert stage_rows(P.near_duplicates(spark, make(many), SMOKE)) == [(0, t)]
+
+
+def test_mix_sources_by_row(spark, make):
+    import corpus_pipeline as P
+    rows = [(1, "a " * 40), (1, "b " * 500), (None, "c " * 30), (None, "d " * 70), (3, None), (4, "")] + [(10 + i, "x y z " * (i % 7 + 1)) for i in range(120)]
+    docs = make(rows)
+    size = lambda x: len((x or "").split())
+    made = stage_rows(P.mix_sources(spark, docs, SMOKE))
+    assert {x for x in rows if not size(x[1])} == {x for x in made if not size(x[1])}
+    assert all(made.count(x) <= 3 for x in set(made))
+    taken, want = {}, {}
+    source = {x: f"src{n % 3}" if n % 5 else None for n, x in enumerate(rows)}
+    for x in made:
+        taken[source[x]] = taken.get(source[x], 0) + size(x[1])
+    for m in mixing.mix(docs).select("source_size", "target").distinct().collect():
+        want[m.source_size] = m.target
+    totals = {}
+    for x in rows:
+        totals[source[x]] = totals.get(source[x], 0) + size(x[1])
+    for s, total in totals.items():
+        assert abs(taken.get(s, 0) - want[total]) <= max(size(x[1]) for x in rows if source[x] == s)
+
+
+def test_stages_of_empty_tables(spark, make):
+    import corpus_pipeline as P
+    docs = make([(1, "a")]).where("doc_id > 1")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, SMOKE).count() == 0, name
