@@ -307,6 +307,25 @@ def test_html_attributes(spark):
     assert got == {1: "Head one two three four", 2: "text"}
 
 
+def test_html_broken_pages(spark):
+    pages = {"<article><p don't>one</p><p>two</p></article>": "one two", "<article>super<wbr>man <img src=x>x</article>": "superman x",
+             "<article><p>a</p><button>x<p>b</p></article>": "a x b", "<article><p>a</p><svg><p>b</p></article>": "a b", "<article>a<svg/>b</article>": "a b",
+             "<head><title>T<body><article><p>x</p></article>": "x", "<title>T": "", "<article><a title='x>y' href=\"q'\">ok</a></article>": "ok",
+             "<article><p>a</p><script>b": "a", "<article>a < b <p>c": "a < b c", "<article><p a=\"": "", "<": "<", "": ""}
+    rows = [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(pages.values()))
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, template binary")).count() == 0
+
+
+def test_html_deep_pages():
+    import tracemalloc
+    tracemalloc.start()
+    assert sum(e[0] == "open" for e in html_extract.parse("<div>" * 100_000 + "x" + "</p>" * 1000)) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
