@@ -270,10 +270,12 @@ def parse_tool_call(c: Column) -> Column:
     args = F.regexp_extract(c, pat, 2)
     as_json = F.from_json(args, T.MapType(T.StringType(), T.StringType()))
     parts = F.filter(F.split(args, ","), lambda p: F.locate("=", p) > 0)
-    kv = F.map_from_entries(F.transform(parts, lambda p: F.struct(
+    pairs = F.transform(parts, lambda p: F.struct(
         pystrip(F.substring_index(p, "=", 1)).alias("key"),
         F.regexp_replace(pystrip(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)), r"^['\"]+|['\"]+$", "")
-        .alias("value"))))
+        .alias("value")))
+    # of a repeated name the last value counts
+    kv = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
     empty = F.create_map().cast("map<string,string>")
     arguments = (F.when(pystrip(args) == "", empty)
                  .when(as_json.isNotNull(), as_json)
@@ -281,6 +283,17 @@ def parse_tool_call(c: Column) -> Column:
     return F.when(name != "", F.struct(name.alias("name"), arguments.alias("arguments")))
 
 
+def tool_arguments(c: Column) -> Column:
+    """The call's arguments as JSON text; JSON ones keep their types, integers of ``k=v`` pairs become numbers. NULL without a call."""
+    quoted = lambda t: F.substring(F.to_json(F.array(t)), F.lit(2), F.length(F.to_json(F.array(t))) - 2)
+    digits = lambda v: F.regexp_replace(F.regexp_replace(pystrip(v), r"_|^[+]", ""), r"^(-?)0+(?=[0-9])|^-(?=0+$)", "$1")
+    entry = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(
+        pystrip(e["value"]).rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), digits(e["value"])).otherwise(quoted(e["value"])))
+    args = F.regexp_extract(c, r"(?s)<tool_call>(\w+)\((.*?)\)</tool_call>", 2)
+    pairs = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(parse_tool_call(c)["arguments"]), entry), ","), F.lit("}"))
+    return F.coalesce(F.when(pystrip(args) != "", F.to_json(F.try_parse_json(args))), pairs)
+
+
 def clean_markers(c: Column) -> Column:
     """X11: remove tool call and tool result blocks, then strip."""
     t = F.regexp_replace(c, r"(?s)<tool_call>.*?</tool_call>", "")

@@ -1,4 +1,4 @@
-"""Token budget and corpus statistics (K1-K6).
+"""Token budget and corpus statistics (K1-K7).
 
 K1 counts tokens with a regex piece rule that runs JVM-side (no tokenizer
 vocabulary needed): a run of ASCII letters/digits is one token, every other
@@ -65,3 +65,15 @@ def token_totals(df: DataFrame, by: str = "dataset") -> DataFrame:
                           F.count(F.lit(1)).alias("n"), F.grouping(by).alias("_g"))
     return g.select(F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col(by)).alias(by),
                     "total_m", "mean", "n")
+
+
+def model_usage(scored: DataFrame, keys: list[str] = ["model_name", "task"], shares: list[float] = [0.5, 0.95]) -> DataFrame:
+    """K7: prompt and completion tokens per model and task: totals, means and the exact percentiles ``shares``; mean and longest time.
+
+    ``percentile`` counts equal values: its state is bounded by the longest answer in tokens, not by the rows.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for kind in ("prompt", "completion"):
+        c = f"{kind}_tokens"
+        aggs += [F.sum(c).alias(c), F.avg(c).alias(f"{kind}_mean"), *[F.percentile(c, p).alias(f"{kind}_p{round(p * 100)}") for p in shares]]
+    return scored.groupBy(*keys).agg(*aggs, F.avg("time_taken").alias("avg_time"), F.max("time_taken").alias("max_time"))

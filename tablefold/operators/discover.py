@@ -9,7 +9,7 @@ map-side combining. Hot values only add to partial counts.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,17 @@ def functional_dependencies(df: DataFrame, columns: list[str] | None = None, max
     """Single-determinant dependencies A -> B with their error ratio.
 
     error = share of rows to remove so that every value of A maps to one value
-    of B (rows outside each A-group's most common B). One pass: every row emits
-    one (A, a, B, b) item per ordered column pair; counts are combined map-side.
+    of B (rows outside each A-group's most common B). One pass: a row emits one
+    (A, a, B, b) item per unordered column pair, counted map-side; both directions of
+    a pair are read from the same counts, so the first exchange carries half of what ordered pairs would.
     """
     cols = columns or df.columns
     df = spread(df.select(*cols))
-    pairs = list(permutations(cols, 2))
-    items = F.explode(F.array(*[F.struct(F.lit(a).alias("det"), _txt(a).alias("a"),
-                                         F.lit(b).alias("dep"), _txt(b).alias("b")) for a, b in pairs]))
-    long = df.select(items.alias("i")).select("i.*")
-    ab = long.groupBy("det", "dep", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda a, b: F.struct(F.lit(a).alias("det"), _txt(a).alias("a"), F.lit(b).alias("dep"), _txt(b).alias("b"))
+    long = df.select(F.inline(F.array(*[side(a, b) for a, b in combinations(cols, 2)])))
+    once = long.groupBy("det", "dep", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    back = F.struct(F.col("dep").alias("det"), F.col("b").alias("a"), F.col("det").alias("dep"), F.col("a").alias("b"), "n")
+    ab = once.select(F.inline(F.array(F.struct("det", "a", "dep", "b", "n"), back)))
     per_a = ab.groupBy("det", "dep", "a").agg(F.max("n").alias("top"), F.sum("n").alias("rows"),
                                               F.count(F.lit(1)).alias("n_b"))
     g = per_a.groupBy("det", "dep").agg(

@@ -105,3 +105,17 @@ def needle_positions(cells: DataFrame, step: int = 5) -> DataFrame:
                       F.floor(F.col("col_idx") / step).cast("int").alias("col_bin")).agg(
         F.min(F.struct("row_idx", "col_idx", "col_name", "value")).alias("c"))
     return g.select("case_id", "table_name", "row_bin", "col_bin", "c.row_idx", "c.col_idx", "c.col_name", "c.value")
+
+
+def place_needle(cells: DataFrame, needles: DataFrame) -> DataFrame:
+    """Turn each table's rows and columns, both as a ring, until its needle stands where it shall.
+
+    ``needles(case_id, table_name, from_row, from_col, to_row, to_col)`` has one row a table; places are taken modulo the table's shape.
+    Columns keep their names. Tables without a needle stay as they are. The shape is a window over the table's own cells, which
+    are partitioned by table already.
+    """
+    w = Window.partitionBy("case_id", "table_name")
+    shaped = cells.withColumn("_rows", F.max("row_idx").over(w) + 1).withColumn("_cols", F.max("col_idx").over(w) + 1)
+    turned = lambda at, a, b, n: F.pmod(F.col(at) + F.coalesce(F.col(b) - F.col(a), F.lit(0)), F.col(n)).cast("int").alias(at)
+    return shaped.join(needles, ["case_id", "table_name"], "left").select(
+        "case_id", "table_name", turned("row_idx", "from_row", "to_row", "_rows"), turned("col_idx", "from_col", "to_col", "_cols"), "col_name", "value")

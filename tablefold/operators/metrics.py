@@ -225,33 +225,57 @@ def group_details(scored: DataFrame, keys: list[str] = GROUP_KEYS, cols: list[st
 
 
 # A16 / A17 / A18 -----------------------------------------------------------
+def needle_columns(scored: DataFrame) -> DataFrame:
+    """Adds the needle's place and the length of the context, read from the metadata in one pass (NULL where absent)."""
+    m = F.from_json("metadata", "needle_row_idx bigint, needle_col_idx bigint, context_length double")
+    return scored.withColumn("_m", m).select("*", "_m.*").drop("_m")
+
+
 def needle_bin(c: Column, step: int) -> Column:
     """``(int((i-1)/step)+1)*step`` with truncation toward zero (ledger L22)."""
     return ((((c - 1) / step).cast("int")) + 1) * step
 
 
 def needle_heatmap(scored: DataFrame, row_col: str = "needle_row_idx", col_col: str = "needle_col_idx",
-                   step: int = 5, keys: list[str] = GROUP_KEYS) -> DataFrame:
-    """Mean correct per (row bin, column bin); ``step=1`` leaves indices unbinned."""
-    rb = needle_bin(F.col(row_col), step) if step > 1 else F.col(row_col)
-    cb = needle_bin(F.col(col_col), step) if step > 1 else F.col(col_col)
-    return (scored.withColumn("row_bin", rb).withColumn("col_bin", cb)
-            .groupBy(*keys, "row_bin", "col_bin").agg(F.avg("correct").alias("acc"),
-                                                      F.count(F.lit(1)).alias("n")))
+                   step: int = 5, keys: list[str] = GROUP_KEYS, values: list[str] = ["correct"]) -> DataFrame:
+    """Mean of each of ``values`` per (row bin, column bin), and the rows; ``step=1`` leaves indices unbinned.
+
+    Groups with a NULL key and rows without a place are left out.
+    """
+    bin_of = lambda c: needle_bin(F.col(c), step) if step > 1 else F.col(c)
+    placed = scored.withColumn("row_bin", bin_of(row_col).cast("bigint")).withColumn("col_bin", bin_of(col_col).cast("bigint"))
+    return _keyed_agg(placed, [*keys, "row_bin", "col_bin"], *[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n"))
+
 
+def heatmap_matrix(heatmap: DataFrame, keys: list[str] = GROUP_KEYS, values: list[str] = ["correct"]) -> DataFrame:
+    """A16/A17 as matrices: one row per group and row bin, its cells as arrays over ``col_bins``.
 
-def context_bins(scored: DataFrame, length_col: str = "context_length", bins: int = 10,
-                 keys: list[str] = GROUP_KEYS) -> DataFrame:
-    """Equal-width bins over [min, max], right-closed; the minimum sits alone in bin 0.
+    ``col_bins`` are all column bins of the group, ascending, so the rows of a group line up; a cell without rows is NULL (``n``: 0).
+    The columns come from the data inside the plan, so no job runs to find them; the arrays are as long as the widest table has bins.
+    """
+    every = F.array_sort(F.collect_set("col_bin").over(Window.partitionBy(*keys)))
+    cell = F.struct(*[F.col(v) for v in values], F.col("n"))
+    g = heatmap.withColumn("col_bins", every).groupBy(*keys, "row_bin").agg(
+        F.first("col_bins").alias("col_bins"), F.map_from_entries(F.collect_list(F.struct("col_bin", cell))).alias("_m"))
+    get = lambda v: F.transform("col_bins", lambda b: F.try_element_at(F.col("_m"), b)[v])
+    return g.select(*keys, "row_bin", "col_bins", *[get(v).alias(v) for v in values],
+                    F.transform(get("n"), lambda n: F.coalesce(n, F.lit(0))).alias("n"))
+
+
+def context_bins(scored: DataFrame, length_col: str = "context_length", bins: int = 10, keys: list[str] = GROUP_KEYS) -> DataFrame:
+    """Adds ``len_bin``, one of ``bins`` equal, right-closed parts of the group's own [min, max]; the minimum is alone in bin 0.
 
-    min/max are two scalars from one global aggregate, inlined as literals.
+    A bin is the number of edges below the length. The edges come from one aggregate, joined by the keys, so nothing runs while
+    the query is planned. Groups with a NULL key and rows without a length are left out.
     """
-    lo, hi = scored.agg(F.min(length_col), F.max(length_col)).first()
-    if lo is None:
-        lo, hi = 0, 0
-    width = (hi - lo) / bins
-    b = (F.lit(0) if width == 0 else F.ceil((F.col(length_col) - F.lit(lo)) / F.lit(width))).cast("int")
-    return (scored.withColumn("len_bin", b)
-            .groupBy(*keys, "len_bin").agg(F.avg("correct").alias("acc"),
-                                           F.avg(length_col).alias("mean_length"),
-                                           F.count(F.lit(1)).alias("n")))
+    rows = scored.where(F.col(length_col).isNotNull())
+    ends = rows.groupBy(*keys).agg(F.min(length_col).cast("double").alias("_lo"), F.max(length_col).cast("double").alias("_hi"))
+    lo, hi, x = F.col("_lo"), F.col("_hi"), F.col(length_col)
+    edges = [lo + i * ((hi - lo) / bins) for i in range(bins)] + [hi]
+    below = reduce(lambda a, b: a + b, [(e < x).cast("int") for e in edges])
+    return rows.join(ends, keys).withColumn("len_bin", below).drop("_lo", "_hi")
+
+
+def context_lengths(binned: DataFrame, length_col: str = "context_length", keys: list[str] = GROUP_KEYS) -> DataFrame:
+    """Per group and length bin the mean length, the rows and the mean score."""
+    return _keyed_agg(binned, [*keys, "len_bin"], F.avg(length_col).alias("mean_length"), F.avg("correct").alias("correct"), F.count(F.lit(1)).alias("n"))

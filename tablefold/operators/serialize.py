@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablefold.operators.cells import TABLE_KEYS, dedup_headers, with_index
+from tablefold.operators.cells import TABLE_KEYS, with_index
 
 
 def _json_str(c: Column) -> Column:
@@ -153,17 +153,29 @@ def html_with_index(cells: DataFrame) -> DataFrame:
 
 
 # Z13 / Z14 -----------------------------------------------------------------
-def json_lines(cells: DataFrame, index: bool = False) -> DataFrame:
-    """One JSON object per row, repeated headers suffixed ``_2, _3``."""
-    c = dedup_headers(cells, start=2)
-    if index:
-        c = with_index(c, "index")
-    rows = _rows(c, None)
-    line = F.concat(F.lit("{"), F.array_join(_vals(F.col("cs"), lambda x: F.concat(
-        _json_str(x["col_name"]), F.lit(":"),
-        F.when((x["col_name"] == "index") & F.lit(index) & (x["col_idx"] == 0), x["value"])
-        .otherwise(_json_str(x["value"])))), ","), F.lit("}"))
-    return _text(rows, line, None, trailing="\n")
+#: text of a JSON number
+_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
+def _own_names(cs: Column) -> Column:
+    """P6 inside a row: names of its cells in order, later copies suffixed ``_2, _3``; only rows with a copy compare names."""
+    names = F.transform(cs, lambda x: x["col_name"])
+    nth = lambda x, i: F.size(F.filter(F.slice(names, 1, i + 1), lambda y: y == x))
+    suffixed = F.transform(names, lambda x, i: F.when(nth(x, i) == 1, x).otherwise(F.concat(x, F.lit("_"), nth(x, i).cast("string"))))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(suffixed)
+
+
+def json_lines(cells: DataFrame, index: bool = False, typed: bool = False) -> DataFrame:
+    """One JSON object per row, repeated headers suffixed ``_2, _3``.
+
+    ``typed`` writes the values of a column as numbers if all of them are (the typed reader's columns); otherwise values are texts.
+    """
+    c = cells.withColumn("raw", F.min(F.col("value").rlike(_NUMBER)).over(Window.partitionBy(*TABLE_KEYS, "col_idx")) if typed else F.lit(False))
+    rows = c.groupBy(*TABLE_KEYS, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "col_name", "value", "raw"))).alias("cs"))
+    rows = rows.withColumn("names", _own_names(F.col("cs")))
+    parts = F.zip_with("cs", "names", lambda x, name: F.concat(_json_str(name), F.lit(":"), F.when(x["raw"], x["value"]).otherwise(_json_str(x["value"]))))
+    head = F.concat(F.lit('{"index":'), F.col("row_idx").cast("string"), F.lit(",")) if index else F.lit("{")
+    return _text(rows, F.concat(head, F.array_join(parts, ","), F.lit("}")), None, trailing="\n")
 
 
 # Z15 / Z16 / Z17 -----------------------------------------------------------
@@ -196,6 +208,7 @@ SERIALIZERS = {
     "html_noheader": lambda c: html(c, header=False),
     "json": json_lines,
     "json_index": lambda c: json_lines(c, index=True),
+    "json_typed": lambda c: json_lines(c, typed=True),
     "csv": csv,
     "csv_index": lambda c: csv(c, index=True),
     "csv_noheader": lambda c: csv(c, header=False),

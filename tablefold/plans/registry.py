@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tablefold.plans import base
-from tablefold.plans import (all_tasks, building, compare, corpus, discovery, linking, matching, readers, reshaping, streams, tables,  # noqa: F401
+from tablefold.plans import (all_tasks, building, compare, corpus, discovery, linking, matching, needles, readers, reshaping, streams, tables,  # noqa: F401
                              tools, transforms)
 from tablefold.plans import oracle as O
 from tablefold.plans import scoring as SC

@@ -46,3 +46,13 @@ def q_stream_scoreboard(spark, sf_dir):
     name = "board_" + uuid.uuid4().hex[:10]
     out = S.run_available(board, name, base + "/ckpt")
     return out.select("task", "n", F.round("acc", R).alias("acc"))
+
+
+@register("stream_intake_bounded", "WITH " + F1_CTE.strip() + """
+SELECT dataset, count(*) AS n FROM f1 WHERE m <> 5 GROUP BY dataset""")
+def q_stream_intake_bounded(spark, sf_dir):
+    """R1 with a state of seven days: the same counts, as every copy comes within them."""
+    base = _deliver(spark, sf_dir)
+    intake = S.stream_results(spark, base + "/in", max_files_per_trigger=8, within="7 days")
+    counts = intake.groupBy(metadata_field(F.col("metadata"), "dataset").alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
+    return S.run_available(counts, "bounded_" + uuid.uuid4().hex[:10], base + "/ckpt")

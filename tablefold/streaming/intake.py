@@ -3,9 +3,10 @@
 Results arrive as new JSONL files in a folder (a file stream sees new files,
 not lines appended to old ones). The intake drops empty responses and
 de-duplicates on ``metadata`` (so a restart that re-delivers results does not
-count them twice); the checkpoint is the resume point. There is no event
-time in a result, so the de-dup state grows with the number of distinct
-queries -- bounded by the query set, not by time.
+count them twice); the checkpoint is the resume point. A result has no event
+time, so without ``within`` the de-dup state grows with the number of distinct
+queries. With it, the time of the micro-batch that first sees a result is its
+event time: no result is ever late, and state older than ``within`` is dropped.
 """
 
 from __future__ import annotations
@@ -23,13 +24,21 @@ RESPONSE_SCHEMA = ("prompt string, metadata string, response string, prompt_toke
 
 
 def stream_results(spark: SparkSession, folder: str, schema: str = RESPONSE_SCHEMA,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of non-empty, de-duplicated results."""
+                   max_files_per_trigger: int | None = None, within: str | None = None) -> DataFrame:
+    """Streaming DataFrame of non-empty, de-duplicated results.
+
+    ``within`` (e.g. ``"7 days"``) bounds the state: copies that come later than that after the first one count again.
+    """
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     s = r.json(folder)
-    return s.filter(F.coalesce(F.length("response"), F.lit(0)) > 0).dropDuplicates(["metadata"])
+    s = s.filter(F.coalesce(F.length("response"), F.lit(0)) > 0)
+    if within is None:
+        return s.dropDuplicates(["metadata"])
+    # a micro-batch's time is in the offset log, so that a repeated batch sees the same one
+    seen = s.withColumn("seen_at", F.current_timestamp()).withWatermark("seen_at", within)
+    return seen.dropDuplicatesWithinWatermark(["metadata"]).drop("seen_at")
 
 
 def stream_scoreboard(results: DataFrame, tasks: list[str] | None = None) -> DataFrame:
