@@ -59,12 +59,11 @@ OPS = {"+": lambda b, c: b + c, "-": lambda b, c: b - c, "*": lambda b, c: b * c
 def arithmetic_relations(df: DataFrame, columns: list[str], tol: float = 1e-6, min_support: float = 0.95) -> DataFrame:
     """``A = B op C`` (op in + - * /) holding on at least ``min_support`` of rows.
 
-    Every candidate is one ``avg`` in a single generated aggregate (one scan);
-    all-zero columns are excluded first. Support = share of rows with
-    ``|A - (B op C)| <= tol * max(1, |A|)``.
+    Every candidate is one ``avg`` in a single generated aggregate (one scan),
+    which also says which columns are all zero or NULL: their candidates are left out.
+    Support = share of rows with ``|A - (B op C)| <= tol * max(1, |A|)``.
     """
-    nz = df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in columns]).first().asDict()
-    cols = [c for c in columns if nz[c] not in (None, 0)]
+    cols = columns
     cands = [(a, b, op, c) for a in cols for b in cols for c in cols for op in OPS
              if len({a, b, c}) == 3 and not (op in "+*" and b > c)]
     if not cands:
@@ -74,10 +73,12 @@ def arithmetic_relations(df: DataFrame, columns: list[str], tol: float = 1e-6, m
         A, B, Cc = (F.col(x).cast("double") for x in (a, b, c))
         ok = F.abs(A - OPS[op](B, Cc)) <= F.lit(tol) * F.greatest(F.lit(1.0), F.abs(A))
         aggs.append(F.avg(F.when(ok, 1.0).otherwise(0.0)).alias(f"s{i}"))
-    row = spread(df.select(*cols)).agg(*aggs)
+    used = [F.coalesce(F.max(F.abs(F.col(c))) != 0, F.lit(False)).alias(f"u{i}") for i, c in enumerate(cols)]
+    row = spread(df.select(*cols)).agg(*aggs, *used)
+    use = lambda *names: F.least(*[F.col(f"u{cols.index(n)}") for n in names])
     stacked = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("target"),
                                                       F.lit(f"{a}={b}{op}{c}").alias("formula"),
-                                                      F.col(f"s{i}").alias("support"))
+                                                      F.when(use(a, b, c), F.col(f"s{i}")).alias("support"))
                                              for i, (a, b, op, c) in enumerate(cands)])).alias("x")).select("x.*")
     return stacked.filter(F.col("support") >= min_support)
 

@@ -1,4 +1,4 @@
-"""Prompt construction.
+"""Prompt construction.
 
 A template is split once on the driver into literal pieces and placeholder
 names; filling it is one ``concat`` of literals and columns per row, so
@@ -8,7 +8,6 @@ Catalyst folds the literals and the fill stays inside whole-stage codegen.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +17,6 @@ from tablefold.functions import values as V
 PLACEHOLDER = re.compile(r"\{\{\{(.*?)\}\}\}")   # fixed value: the reference's {{{name}}} syntax
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 REQUIRED_KEYS = ["prompt_template", "dataset_config"]
-# fixed values: metadata keys written before the case info
-FIXED_META_KEYS = ["task", "version", "tag", "note", "dataset", "test_case", "case_path"]
 
 
 def split_template(template: str) -> list[tuple[str, str]]:
@@ -111,7 +108,7 @@ def build_metadata(fixed: dict[str, Column], info: Column | None = None, home: s
     return F.to_json(F.map_concat(keep, im))
 
 
-# T10 / T11 / T12 ---------------------------------------------------------------
+# T10 / T11 ---------------------------------------------------------------
 def drop_failed(prompts: DataFrame) -> DataFrame:
     """T10."""
     return prompts.filter(F.col("prompt").isNotNull())
@@ -121,16 +118,3 @@ def with_tag(configs: DataFrame, tag: str) -> DataFrame:
     """Configs carrying ``tag`` in their ``tags`` array."""
     return configs.filter(F.array_contains("tags", tag))
 
-
-@dataclass
-class BuildSpec:
-    """One prompt build: serialiser, few-shot count, sample size (T12 grid point)."""
-    fmt: str
-    shots: int = 0
-    sample: int = 1000
-    extra: dict = field(default_factory=dict)
-
-
-def format_grid(formats=("markdown", "csv", "html", "json"), shots=(0, 3), samples=(200, 1000)) -> list[BuildSpec]:
-    """The sweep grid, expanded on the driver (a few dozen points, never data)."""
-    return [BuildSpec(f, s, n) for f in formats for s in shots for n in samples]

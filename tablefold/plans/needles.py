@@ -1,4 +1,4 @@
-"""Needle reports (A2, A16-A19), severe tasks (N6), usage by model (K7), needle placement (D12), typed JSON lines (Z13, P6), call arguments."""
+"""Needle reports (A2, A16-A19), severe tasks (N6), usage by model (K7), needle placement (D12), typed JSON lines (Z13, P6), call arguments (X10), format sweep."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from tablefold.operators import match as MT
 from tablefold.operators import metrics as A
 from tablefold.operators import serialize as Z
 from tablefold.operators.score import score_responses
+from tablefold.operators.sweep import format_sweep
 from tablefold.plans.base import R, register
 from tablefold.plans.tables import f4
 from tablefold.plans.tools import tool_call_texts
@@ -167,3 +168,43 @@ def q_jsonl_typed(spark, sf_dir):
 def q_tool_call_arguments(spark, sf_dir):
     """JSON arguments, and k=v pairs with integers."""
     return tool_call_texts(spark, sf_dir).select("o_orderkey", X.tool_arguments(F.col("text")).alias("arguments"))
+
+
+SWEEP_SAMPLES, SWEEP_SHOTS = (20, 100), (0, 3)
+_MD5 = "CAST('0x' || substr(md5(o_orderkey || ':7'), 1, 15) AS BIGINT)"
+
+
+def _sweep_sql() -> str:
+    most, extra = max(SWEEP_SAMPLES), max(SWEEP_SHOTS)
+    fill = "tbl || chr(10) || 'Q: How many lines has order ' || case_id || '?'"
+    texts = {
+        "csv": ("string_agg(value, ',' ORDER BY col_idx)", "string_agg(col_name, ',' ORDER BY col_idx)", "hdr || chr(10) || body || chr(10)"),
+        "html": ("'<tr>' || string_agg('<td>' || value || '</td>', '' ORDER BY col_idx) || '</tr>'", "string_agg('<th>' || col_name || '</th>', '' ORDER BY col_idx)",
+                 "'<table>' || chr(10) || '<thead><tr>' || hdr || '</tr></thead>' || chr(10) || '<tbody>' || chr(10) || body || chr(10) || '</tbody>' || chr(10) || '</table>'"),
+        "json": ("'{' || string_agg(to_json(col_name) || ':' || to_json(value), ',' ORDER BY col_idx) || '}'", "''", "body || chr(10)"),
+        "markdown_short": ("'|' || string_agg(value, '|' ORDER BY col_idx) || '|'", "'|' || string_agg(col_name, '|' ORDER BY col_idx) || '|'", "hdr || chr(10) || body || chr(10)")}
+    union = " UNION ALL ".join(
+        f"""SELECT case_id, '{f}' AS format, {whole} AS tbl FROM (SELECT case_id, any_value(hdr) AS hdr, string_agg(line, chr(10) ORDER BY row_idx) AS body
+  FROM (SELECT case_id, row_idx, {line} AS line, {hdr} AS hdr FROM cells GROUP BY case_id, row_idx) GROUP BY case_id)""" for f, (line, hdr, whole) in texts.items())
+    return f4(f"""o AS (SELECT o_orderkey AS case_id, 'd' || (o_orderkey % 3) AS dataset, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY {_MD5}, o_orderkey) AS place,
+    (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS answer FROM orders),
+t AS ({union}),
+x AS (SELECT o.*, format, tbl FROM (SELECT * FROM o, (SELECT unnest({list(texts)!r}) AS format) WHERE place <= {most + extra}) o LEFT JOIN t USING (case_id, format)),
+s AS (SELECT dataset, format, shots, coalesce(string_agg({fill} || ' A: ' || answer, chr(10) ORDER BY place) FILTER (WHERE place > {most} AND r <= shots AND tbl IS NOT NULL), '') AS ex
+  FROM (SELECT *, sum(CASE WHEN place > {most} AND tbl IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, format ORDER BY place) AS r FROM x), (SELECT unnest({list(SWEEP_SHOTS)}) AS shots) GROUP BY ALL)
+SELECT dataset, case_id, format, CAST(shots AS INTEGER) AS shots, CASE WHEN place <= {SWEEP_SAMPLES[0]} THEN '{SWEEP_SAMPLES[0]},{most}' ELSE '{most}' END AS samples,
+  CASE WHEN tbl IS NOT NULL THEN 'Examples:' || chr(10) || ex || chr(10) || {fill} END AS prompt FROM x JOIN s USING (dataset, format) WHERE place <= {most}""")
+
+
+@register("format_sweep", _sweep_sql())
+def q_format_sweep(spark, sf_dir):
+    """Four formats, none or three shots, 20 or 100 cases of each of three data sets; the sample is the feature."""
+    k = F.col("o_orderkey")
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    cases = table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").select(
+        F.concat(F.lit("d"), (k % 3).cast("string")).alias("dataset"), k.alias("case_id"), F.concat(F.lit("How many lines has order "), k.cast("string"), F.lit("?")).alias("question"),
+        F.coalesce("n", F.lit(0)).cast("string").alias("answer"))
+    number = F.conv(F.substring(F.md5(F.concat(F.col("case_id").cast("string"), F.lit(":7")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    out = format_sweep(C.lineitem_cells(spark, sf_dir), cases, "Examples:\n{{{shots}}}\n{{{table}}}\nQ: {{{question}}}", "{{{table}}}\nQ: {{{question}}} A: {{{answer}}}",
+                       ("csv", "html", "json", "markdown_short"), SWEEP_SHOTS, SWEEP_SAMPLES, hashed=number)
+    return out.withColumn("samples", F.array_join("samples", ","))

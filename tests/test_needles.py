@@ -11,6 +11,7 @@ from tablefold.operators import discover as DV
 from tablefold.operators import match as MT
 from tablefold.operators import metrics as A
 from tablefold.operators import serialize as Z
+from tablefold.operators.sweep import format_sweep
 from tablefold.streaming import intake as S
 
 CELL = "case_id string, table_name string, row_idx int, col_idx int, col_name string, value string"
@@ -78,3 +79,23 @@ def test_dependencies_of_both_directions(spark):
     df = spark.createDataFrame([(1, "x", None), (1, "x", 2), (2, "x", 3), (3, "y", 3)], "a int, b string, c int")
     got = {(r.det, r.dep): (r.n_det_values, r.n_pairs, r.error) for r in DV.functional_dependencies(df).collect()}
     assert got == {("a", "b"): (3, 3, 0.0), ("b", "a"): (2, 3, 0.25), ("a", "c"): (3, 4, 0.25), ("c", "a"): (3, 4, 0.25), ("b", "c"): (2, 4, 0.5), ("c", "b"): (3, 4, 0.25)}
+
+
+def test_sweep_shots_are_no_samples(spark):
+    cells = spark.createDataFrame([(c, "t", 0, 0, "n", str(c)) for c in range(30) if c != 3], CELL.replace("case_id string", "case_id int"))
+    cases = spark.createDataFrame([(f"d{c % 2}" if c % 5 else None, c, f"q{c}", f"a{c}") for c in range(30)], "dataset string, case_id int, question string, answer string")
+    got = format_sweep(cells, cases, "{{{shots}}}|{{{table}}}|{{{question}}}", "{{{question}}}={{{answer}}}", ("csv", "json"), (0, 2), (2, 5)).collect()
+    for d in ("d0", "d1", None):
+        mine = [r for r in got if r.dataset == d]
+        ids = {r.case_id for r in mine}
+        assert len(mine) == len(ids) * 4 and len({r.case_id for r in mine if r.samples == [2, 5]}) == 2
+        shots = {x for r in mine if r.prompt and r.shots for x in r.prompt.split("|")[0].splitlines()}
+        assert not {f"q{i}=a{i}" for i in ids} & shots and len(shots) <= 2
+        assert all((r.prompt is None) == (r.case_id == 3) for r in mine)
+        assert all(r.prompt is None or r.prompt.startswith("|") == (not r.shots or not shots) for r in mine)
+
+
+def test_arithmetic_without_all_zero_columns(spark):
+    df = spark.createDataFrame([(3, 1, 2, 0), (5, 2, 3, 0)], "a int, b int, c int, z int")
+    got = {r.formula: r.support for r in DV.arithmetic_relations(df, ["a", "b", "c", "z"], min_support=0.0).collect()}
+    assert got["a=b+c"] == 1.0 and not [f for f in got if "z" in f]
