@@ -2,8 +2,8 @@
 
 Documents are tokenised once, where they are read, and cut there: full sequences first, the rest
 into powers of two down to ``LEAST`` and a shorter tail. Only the pieces' places, lengths and
-checksums travel on. A group of documents (by a hash of the id, so a hot source is spread) is packed
-by one task: pieces in descending order go to the sequence of least cost that still has room, where
+checksums travel on, written once as a table. A group of about ``GROUP_PIECES`` pieces, dealt by a hash of id, start and place in that
+table (so that a hot source, and rows that share an id or have none, are spread), is packed by one task: pieces in descending order go to the sequence of least cost that still has room, where
 a piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n`` (attention stays inside a piece).
 Descending powers of two fill sequences without gaps; the tails close what they leave, so padding is
 a few tokens a sequence and the compute of sequences is alike. Each group has one short sequence.
@@ -25,7 +25,7 @@ LENGTH = 2048
 LEAST = 16
 END = 1                       # the id that closes a document
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-GROUP_DOCS = 4096
+GROUP_PIECES = 1 << 14
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -132,8 +132,10 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, length: int = LENGTH)
     like any other. Other columns are ignored; an empty table gives an empty result.
     """
     C.prepared(docs.sparkSession)
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
-    cut = pieces(docs, json_path, ranks_path, length).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    cut = C.written(pieces(docs, json_path, ranks_path, length), "packing-pieces")
+    groups = max(1, -(-cut.count() // GROUP_PIECES))
+    # places come from written files, so that a task that runs again deals its pieces alike
+    cut = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf):
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
