@@ -23,6 +23,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3                       # a document is taken so many times at most
 BLOCK_BITS = 7                 # a block of blocks joins 2**BLOCK_BITS of them
 BLOCK = 1 << BLOCK_BITS
+CHUNK = 10_000                 # equal rows numbered at once
 ITEM = "struct<doc_id:bigint,size:bigint,source_size:bigint,target:double,whole:int,p:double,place:bigint>"
 
 
@@ -67,7 +68,7 @@ def fold(items: Column, seed: int) -> Column:
         # words that can move to the open document from x, and the other way
         give = F.least((1 - o["p"]) * o["size"], x["p"] * x["size"])
         take = F.least(o["p"] * o["size"], (1 - x["p"]) * x["size"])
-        first = chance(seed, o["doc_id"], x["doc_id"]) < take / (give + take)
+        first = chance(seed, o["place"], x["place"]) < take / (give + take)
         o_new = F.when(first, F.when(give < x["p"] * x["size"], 1.0).otherwise(o["p"] + give / o["size"])) \
             .otherwise(F.when(take < (1 - x["p"]) * x["size"], 0.0).otherwise(o["p"] - take / o["size"]))
         x_new = F.when(first, F.when(give < x["p"] * x["size"], x["p"] - give / x["size"]).otherwise(0.0)) \
@@ -82,22 +83,34 @@ def fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, which tells equal rows apart: they are counted (map-side first) and written out again from their number.
+
+    The number is the same in every run, whatever the files; it comes in chunks, so that no array is long.
+    """
+    each = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    chunk = each.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))))
+    last = F.least(F.col("chunk") + CHUNK, F.col("n")) - 1
+    return chunk.withColumn("nth", F.explode(F.sequence("chunk", last))).drop("n", "chunk")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source, ...).
 
     ``size`` counts words (null text: 0), ``taken`` is size times the copies the mix takes, at most
-    ``most``. Documents without words are never taken. Decisions hash doc_id, size and the seed, so
-    reruns agree; rows that repeat a doc_id are decided one by one. A null source is a source of
-    its own, a null doc_id an ordinary id. Other columns are ignored; an empty table gives an
+    ``most``. Documents without words are never taken. Decisions hash doc_id, size, text, the number among equal
+    rows and the seed, so reruns agree and rows that share a doc_id, or have none, are dealt into many blocks and
+    decided one by one. A null source is a source of its own, a null doc_id an ordinary id. Other columns are ignored; an empty table gives an
     empty result.
     """
-    rows = C.written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    rows = C.written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size"),
+                                 F.xxhash64("text").alias("text_hash")), "mix-sizes")
     goal = C.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")
-    named = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    named = numbered(rows).join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     copies = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     item = named.withColumn("copies", copies).select("source", F.struct(
         "doc_id", "size", "source_size", "target", F.floor("copies").cast("int").alias("whole"),
-        (F.col("copies") - F.floor("copies")).alias("p"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("place")).cast(ITEM).alias("item"))
+        (F.col("copies") - F.floor("copies")).alias("p"), F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash", "nth").alias("place")).cast(ITEM).alias("item"))
     certain = item.where("item.p <= 0").select("item")
     open_ = item.where("item.p > 0")
     blocks = max(0, -(-rows.count() // BLOCK) - 1).bit_length()
