@@ -1,8 +1,9 @@
 """Table reshaping on ``cells``.
 
-Every reshape maps cells to cells with index arithmetic; per-table facts
-(column count, piece counts) come from small per-table aggregates joined
-back on the table key. Parameters are column indexes, as in the reshape task.
+Every reshape maps cells to cells with index arithmetic and takes cells or table rows
+(``cells.as_rows``). Per-table facts (column count, piece counts) are windows over table rows,
+which are a fifth of the cells here and mostly come in table order: cells are made last, in one
+explode, and never sorted. Parameters are column indexes, as in the reshape task.
 """
 
 from __future__ import annotations
@@ -12,19 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablefold.operators.cells import CELL_COLUMNS, TABLE_KEYS
+from tablefold.operators.cells import CELL_COLUMNS, TABLE_KEYS, as_cells, as_rows, row_cells
 
 
-def _with_ncols(cells: DataFrame) -> DataFrame:
-    """Column count of each cell's table as a window (no join on the table key)."""
-    return cells.withColumn("_ncols", F.max("col_idx").over(Window.partitionBy(*TABLE_KEYS)) + 1)
-
-
-def _rows(cells: DataFrame) -> DataFrame:
-    """One row per table row: ``cs``, its cells in order, and ``_ncols``, the table's column count."""
-    cell = F.struct(F.col("col_idx").cast("int").alias("c"), F.col("col_name").alias("n"), F.col("value").alias("v"))
-    rows = cells.groupBy(*TABLE_KEYS, "row_idx").agg(F.array_sort(F.collect_list(cell)).alias("cs"))
-    return rows.withColumn("_ncols", F.max(F.element_at("cs", -1)["c"]).over(Window.partitionBy(*TABLE_KEYS)) + 1)
+def _rows(data: DataFrame) -> DataFrame:
+    """One row per table row: ``cs``, its cells in order, and ``_ncols``, the table's column count (a window, no join)."""
+    rows = as_rows(data).withColumn("_ncols", F.max(F.element_at("idx", -1)).over(Window.partitionBy(*TABLE_KEYS)) + 1)
+    return rows.withColumn("cs", row_cells())
 
 
 def _cell(row: Column, col: Column, name: Column, value: Column) -> Column:
@@ -47,14 +42,14 @@ def stack(cells: DataFrame, start: int, end: int, var_name: str = "variable", va
     A row becomes its new cells in one explode.
     """
     k = end - start + 1
-    inside = lambda x: (x["c"] >= start) & (x["c"] <= end)
+    inside = lambda x: (x["col_idx"] >= start) & (x["col_idx"] <= end)
     at, ids = F.col("row_idx") * k, F.col("_ncols") - k
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.transform(
         F.filter("cs", lambda x: ~inside(x)),
-        lambda x: _cell(at + j, F.when(x["c"] < start, x["c"]).otherwise(x["c"] - k), x["n"], x["v"]))))
+        lambda x: _cell(at + j, F.when(x["col_idx"] < start, x["col_idx"]).otherwise(x["col_idx"] - k), x["col_name"], x["value"]))))
     rng = F.filter("cs", inside)
-    var = F.transform(rng, lambda x: _cell(at + x["c"] - start, ids, F.lit(var_name), x["n"]))
-    val = F.transform(rng, lambda x: _cell(at + x["c"] - start, ids + 1, F.lit(value_name), x["v"]))
+    var = F.transform(rng, lambda x: _cell(at + x["col_idx"] - start, ids, F.lit(var_name), x["col_name"]))
+    val = F.transform(rng, lambda x: _cell(at + x["col_idx"] - start, ids + 1, F.lit(value_name), x["value"]))
     return _exploded(_rows(cells), kept, var, val)
 
 
@@ -67,24 +62,27 @@ def wide_to_long(cells: DataFrame, start: int, end: int, sep_pattern: str = r"^(
     has no cell there has no result. The groups reach the rows by a window over the table's rows.
     """
     k = end - start + 1
-    inside = lambda x: (x["c"] >= start) & (x["c"] <= end)
-    head = F.transform(F.filter("cs", inside), lambda x: F.struct(
-        x["c"].alias("c"), F.regexp_extract(x["n"], sep_pattern, 1).alias("stub"), F.regexp_extract(x["n"], sep_pattern, 2).alias("sfx")))
-    rows = _rows(cells).withColumn("_head", F.max(F.when(F.col("row_idx") == 0, head)).over(Window.partitionBy(*TABLE_KEYS)))
-    rows = rows.where(F.size("_head") > 0).withColumn("_sfx", F.array_distinct(F.transform("_head", lambda h: h["sfx"]))) \
-        .withColumn("_stub", F.array_distinct(F.transform("_head", lambda h: h["stub"])))
-    at, ids = F.col("row_idx") * F.size("_sfx"), F.col("_ncols") - k
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_sfx") - 1), lambda j: F.transform(
+    inside = lambda x: (x["col_idx"] >= start) & (x["col_idx"] <= end)
+    part = lambda x, i: F.regexp_extract(x["col_name"], sep_pattern, i)
+    rows = _rows(cells).withColumn("_h", F.when(F.col("row_idx") == 0, F.transform(F.filter("cs", inside), lambda x: F.struct(
+        x["col_idx"].alias("c"), part(x, 1).alias("stub"), part(x, 2).alias("sfx")))))
+    distinct = lambda f: F.array_distinct(F.transform("_h", lambda h: h[f]))
+    rows = rows.withColumn("_sfx", distinct("sfx")).withColumn("_stub", distinct("stub"))
+    # what becomes of each column from start to end: its suffix and stub with their places, NULL if the header lacks it
+    slots = F.transform(F.sequence(F.lit(start), F.lit(end)), lambda c: F.get(F.transform(F.filter("_h", lambda h: h["c"] == c), lambda h: F.struct(
+        h["sfx"].alias("sfx"), h["stub"].alias("stub"), (F.array_position(F.col("_sfx"), h["sfx"]) - 1).alias("row"),
+        (F.array_position(F.col("_stub"), h["stub"]) - 1).alias("col"))), F.lit(0)))
+    head = F.max(F.when(F.size("_h") > 0, F.struct(F.size("_sfx").alias("n"), slots.alias("slots"))))
+    rows = rows.withColumn("_head", head.over(Window.partitionBy(*TABLE_KEYS))).where("_head IS NOT NULL")
+    at, ids = F.col("row_idx") * F.col("_head.n"), F.col("_ncols") - k
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_head.n") - 1), lambda j: F.transform(
         F.filter("cs", lambda x: ~inside(x)),
-        lambda x: _cell(at + j, F.when(x["c"] < start, x["c"]).otherwise(x["c"] - k), x["n"], x["v"]))))
-    # the row's cells with the names they have in the header
-    named = F.filter(F.transform("cs", lambda x: F.struct(x["v"].alias("v"), F.filter("_head", lambda h: h["c"] == x["c"]).alias("h"))),
-                     lambda y: F.size(y["h"]) > 0)
-    spot = lambda what, x: F.array_position(what, x) - 1
-    vals = F.transform(named, lambda y: _cell(at + spot(F.col("_sfx"), y["h"][0]["sfx"]), ids + 1 + spot(F.col("_stub"), y["h"][0]["stub"]),
-                                              y["h"][0]["stub"], y["v"]))
-    js = F.transform(F.array_distinct(F.transform(named, lambda y: y["h"][0]["sfx"])),
-                     lambda x: _cell(at + spot(F.col("_sfx"), x), ids, F.lit(j_name), x))
+        lambda x: _cell(at + j, F.when(x["col_idx"] < start, x["col_idx"]).otherwise(x["col_idx"] - k), x["col_name"], x["value"]))))
+    rows = rows.withColumn("_named", F.filter(F.transform(F.filter("cs", inside), lambda x: F.struct(
+        x["value"].alias("v"), F.get(F.col("_head.slots"), x["col_idx"] - start).alias("s"))), lambda y: y["s"].isNotNull()))
+    vals = F.transform("_named", lambda y: _cell(at + y["s"]["row"], ids + 1 + y["s"]["col"], y["s"]["stub"], y["v"]))
+    js = F.transform(F.array_distinct(F.transform("_named", lambda y: F.struct(y["s"]["row"].alias("row"), y["s"]["sfx"].alias("sfx")))),
+                     lambda x: _cell(at + x["row"], ids, F.lit(j_name), x["sfx"]))
     return _exploded(rows, kept, vals, js)
 
 
@@ -92,6 +90,7 @@ def wide_to_long(cells: DataFrame, start: int, end: int, sep_pattern: str = r"^(
 def transpose(cells: DataFrame, header_as_column: bool = False) -> DataFrame:
     """Rows become columns. Values only by default (twice = identity, names positional);
     with ``header_as_column`` the old header becomes column 0 named ``column``."""
+    cells = as_cells(cells)
     if not header_as_column:
         return _out(cells.select(*TABLE_KEYS, F.col("col_idx").alias("row_idx"), F.col("row_idx").alias("col_idx"),
                                  F.col("row_idx").cast("string").alias("col_name"), "value"))
@@ -107,17 +106,29 @@ def transpose(cells: DataFrame, header_as_column: bool = False) -> DataFrame:
 def pivot(cells: DataFrame, row_frequency: int) -> DataFrame:
     """Every ``row_frequency`` consecutive rows become one row; column ``c`` of the
     ``p``-th row in a group lands at ``p * ncols + c`` named ``<name>_<p>``."""
-    f = row_frequency
-    c = _with_ncols(cells)
-    p = F.col("row_idx") % f
-    return _out(c.select(*TABLE_KEYS, (F.floor(F.col("row_idx") / f)).alias("row_idx"),
-                         (p * F.col("_ncols") + F.col("col_idx")).alias("col_idx"),
-                         F.concat(F.col("col_name"), F.lit("_"), p.cast("string")).alias("col_name"), "value"))
+    f, p = row_frequency, F.col("row_idx") % row_frequency
+    made = F.transform("cs", lambda x: _cell(F.floor(F.col("row_idx") / f), p * F.col("_ncols") + x["col_idx"],
+                                             F.concat(x["col_name"], F.lit("_"), p.cast("string")), x["value"]))
+    return _exploded(_rows(cells), made)
 
 
 # D17 -----------------------------------------------------------------------
+MOST_CARRIED = 32    # columns that ffill carries down table rows; beyond, cells are filled column by column
+
+
 def ffill(cells: DataFrame, end: int) -> DataFrame:
-    """Empty cells of columns ``0..end`` take the last non-empty value above them."""
+    """Empty cells of columns ``0..end`` take the last non-empty value above them.
+
+    Table rows give table rows: the values are carried down the rows, a column each.
+    """
+    if "vals" in cells.columns and end < MOST_CARRIED:
+        w = Window.partitionBy(*TABLE_KEYS).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+        held = lambda c: F.nullif(F.get("vals", (F.array_position("idx", F.lit(c)) - 1).cast("int")), F.lit(""))
+        above = cells.select("*", *[F.last(held(c), ignorenulls=True).over(w).alias(f"_above{c}") for c in range(end + 1)])
+        fill = F.array(*[F.coalesce(f"_above{c}", F.lit("")) for c in range(end + 1)])
+        vals = F.zip_with("idx", "vals", lambda c, v: F.when(c <= end, F.get(fill, c)).otherwise(v))
+        return above.select(*[vals.alias(c) if c == "vals" else F.col(c) for c in cells.columns])
+    cells = as_cells(cells)
     w = Window.partitionBy(*TABLE_KEYS, "col_idx").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
     v = F.when(F.col("value") == "", None).otherwise(F.col("value"))
     filled = F.coalesce(F.last(v, ignorenulls=True).over(w), F.lit(""))
@@ -128,19 +139,21 @@ def ffill(cells: DataFrame, end: int) -> DataFrame:
 def explode(cells: DataFrame, column: int, sep: str = ",") -> DataFrame:
     """The cell of ``column`` splits on ``sep`` into one row per piece (trimmed);
     the other cells repeat. Rows are renumbered by a running sum of piece counts."""
-    pieces = cells.filter(F.col("col_idx") == column).select(
-        *TABLE_KEYS, "row_idx", F.transform(F.split("value", sep), lambda x: F.trim(x)).alias("ps"))
+    rows = as_rows(cells).where(F.col("case_id").isNotNull() & F.col("table_name").isNotNull() & F.col("row_idx").isNotNull())
+    cs = row_cells()
+    split = F.flatten(F.transform(F.filter(cs, lambda x: (x["col_idx"] == column) & x["value"].isNotNull()), lambda x: F.split(x["value"], sep)))
     w = Window.partitionBy(*TABLE_KEYS).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_off", F.coalesce(F.sum(F.size("ps")).over(w), F.lit(0)))
-    c = cells.join(pieces, TABLE_KEYS + ["row_idx"])
-    e = c.select("*", F.posexplode("ps").alias("j", "piece"))
-    return _out(e.select(*TABLE_KEYS, (F.col("_off") + F.col("j")).alias("row_idx"), "col_idx", "col_name",
-                         F.when(F.col("col_idx") == column, F.col("piece")).otherwise(F.col("value")).alias("value")))
+    rows = rows.withColumn("_ps", F.transform(split, lambda x: F.trim(x)))
+    rows = rows.withColumn("_off", F.coalesce(F.sum(F.size("_ps")).over(w), F.lit(0))).withColumn("cs", cs)
+    made = F.flatten(F.transform("_ps", lambda p, j: F.transform("cs", lambda x: _cell(
+        F.col("_off") + j, x["col_idx"], x["col_name"], F.when(x["col_idx"] == column, p).otherwise(x["value"])))))
+    return _exploded(rows, made)
 
 
 # D19 -----------------------------------------------------------------------
 def subtitles(cells: DataFrame, name: str = "subtitle") -> DataFrame:
     """Rows whose only non-empty cell is the first become a ``subtitle`` column for the rows below."""
+    cells = as_cells(cells)
     rows = cells.groupBy(*TABLE_KEYS, "row_idx").agg(
         F.count_if(F.col("value") != "").alias("_ne"),
         F.max(F.when(F.col("col_idx") == 0, F.col("value"))).alias("_first"))

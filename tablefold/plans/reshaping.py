@@ -25,7 +25,7 @@ def _cells(spark, sf_dir):
   UNION ALL SELECT case_id, table_name, row_idx * 2 + col_idx - 1, 4, 'value', value FROM cells WHERE col_idx BETWEEN 1 AND 2)"""))
 def q_stack(spark, sf_dir):
     """Stack columns 1..2 (l_partkey, l_quantity)."""
-    return RS.stack(_cells(spark, sf_dir), 1, 2)
+    return RS.stack(C.lineitem_rows(spark, sf_dir), 1, 2)
 
 
 @register("reshape_transpose", f4("x AS (SELECT 1)\n" + OUT + """(SELECT case_id, table_name, col_idx AS row_idx,
@@ -39,13 +39,12 @@ def q_transpose(spark, sf_dir):
   (row_idx % 2) * 5 + col_idx AS col_idx, col_name || '_' || CAST(row_idx % 2 AS VARCHAR) AS col_name, value FROM cells)"""))
 def q_pivot(spark, sf_dir):
     """Row groups of 2 become one row."""
-    return RS.pivot(_cells(spark, sf_dir), 2)
+    return RS.pivot(C.lineitem_rows(spark, sf_dir), 2)
 
 
 def _holes(c):
     """Input for ffill: return-flag cells of odd rows emptied."""
-    return c.withColumn("value", F.when((F.col("col_idx") == 3) & (F.col("row_idx") % 2 == 1), F.lit(""))
-                        .otherwise(F.col("value")))
+    return c.withColumn("vals", F.zip_with("idx", "vals", lambda i, v: F.when((i == 3) & (F.col("row_idx") % 2 == 1), F.lit("")).otherwise(v)))
 
 
 @register("reshape_ffill", f4("""h AS (SELECT case_id, table_name, row_idx, col_idx, col_name,
@@ -55,24 +54,19 @@ def _holes(c):
        ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') ELSE value END AS value FROM h)"""))
 def q_ffill(spark, sf_dir):
     """Fill emptied return flags from the row above (columns 0..3)."""
-    return RS.ffill(_holes(_cells(spark, sf_dir)), 3)
+    return C.as_cells(RS.ffill(_holes(C.lineitem_rows(spark, sf_dir)), 3))
 
 
 @register("reshape_explode", f4("""p AS (SELECT case_id, table_name, row_idx, string_split(value, '-') AS ps FROM cells WHERE col_idx = 4),
 o AS (SELECT *, coalesce(sum(len(ps)) OVER (PARTITION BY case_id, table_name ORDER BY row_idx
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p),
-e AS (SELECT case_id, table_name, row_idx, off, trim(unnest(ps)) AS piece, generate_subscripts(ps, 1) - 1 AS j FROM o),
-x AS (SELECT c.case_id, c.table_name, e.off + e.j AS row_idx, c.col_idx, c.col_name,
+e AS (SELECT case_id, table_name, row_idx, off, trim(unnest(ps)) AS piece, generate_subscripts(ps, 1) - 1 AS j FROM o)
+""" + OUT + """(SELECT c.case_id, c.table_name, e.off + e.j AS row_idx, c.col_idx, c.col_name,
   CASE WHEN c.col_idx = 4 THEN e.piece ELSE c.value END AS value
-  FROM cells c JOIN e ON c.case_id = e.case_id AND c.table_name = e.table_name AND c.row_idx = e.row_idx)
-SELECT case_id, count(*) AS n_cells, sha256(string_agg(row_idx || '|' || col_idx || '|' || col_name || '|' || value, chr(10)
-  ORDER BY row_idx, col_idx)) AS cells_sha256 FROM x GROUP BY case_id"""))
+  FROM cells c JOIN e ON c.case_id = e.case_id AND c.table_name = e.table_name AND c.row_idx = e.row_idx)"""))
 def q_explode(spark, sf_dir):
-    """Explode the ship date on '-' (three rows per line); all cells of a case as one digest."""
-    cells = RS.explode(_cells(spark, sf_dir), 4, "-")
-    line = F.concat_ws("|", F.col("row_idx").cast("string"), F.col("col_idx").cast("string"), "col_name", "value")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", line.alias("line")))), lambda x: x["line"])
-    return cells.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sha2(F.array_join(lines, "\n"), 256).alias("cells_sha256"))
+    """Explode the ship date on '-' (three rows per line)."""
+    return RS.explode(C.lineitem_rows(spark, sf_dir), 4, "-")
 
 
 def _subtitled(c):
@@ -99,9 +93,7 @@ def q_subtitles(spark, sf_dir):
 
 def _renamed(c):
     """Input for wide_to_long: columns 1..4 named a_1, b_1, a_2, b_2."""
-    names = F.element_at(F.array(F.lit("l_linenumber"), F.lit("a_1"), F.lit("b_1"), F.lit("a_2"), F.lit("b_2")),
-                         (F.col("col_idx") + 1).cast("int"))
-    return c.withColumn("col_name", names)
+    return c.withColumn("names", F.array(F.lit("l_linenumber"), F.lit("a_1"), F.lit("b_1"), F.lit("a_2"), F.lit("b_2")))
 
 
 @register("reshape_wide_to_long", f4("""x AS (SELECT 1)
@@ -114,7 +106,7 @@ def _renamed(c):
     CASE WHEN (col_idx - 1) % 2 = 0 THEN 'a' ELSE 'b' END, value FROM cells WHERE col_idx BETWEEN 1 AND 4)"""))
 def q_wide_to_long(spark, sf_dir):
     """(a_1, b_1, a_2, b_2) -> rows per suffix with columns suffix, a, b."""
-    return RS.wide_to_long(_renamed(_cells(spark, sf_dir)), 1, 4)
+    return RS.wide_to_long(_renamed(C.lineitem_rows(spark, sf_dir)), 1, 4)
 
 
 @register("reshape_steps", f4("""h AS (SELECT case_id, table_name, row_idx, col_idx, col_name,
@@ -127,7 +119,7 @@ f AS (SELECT case_id, table_name, row_idx, col_idx, col_name,
 def q_steps(spark, sf_dir):
     """An operator list (ffill then pivot), names as the reshape answers write them."""
     steps = [{"transformation": "ffill", "ffill_end_idx": 3}, {"operator": "pivot", "pivot_row_frequency": 2}]
-    return RS.run_steps(_holes(_cells(spark, sf_dir)), steps)
+    return RS.run_steps(_holes(C.lineitem_rows(spark, sf_dir)), steps)
 
 
 @register("list_to_table", f4("""r AS (SELECT case_id, row_idx, string_agg(value, ';' ORDER BY col_idx) AS line,
