@@ -125,3 +125,17 @@ def test_error_classes(spark):
     df = spark.createDataFrame([(json.dumps({"task": "Table-QA", "label": 1}), None, "p")],
                                "metadata string, response string, prompt string")
     assert score_responses(df, ["Table-QA"]).first()["error"] == "empty"
+
+
+def test_shared_inputs_are_computed_once(spark):
+    from tablefold.functions import extract as X
+    from tablefold.functions import scorers as S
+    from tablefold.functions import values as V
+    df = spark.sql('SELECT parse_json(\'{"y": [["a", "b"], ["a", "c"], [" d", 1]]}\') AS v, \'x {"a": {"b": 1}} y\' AS t')
+    y = F.col("v")
+    c = S.Ctx(y=V.field(y, "y"), found=y.isNotNull(), gt=V.field(y, "y"), meta=y, comp=F.col("t"))
+    plan = lambda e: df.select(e.alias("e"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan(V.kind(y)).count("schema_of_variant(") == 1
+    assert plan(S.prep_schema_match(c)[0]).count("array<array<string>>") <= 2
+    assert plan(X.last_balanced_object(F.col("t"))).count("regexp_extract_all(") == 1
+    assert df.select(S.prep_schema_match(c)[1].alias("e"), X.last_balanced_object(F.col("t")).alias("o")).first() == (["a\x1fc", "d\x1f1"], '{"a": {"b": 1}}')
