@@ -159,8 +159,8 @@ def q_place_needle(spark, sf_dir):
 SELECT case_id, table_name, string_agg(line, chr(10) ORDER BY row_idx) || chr(10) AS text FROM j GROUP BY ALL"""))
 def q_jsonl_typed(spark, sf_dir):
     """Z13 with typed values and P6: three columns share the name of the second."""
-    cells = C.lineitem_cells(spark, sf_dir)
-    return Z.json_lines(cells.withColumn("col_name", F.when(F.col("col_idx").isin(2, 4), "l_partkey").otherwise(F.col("col_name"))), typed=True)
+    rows = C.lineitem_rows(spark, sf_dir)
+    return Z.json_lines(rows.withColumn("names", F.array(*[F.lit("l_partkey" if i in (2, 4) else c) for i, c in enumerate(C.F4_COLUMNS)])), typed=True)
 
 
 @register("tool_call_arguments", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '{"table_name":' || to_json(o_orderpriority) || '}'

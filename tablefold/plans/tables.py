@@ -70,43 +70,43 @@ def q_first_rows(spark, sf_dir):
 SELECT case_id, table_name, arg_min(hdr, row_idx) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx)
        || chr(10) AS text FROM rows GROUP BY case_id, table_name"""))
 def q_shortline(spark, sf_dir):
-    return Z.markdown_short_line(C.lineitem_cells(spark, sf_dir))
+    return Z.markdown_short_line(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_short", f4(_lines(PIPE_VALUES, PIPE_NAMES) + """
 SELECT case_id, table_name, arg_min(hdr, row_idx) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx)
        || chr(10) AS text FROM rows GROUP BY case_id, table_name"""))
 def q_short(spark, sf_dir):
-    return Z.markdown_short(C.lineitem_cells(spark, sf_dir))
+    return Z.markdown_short(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_values", _text_sql(PIPE_VALUES, tail="|| chr(10)"))
 def q_values(spark, sf_dir):
-    return Z.values_only(C.lineitem_cells(spark, sf_dir))
+    return Z.values_only(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_keyvalue", _text_sql(
     "'|' || string_agg(col_name || ': ' || value, '|' ORDER BY col_idx) || '|'", tail="|| chr(10)"))
 def q_keyvalue(spark, sf_dir):
-    return Z.key_value(C.lineitem_cells(spark, sf_dir))
+    return Z.key_value(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_text", _text_sql("string_agg(ltrim(col_name || ': ' || trim(value)), '. ' ORDER BY col_idx)"))
 def q_text(spark, sf_dir):
-    return Z.text_rows(C.lineitem_cells(spark, sf_dir))
+    return Z.text_rows(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_jsonl", _text_sql(
     "'{' || string_agg(to_json(col_name) || ':' || to_json(value), ',' ORDER BY col_idx) || '}'", tail="|| chr(10)"))
 def q_jsonl(spark, sf_dir):
-    return Z.json_lines(C.lineitem_cells(spark, sf_dir))
+    return Z.json_lines(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_jsonl_index", _text_sql(
     "'{\"index\":' || CAST(row_idx AS VARCHAR) || ',' || string_agg(to_json(col_name) || ':' || to_json(value), ',' "
     "ORDER BY col_idx) || '}'", tail="|| chr(10)"))
 def q_jsonl_index(spark, sf_dir):
-    return Z.json_lines(C.lineitem_cells(spark, sf_dir), index=True)
+    return Z.json_lines(C.lineitem_rows(spark, sf_dir), index=True)
 
 
 @register("serialize_csv", f4(_lines("string_agg(value, ',' ORDER BY col_idx)",
@@ -114,7 +114,7 @@ def q_jsonl_index(spark, sf_dir):
 SELECT case_id, table_name, arg_min(hdr, row_idx) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx)
        || chr(10) AS text FROM rows GROUP BY case_id, table_name"""))
 def q_csv(spark, sf_dir):
-    return Z.csv(C.lineitem_cells(spark, sf_dir))
+    return Z.csv(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_csv_index", f4(_lines("CAST(row_idx AS VARCHAR) || ',' || string_agg(value, ',' ORDER BY col_idx)",
@@ -122,12 +122,12 @@ def q_csv(spark, sf_dir):
 SELECT case_id, table_name, arg_min(hdr, row_idx) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx)
        AS text FROM rows GROUP BY case_id, table_name"""))
 def q_csv_index(spark, sf_dir):
-    return Z.csv(C.lineitem_cells(spark, sf_dir), index=True)
+    return Z.csv(C.lineitem_rows(spark, sf_dir), index=True)
 
 
 @register("serialize_csv_noheader", _text_sql("string_agg(value, ',' ORDER BY col_idx)"))
 def q_csv_noheader(spark, sf_dir):
-    return Z.csv(C.lineitem_cells(spark, sf_dir), header=False)
+    return Z.csv(C.lineitem_rows(spark, sf_dir), header=False)
 
 
 @register("serialize_markdown", f4("""w AS (SELECT *, greatest(max(length(value)) OVER (PARTITION BY case_id, table_name, col_idx), length(col_name), 3) AS w FROM cells),
@@ -137,7 +137,7 @@ rows AS (SELECT case_id, table_name, row_idx, '| ' || string_agg(rpad(value, CAS
 SELECT case_id, table_name, any_value(hdr) || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) AS text FROM rows GROUP BY case_id, table_name"""))
 def q_markdown(spark, sf_dir):
     """Own aligned layout."""
-    return Z.markdown(C.lineitem_cells(spark, sf_dir))
+    return Z.markdown(C.lineitem_rows(spark, sf_dir))
 
 
 @register("serialize_html", f4("""rows AS (SELECT case_id, table_name, row_idx, '<tr>' || string_agg('<td>' || value || '</td>', '' ORDER BY col_idx) || '</tr>' AS line,
@@ -146,7 +146,7 @@ SELECT case_id, table_name, any_value(hdr) || chr(10) || string_agg(line, chr(10
 FROM rows GROUP BY case_id, table_name"""))
 def q_html(spark, sf_dir):
     """Own HTML layout."""
-    return Z.html(C.lineitem_cells(spark, sf_dir))
+    return Z.html(C.lineitem_rows(spark, sf_dir))
 
 
 TEMPLATE = "Answer using the table.\n{{{table}}}\nQuestion: how many lines does order {{{order}}} have?{{{unknown}}}"

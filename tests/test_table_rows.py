@@ -1,10 +1,10 @@
 """Operators on table rows (cells.as_rows): equal to those on cells, and without a sort of cells."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tablefold.operators import cells as C
 from tablefold.operators import reshape as RS
+from tablefold.operators import serialize as Z
 
 ROWS = [(1, 1, "a-b", ""), (1, 2, "c", "x"), (1, 3, "d - e-", ""), (2, 1, "", "y"), (2, 2, None, ""), (None, 1, "p-q", "z")]
 
@@ -41,3 +41,16 @@ def test_cells_are_not_sorted(spark):
     for out in (RS.explode(_rows(spark), 1, "-"), RS.run_steps(_rows(spark), [{"operator": "ffill", "ffill_end_idx": 2}, {"operator": "pivot", "pivot_row_frequency": 2}])):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Join" not in plan and plan.index("Generate") < plan.index("Sort")
+
+
+def test_layouts_of_whole_tables(spark):
+    cells = spark.createDataFrame([(1, "t", 0, 0, "a", "1"), (1, "t", 0, 1, "b", "x"), (1, "t", 1, 1, "b", "long"), (1, "t", 1, 2, "c", "2"), (1, "t", 1, 0, "a", "1.5"),
+                                   (2, "t", 0, 0, "name", "7"), (2, "t", 1, 0, "name", "x")], "case_id long, table_name string, row_idx int, col_idx int, col_name string, value string")
+    text = lambda df: {r.case_id: r.text for r in df.collect()}
+    assert text(Z.markdown(cells)) == {1: "| a   | b    |\n|:----|:-----|\n| 1   | x    |\n| 1.5 | long | 2   |", 2: "| name |\n|:-----|\n| 7    |\n| x    |"}
+    assert text(Z.json_lines(cells, typed=True)) == {1: '{"a":1,"b":"x"}\n{"a":1.5,"b":"long","c":2}\n', 2: '{"name":"7"}\n{"name":"x"}\n'}
+    for layout in Z.SERIALIZERS.values():
+        plan = layout(_rows(spark))._jdf.queryExecution().executedPlan().toString()
+        if layout not in (Z.markdown_with_index, Z.html_with_index, Z.SERIALIZERS["csv_index"]):
+            assert plan.count("Exchange") == 1 and "Generate" not in plan
+        assert _got(layout(_rows(spark))) == _got(layout(C.as_cells(_rows(spark))))
