@@ -117,3 +117,24 @@ def test_keys_of_mixed_types_and_nulls(spark):
     got = {(r.fk_table, r.fk_column, r.pk_table, r.n_hits, r.containment) for r in DV.key_foreign_keys({"a": a, "b": b}, 0.0).collect()}
     assert got == {("b", "b_id", "a", 1, 1.0)}                                                # names and x hold NULL: no key
     assert DV.key_foreign_keys({"a": a}, 0.0).count() == 0
+
+
+def test_similar_records_compare_few_pairs(spark, monkeypatch):
+    """Texts of one vocabulary: only pairs that pass all filters are compared in full; any order of tokens gives the same."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "x" if i % 2 else None, " ".join(r.sample(words, 20))) for i in range(300)]
+    rows += [(300 + i, b, t + " more") for i, b, t in rows[:20]] + [(None, "x", "p q r s t"), (401, "x", "p q r s t u"), (5, "x", rows[5][2])]
+    df = spark.createDataFrame(rows, "id long, block string, t string")
+    want = {(i, 300 + i) for i in range(20)}
+    whole = SM.materialize
+    for counted in (50_000, 10):
+        monkeypatch.setattr(SM, "COUNTED_SETS", counted)
+        monkeypatch.setattr(SM, "CELL_SETS", 1024 if counted > 10 else 2)
+        seen = []
+        monkeypatch.setattr(SM, "materialize", lambda d: seen.append(whole(d)) or seen[-1])
+        got = {x.id: x for x in SM.entity_match_similar(df, "id", ["block"], ["t"], 0.9).collect()}
+        assert {(x.cluster_id, x.id) for x in got.values() if x.cluster_id != x.id} == want
+        assert {i for i, x in got.items() if x.n_links} == {i for p in want for i in p} and None not in got
+        sizes = [d.count() for d in seen if d.columns == ["a", "b"]]
+        assert sizes[-1] == 20 and sizes[-2] <= 60        # compared, of 45,000 pairs that share a word
