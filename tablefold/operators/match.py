@@ -91,10 +91,14 @@ def locate_cells(cells: DataFrame, queries: DataFrame) -> DataFrame:
 
 # D11 -----------------------------------------------------------------------
 def unique_cells(cells: DataFrame) -> DataFrame:
-    """Cells whose value occurs exactly once in their table (needle candidates)."""
-    counts = cells.groupBy("case_id", "table_name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    return cells.join(counts.filter(F.col("_n") == 1).drop("_n"), ["case_id", "table_name", "value"]) \
-        .select("case_id", "table_name", "row_idx", "col_idx", "col_name", "value")
+    """Cells whose value occurs exactly once in their table (needle candidates).
+
+    One aggregate, which keeps a cell next to each count: cells that lie by table already are not moved again.
+    """
+    keys = ["case_id", "table_name", "value"]
+    known = cells.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    one = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("row_idx", "col_idx", "col_name")).alias("_c")).where("_n = 1")
+    return one.select("case_id", "table_name", "_c.row_idx", "_c.col_idx", "_c.col_name", "value")
 
 
 # D12 -----------------------------------------------------------------------
