@@ -1,15 +1,13 @@
 """Pipe tables embedded in text -> cells (S19, with P7, P8, P10 and W4).
 
-Lines are exploded with their position; a running count of non-table lines
-(a window frame from the start of the text to the current line) numbers the
-blocks of consecutive ``|...|`` lines. The first line of a block is the
-header, rule lines are dropped, the rest are rows; cells are split on ``|``.
-The window is per text, so the work spreads over texts.
+Each text is read within its row: runs of ``|...|`` lines are its blocks, the first line of a block
+is the header, rule lines are dropped, the rest are rows; cells are split on ``|``. Nothing is
+shuffled or sorted. Texts without an id are left out; texts that share one give tables of the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefold.functions.extract import pystrip
@@ -17,40 +15,29 @@ from tablefold.functions.extract import pystrip
 RULE_CELL = r"^\s*:?-+:?\s*$"
 
 
+def _names(header: Column) -> Column:
+    """Blank -> unnamed, repeats -> _1, _2 ..."""
+    named = F.transform(header, lambda x: F.when(x == "", F.lit("unnamed")).otherwise(x))
+    before = lambda x, i: F.size(F.filter(F.slice(named, F.lit(1), i), lambda y: y == x))
+    suffixed = F.transform(named, lambda x, i: F.when(before(x, i) == 0, x).otherwise(F.concat(x, F.lit("_"), before(x, i).cast("string"))))
+    return F.when(F.size(F.array_distinct(named)) == F.size(named), named).otherwise(suffixed)
+
+
 def extract_tables(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Texts -> cells(case_id, table_name='table_<k>', row_idx, col_idx, col_name, value)."""
-    lines = df.select(F.col(id_col).alias("case_id"),
-                      F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    t = pystrip(F.col("line"))
-    lines = lines.withColumn("tline", t).withColumn(
-        "is_tab", F.col("tline").startswith("|") & F.col("tline").endswith("|"))
-    w = Window.partitionBy("case_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("block", F.sum(F.when(F.col("is_tab"), 0).otherwise(1)).over(w))
-    tab = lines.filter("is_tab")
-    inner = F.regexp_replace(F.col("tline"), r"^\|+|\|+$", "")
-    parts = F.transform(F.split(inner, r"\|"), lambda c: pystrip(c))
-    tab = tab.withColumn("parts", parts)
-    wb = Window.partitionBy("case_id", "block").orderBy("line_no")
-    tab = tab.withColumn("pos", F.row_number().over(wb) - 1)
-    is_rule = (F.col("pos") > 0) & F.forall("parts", lambda c: c.rlike(RULE_CELL))
-    tab = tab.filter(~is_rule)
-    tab = tab.withColumn("row_idx", (F.row_number().over(wb) - 2).cast("int"))
-    header = tab.filter(F.col("row_idx") == -1).select("case_id", "block", F.col("parts").alias("hdr"))
-    body = tab.filter(F.col("row_idx") >= 0)
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: pystrip(x))
+    marked = F.array_join(F.transform(lines, lambda x: F.when(x.startswith("|") & x.endswith("|"), x).otherwise(F.lit(""))), "\n")
+    blocks = F.filter(F.split(F.regexp_replace(marked, r"^\n+|\n+$", ""), r"\n\n+"), lambda b: b != "")     # an empty line ends a block
+    cells_of = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), lambda c: pystrip(c))
+    parts = F.transform(blocks, lambda b: F.transform(F.split(b, "\n"), cells_of))
+    rule = lambda p: F.forall(p, lambda c: c.rlike(RULE_CELL))
+    tables = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("case_id"), parts.alias("parts"))
+    tables = tables.select("case_id", F.transform("parts", lambda p: F.struct(
+        F.get(p, F.lit(0)).alias("header"), F.filter(F.slice(p, F.lit(2), F.size(p)), lambda r: ~rule(r)).alias("rows"))).alias("tables"))
     # tables with at least one data row, numbered in text order (P10)
-    nonempty = body.select("case_id", "block").distinct()
-    wt = Window.partitionBy("case_id").orderBy("block")
-    names = nonempty.withColumn("table_name", F.concat(F.lit("table_"), (F.row_number().over(wt) - 1).cast("string")))
-    # header: blank -> unnamed, repeats -> _1, _2 ...
-    h = header.select("case_id", "block", F.posexplode("hdr").alias("col_idx", "name"))
-    h = h.withColumn("name", F.when(F.col("name") == "", F.lit("unnamed")).otherwise(F.col("name")))
-    wn = Window.partitionBy("case_id", "block", "name").orderBy("col_idx")
-    k = F.row_number().over(wn) - 1
-    h = h.withColumn("col_name", F.when(k == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), k.cast("string"))))
-    # width repair: every row gets exactly the header's columns
-    b = body.select("case_id", "block", "row_idx", "parts")
-    cells = b.join(h.select("case_id", "block", "col_idx", "col_name"), ["case_id", "block"])
-    cells = cells.withColumn("value", F.coalesce(F.try_element_at("parts", (F.col("col_idx") + 1).cast("int")),
-                                                 F.lit("")))
-    return cells.join(names, ["case_id", "block"]).select(
-        "case_id", "table_name", "row_idx", F.col("col_idx").cast("int").alias("col_idx"), "col_name", "value")
+    tables = tables.select("case_id", F.posexplode(F.filter("tables", lambda t: F.size(t["rows"]) > 0)).alias("k", "t"))
+    rows = tables.select("case_id", F.concat(F.lit("table_"), F.col("k").cast("string")).alias("table_name"), _names(F.col("t.header")).alias("names"),
+                         F.posexplode("t.rows").alias("row_idx", "parts"))
+    # every row gets exactly the header's columns
+    cells = F.transform("names", lambda n, i: F.struct(i.alias("col_idx"), n.alias("col_name"), F.coalesce(F.get("parts", i), F.lit("")).alias("value")))
+    return rows.select("case_id", "table_name", "row_idx", F.inline(cells))

@@ -1,7 +1,10 @@
 """Table comparison on cases that the given tables don't hold."""
 
+from tablefold.operators import cells as C
 from tablefold.operators import compare as CMP
+from tablefold.operators import match as MT
 from tablefold.operators import reshape as RS
+from tablefold.sources.text_tables import extract_tables
 
 SCHEMA = "case_id long, table_name string, row_idx int, col_idx int, col_name string, value string"
 
@@ -39,3 +42,33 @@ def test_wide_to_long_per_table(spark):
     got = sorted((r.case_id, r.row_idx, r.col_idx, r.col_name, r.value) for r in RS.wide_to_long(c, 1, 2).collect())
     assert got == [(1, 0, 0, "id", "k"), (1, 0, 1, "suffix", "1"), (1, 0, 2, "a", "p"), (1, 1, 0, "id", "k"), (1, 1, 1, "suffix", "2"), (1, 1, 2, "a", "q"),
                    (2, 0, 0, "id", "m"), (2, 0, 1, "suffix", "1"), (2, 0, 2, "a", "r"), (2, 0, 3, "b", "s")]
+
+
+def test_cell_multisets_of_table_rows(spark):
+    """Table rows and cells give the same; rows that are even in both tables are not taken apart, cells travel once."""
+    schema = "case_id long, table_name string, row_idx int, idx array<int>, names array<string>, vals array<string>"
+    rows = lambda *t: spark.createDataFrame([(c, "t", i, list(range(len(v))), ["n"] * len(v), v) for c, vs in t for i, v in enumerate(vs)], schema)
+    truth = rows((1, [["1", None], ["2", "x"]]), (2, [["1", "2"]]), (3, [["5", "5"]]), (4, [[None, "1"]]), (None, [["7"]]), (6, []), (7, [["a"]]))
+    made = rows((1, [["2", "x"], ["1", None]]), (2, [["2.0", "1"]]), (3, [["5"]]), (4, [["1"]]), (None, [["7"]]), (6, [["b"]]))
+    want = {1: (1.0, 1.0), 2: (1.0, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), None: (1.0, 1.0), 6: (0.0, 0.0), 7: (0.0, 0.0)}
+    for t, m in ((truth, made), (C.as_cells(truth), C.as_cells(made))):
+        assert {r.case_id: tuple(r)[1:] for r in CMP.cell_multiset_equal(t, m).collect()} == want
+    big = rows(*[(c, [[str(c), str(r), "x"] for r in range(20)]) for c in range(40)])
+    plan = CMP.cell_multiset_equal(big, big)._jdf.queryExecution().toString()
+    assert "more" in plan and "kind" not in plan
+
+
+def test_unique_cells_in_one_aggregate(spark):
+    c = cells(spark, {(1, "t"): (["a", "b"], [["1", "x"], ["1", None], ["2", "y"]]), (2, "t"): (["a"], [["1"], [None]]), (None, "t"): (["a"], [["3"]])})
+    got = MT.unique_cells(c)
+    assert sorted(map(tuple, got.collect())) == [(1, "t", 0, 1, "b", "x"), (1, "t", 2, 0, "a", "2"), (1, "t", 2, 1, "b", "y"), (2, "t", 0, 0, "a", "1")]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_tables_without_shuffle(spark):
+    text = "in\n|a|a||\n|-|:-|-|\n| 1 |2|\n\n|h|\n|--|\nmid\n |x|y| \n|p|q|r|\n|s|\nout"
+    got = extract_tables(spark.createDataFrame([(1, text), (2, None), (None, text), (3, "no table")], "id long, t string"), "id", "t")
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "table_0", 0, 0, "a", "1"), (1, "table_0", 0, 1, "a_1", "2"), (1, "table_1", 0, 0, "x", "p"), (1, "table_1", 0, 1, "y", "q"),
+        (1, "table_1", 1, 0, "x", "s"), (1, "table_1", 1, 1, "y", "")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
