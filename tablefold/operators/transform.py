@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablefold.operators.discover import TYPE_PATTERNS
 from tablefold.operators.outliers import shape
+from tablefold.session import materialize
 
 
 def candidate_transforms(x: Column) -> list[tuple[str, Column]]:
@@ -82,11 +83,12 @@ def _profiles(values: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataF
     for k, pattern in reversed(TYPE_PATTERNS.items()):
         kind = F.when(trimmed.rlike(pattern), k).otherwise(kind)
     v = v.select("*", shape(F.col("value")).alias("shape"), kind.alias("kind"))
-    total = v.groupBy("case_id", name).agg(F.sum("n").alias("total"))
-    shapes = v.groupBy("case_id", name, "shape").agg(F.sum("n").alias("n")).join(total, ["case_id", name])
-    kinds = v.groupBy("case_id", name, "kind").agg(F.sum("n").alias("n")).groupBy("case_id", name).agg(
+    few = materialize(v.groupBy("case_id", name, "shape", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")))      # each value is judged once
+    total = few.groupBy("case_id", name).agg(F.sum("n").alias("total"), F.sum("values").alias("n_distinct"))
+    shapes = few.groupBy("case_id", name, "shape").agg(F.sum("n").alias("n")).join(total, ["case_id", name])
+    kinds = few.groupBy("case_id", name, "kind").agg(F.sum("n").alias("n")).groupBy("case_id", name).agg(
         F.min(F.struct((-F.col("n")).alias("m"), "kind"))["kind"].alias("kind"))
-    distinct = v.groupBy("case_id", name).agg(F.count(F.lit(1)).alias("n_distinct")).join(kinds, ["case_id", name])
+    distinct = total.select("case_id", name, "n_distinct").join(kinds, ["case_id", name])
     return v.select("case_id", name, "value"), shapes.select("case_id", name, "shape", (F.col("n") / F.col("total")).alias("share")), distinct
 
 

@@ -111,6 +111,15 @@ def test_headers_are_matched_once(spark):
     assert got == {0: None, 1: "n", 2: "s"}
 
 
+def test_header_profiles_scan_values_twice(spark):
+    """Shapes, types and counts of the values come from one pass, the common values from another."""
+    u = spark.createDataFrame([("t", 0, "a1"), ("t", 0, "a1"), ("t", 0, "7"), ("t", 1, None)], "case_id string, col_idx int, value string")
+    values, shapes, distinct = TR._profiles(u, "col_idx")
+    assert sorted(map(tuple, shapes.collect())) == [("t", 0, "9", 1 / 3), ("t", 0, "a9", 2 / 3)]
+    assert [(r.n_distinct, r.kind) for r in distinct.collect()] == [(2, "text")] and values.count() == 2
+    assert "regexp_replace" not in shapes._jdf.queryExecution().optimizedPlan().toString() + distinct._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_keys_of_mixed_types_and_nulls(spark):
     a = spark.createDataFrame([(1, "p", 1.5), (2, "q", 2.0), (3, None, None)], "a_id int, a_name string, a_x double")
     b = spark.createDataFrame([(1, "p", 2.0), (1, "p", 2.0), (None, None, float("nan"))], "b_id bigint, b_name string, b_x double")
