@@ -85,14 +85,14 @@ def route_task(task: Column, cells: Column) -> Column:
 
 def context_text(cells_df: DataFrame, shapes: DataFrame, hybrid_rows: int) -> DataFrame:
     """Q10: per table: schema line, then all rows of a direct table, the first ``hybrid_rows`` of a
-    hybrid one and none of a sql_only one (it is read by queries; ``strategy`` says so)."""
+    hybrid one and none of a sql_only one (it is read by queries; ``strategy`` says so). Takes cells or table rows."""
+    from tablefold.operators.cells import as_rows
     from tablefold.operators.serialize import markdown_short_line
+    rows = as_rows(cells_df)
     s = shapes.withColumn("strategy", route(F.col("n_cells")))
-    heads = cells_df.filter(F.col("row_idx") == 0).groupBy("case_id", "table_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "col_name"))),
-                                 lambda x: x["col_name"]), ", ").alias("schema"))
+    heads = rows.filter(F.col("row_idx") == 0).select("case_id", "table_name", F.array_join("names", ", ").alias("schema"))
     shown = s.select("case_id", "table_name", F.when(F.col("strategy") == "hybrid", hybrid_rows).alias("_rows"), "strategy")
-    keep = cells_df.join(shown.filter(F.col("strategy") != "sql_only").drop("strategy"), ["case_id", "table_name"])
+    keep = rows.join(shown.filter(F.col("strategy") != "sql_only").drop("strategy"), ["case_id", "table_name"])
     body = markdown_short_line(keep.filter(F.col("_rows").isNull() | (F.col("row_idx") < F.col("_rows"))).drop("_rows"))
     out = s.join(heads, ["case_id", "table_name"], "left").join(body, ["case_id", "table_name"], "left")
     return out.select("case_id", "table_name", "strategy", F.concat(

@@ -214,5 +214,5 @@ def q_context_text(spark, sf_dir):
     cases = F.array(*[F.expr(c.format(p="CAST(l_partkey AS STRING)", s="CAST(l_suppkey AS STRING)")) for c in CONTEXT_CASES])
     rows = li.withColumn("case_key", F.explode(cases))
     texts = {"l_quantity": F.col("l_quantity").cast("int").cast("string"), "l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd")}
-    cells = C.frame_to_cells(rows, "case_key", "lineitem", C.F4_COLUMNS, C.F4_ORDER, texts)
-    return Q.context_text(cells, C.table_shape(cells), HYBRID_ROWS)
+    t = C.frame_to_rows(rows, "case_key", "lineitem", C.F4_COLUMNS, C.F4_ORDER, texts)
+    return Q.context_text(t, C.table_shape(t), HYBRID_ROWS)

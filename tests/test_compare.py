@@ -3,6 +3,7 @@
 from tablefold.operators import cells as C
 from tablefold.operators import compare as CMP
 from tablefold.operators import match as MT
+from tablefold.operators import profile as Q
 from tablefold.operators import reshape as RS
 from tablefold.sources.text_tables import extract_tables
 
@@ -72,3 +73,13 @@ def test_text_tables_without_shuffle(spark):
         (1, "table_0", 0, 0, "a", "1"), (1, "table_0", 0, 1, "a_1", "2"), (1, "table_1", 0, 0, "x", "p"), (1, "table_1", 0, 1, "y", "q"),
         (1, "table_1", 1, 0, "x", "s"), (1, "table_1", 1, 1, "y", "")]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_of_table_rows(spark):
+    """Table rows give what their cells give, without being taken apart."""
+    schema = "case_id string, table_name string, row_idx int, idx array<int>, names array<string>, vals array<string>"
+    rows = spark.createDataFrame([(f"c{n}", "t", i, [0, 1], ["a", "b"], [str(i), "x"]) for n in (1, 300, 1000) for i in range(n)], schema)
+    got = [{r.case_id: tuple(r) for r in Q.context_text(t, C.table_shape(t), 2).collect()} for t in (rows, C.as_cells(rows))]
+    assert got[0] == got[1] and got[0]["c300"][2:] == ("hybrid", "Columns: a, b\n|a|b|\n|---|---|\n|0|x|\n|1|x|\n") and got[0]["c1000"][2:] == ("sql_only", "Columns: a, b")
+    plan = Q.context_text(rows, C.table_shape(rows), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan and "explode" not in plan
