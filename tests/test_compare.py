@@ -5,6 +5,7 @@ from tablefold.operators import compare as CMP
 from tablefold.operators import match as MT
 from tablefold.operators import profile as Q
 from tablefold.operators import reshape as RS
+from tablefold.plans.compare import produced_rows
 from tablefold.sources.text_tables import extract_tables
 
 SCHEMA = "case_id long, table_name string, row_idx int, col_idx int, col_name string, value string"
@@ -83,3 +84,12 @@ def test_context_of_table_rows(spark):
     assert got[0] == got[1] and got[0]["c300"][2:] == ("hybrid", "Columns: a, b\n|a|b|\n|---|---|\n|0|x|\n|1|x|\n") and got[0]["c1000"][2:] == ("sql_only", "Columns: a, b")
     plan = Q.context_text(rows, C.table_shape(rows), 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" not in plan and "explode" not in plan
+
+
+def test_produced_rows_change_the_first_row(spark):
+    """The first row of the truth is changed, wherever it stands after the rows are reversed."""
+    schema = "case_id long, table_name string, row_idx int, idx array<int>, names array<string>, vals array<string>"
+    rows = spark.createDataFrame([(k, "t", i, [0, 1, 2], ["a", "b", "c"], ["x", str(i), "9"]) for k in (5, 3) for i in range(3)], schema)
+    got = {(r.case_id, r.row_idx): (r.names[0], r.vals) for r in produced_rows(rows).collect()}
+    assert got == {(5, 2): ("a", ["x", "1", "9"]), (5, 1): ("a", ["x", "1", "9"]), (5, 0): ("a", ["x", "2", "9"]),
+                   (3, 0): ("a_r", ["x", "0", "9.0"]), (3, 1): ("a_r", ["x", "1", "9"]), (3, 2): ("a_r", ["x", "2", "9"])}
