@@ -93,3 +93,29 @@ def test_produced_rows_change_the_first_row(spark):
     got = {(r.case_id, r.row_idx): (r.names[0], r.vals) for r in produced_rows(rows).collect()}
     assert got == {(5, 2): ("a", ["x", "1", "9"]), (5, 1): ("a", ["x", "1", "9"]), (5, 0): ("a", ["x", "2", "9"]),
                    (3, 0): ("a_r", ["x", "0", "9.0"]), (3, 1): ("a_r", ["x", "1", "9"]), (3, 2): ("a_r", ["x", "2", "9"])}
+
+
+ROWS = "case_id long, table_name string, row_idx int, idx array<int>, names array<string>, vals array<string>"
+
+
+def table_rows(spark, *tables):
+    return spark.createDataFrame([(c, "t", i, list(range(len(v))), names, v) for c, names, body in tables for i, v in enumerate(body)], ROWS)
+
+
+def both_ways(fn, truth, made, *more):
+    """The verdicts on table rows and on their cells, which must be equal."""
+    got = [{r.case_id: tuple(r)[1:] for r in fn(t, m, *more).collect()} for t, m in ((truth, made), (C.as_cells(truth), C.as_cells(made)))]
+    assert got[0] == got[1]
+    return got[0]
+
+
+def test_unordered_rows_of_table_rows(spark):
+    """Table rows give what their cells give; rows are counted as they are and no cell is sorted."""
+    ab = ["a", "b"]
+    truth = table_rows(spark, (1, ab, [["1", None], ["2", "x"]]), (2, ab, [["1", "x"], ["1", "x"]]), (3, ab, [["1", "x"]]), (4, ab, [["1.0", "x"]]),
+                       (None, ab, [["1", "x"]]), (6, ab, [["N", "1995-01-02"]]))
+    made = table_rows(spark, (1, ab, [["2", "x"], ["1", ""]]), (2, ab, [["1", "x"]]), (3, ["a", "c"], [["1", "x"]]), (4, ab, [["1", "x"]]),
+                      (None, ab, [["1", "x"]]), (7, ab, [["1", "x"]]))
+    assert both_ways(CMP.unordered_rows_equal, truth, made) == {
+        1: (1.0, 1.0, True), 2: (0.0, 0.0, True), 3: (0.0, 0.0, False), 4: (1.0, 0.0, True), None: (1.0, 1.0, True), 6: (0.0, 0.0, False), 7: (0.0, 0.0, False)}
+    assert "SortAggregate" not in CMP.unordered_rows_equal(truth, made)._jdf.queryExecution().executedPlan().toString()
