@@ -119,3 +119,15 @@ def test_unordered_rows_of_table_rows(spark):
     assert both_ways(CMP.unordered_rows_equal, truth, made) == {
         1: (1.0, 1.0, True), 2: (0.0, 0.0, True), 3: (0.0, 0.0, False), 4: (1.0, 0.0, True), None: (1.0, 1.0, True), 6: (0.0, 0.0, False), 7: (0.0, 0.0, False)}
     assert "SortAggregate" not in CMP.unordered_rows_equal(truth, made)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_result_lists_of_table_rows(spark):
+    """Table rows give what their cells give; a cell's place and value are no facts of their own."""
+    ab = ["a", "b"]
+    truth = table_rows(spark, (1, ab, [["1", "x"], ["2", None]]), (2, ab, [["1", "x"]]), (3, ["a"], [[""]]), (4, ab, [["5", "x"], ["7", "y"]]),
+                       (None, ab, [["1", "x"]]), (6, ["a"], [["1"]]), (8, ["a"], [["N"], ["-1.5e3"]]), (9, ["a"], [["1"], ["2"]]))
+    made = table_rows(spark, (1, ab, [["1.0", "x"], ["2", "None"]]), (2, ab, [["x", "1.00"]]), (4, ab, [["5", "x"], ["x", "5.0"]]),
+                      (None, ab, [["1", "x"]]), (6, ["a"], [["1"]]), (8, ["a"], [["N"], [" -1500"]]), (9, ["a"], [["1"]]))
+    failed = spark.createDataFrame([(6,), (7,)], "case_id long")
+    assert both_ways(CMP.result_list_equal, truth, made, failed) == {
+        1: (1.0, ""), 2: (0.0, "superset"), 3: (1.0, ""), 4: (0.0, "subset"), None: (1.0, ""), 6: (0.0, CMP.FAILED), 7: (0.0, CMP.FAILED), 8: (1.0, ""), 9: (0.0, "others")}
