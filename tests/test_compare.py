@@ -131,3 +131,13 @@ def test_result_lists_of_table_rows(spark):
     failed = spark.createDataFrame([(6,), (7,)], "case_id long")
     assert both_ways(CMP.result_list_equal, truth, made, failed) == {
         1: (1.0, ""), 2: (0.0, "superset"), 3: (1.0, ""), 4: (0.0, "subset"), None: (1.0, ""), 6: (0.0, CMP.FAILED), 7: (0.0, CMP.FAILED), 8: (1.0, ""), 9: (0.0, "others")}
+
+
+def test_ordered_rows_of_table_rows(spark):
+    """Table rows give what their cells give; whole rows are compared, no cell is made."""
+    ab = ["a", "b"]
+    truth = table_rows(spark, (1, ab, [["1", None], ["2", "x"]]), (2, ab, [["1", "x"], ["2", "x"]]), (3, ab, [["1", "x"]]), (4, ab, [["1", "x"]]), (None, ab, [["1", "x"]]), (6, ab, [["1", "x"]]))
+    made = table_rows(spark, (1, ab, [["1", "nan"], ["2", "x"]]), (2, ab, [["2", "x"], ["1", "x"]]), (3, ["a", "c"], [["1", "x"]]), (4, ab, [["1", "x"], ["1", "x"]]), (None, ab, [["1", "x"]]))
+    assert both_ways(CMP.ordered_equal, truth, made) == {
+        1: (1.0, True, True), 2: (0.0, True, True), 3: (0.0, False, True), 4: (0.0, True, False), None: (1.0, True, True), 6: (0.0, False, False)}
+    assert "SortAggregate" not in CMP.ordered_equal(truth, made)._jdf.queryExecution().executedPlan().toString()
