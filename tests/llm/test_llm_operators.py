@@ -318,6 +318,22 @@ def test_html_broken_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, template binary")).count() == 0
 
 
+def test_html_classes_are_ordered_and_nest(spark):
+    tokens = lambda text: [ord(c) for c in text]
+    classes = lambda **cs: ({ord(t): (i, p) for i, (c, p) in enumerate(cs.values()) for t in c}, {i: len(c) for i, (c, _) in enumerate(cs.values())})
+    of, size = classes(x=("abc", 3))
+    assert sorted(html_extract.places(tokens("abcabc"), of, size)) == [(97, 0, 0), (98, 1, 1), (99, 2, 2)]
+    assert sorted(html_extract.places(tokens("abcacb"), of, size)) == [(97, 0, 0), (98, 1, 2), (99, 1, 2)]
+    of, size = classes(x=("abc", 5), y=("pq", 4))
+    for text, lost in (("apqbc", []), ("apqbpqc", []), ("pabcq", []), ("abcpq", []), ("apbqc", [1]), ("pabqc", [1]), ("abcabpcq", [1])):
+        assert [c for c, _, _ in html_extract.crossings(tokens(text), of, size)] == lost
+    # two blocks that change places on one of three pages are no template; those that keep theirs are
+    top, one, two, end = "<div class=t>top</div>", "<div class=u>one</div>", "<div class=v>two</div>", "<div class=w>end</div>"
+    rows = [(i, f"http://h.example/{i}", "<body>" + top + (two + one if i == 1 else one + two) + f"<p>page {i}</p>" + end) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "one two page 0", 1: "two one page 1", 2: "one two page 2"}
+
+
 def test_html_deep_pages():
     import tracemalloc
     tracemalloc.start()
