@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablefold.llm import ann, html_extract, mixing, ngram_join, packing, pii, quality, rollup, simhash, span_dedup
 from tablefold.llm.queries import vocabulary
@@ -334,6 +335,21 @@ def test_html_classes_are_ordered_and_nest(spark):
     assert got == {0: "one two page 0", 1: "two one page 1", 2: "one two page 2"}
 
 
+def test_html_article_text_takes_part_in_classes(spark):
+    rows = [(i, "h", f"<article><p>same</p><p>own {i}</p></article>") for i in range(3)]
+    got = html_extract.occurrences(spark.createDataFrame(rows, "page_id long, host string, html string")).collect()
+    assert sorted((r.is_text, r.pages) for r in got) == [(False, 3), (False, 3), *[(True, 1)] * 3, (True, 3)]
+    # "top" and the article's "same" recur alike but change places, so neither is template; "end" keeps its place
+    top, same, end = "<div class=t>top</div>", "<article><p>same</p></article>", "<div class=w>end</div>"
+    rows = [(i, f"http://h.example/{i}", "<body>" + (same + top if i == 1 else top + same) + end) for i in range(3)]
+    pages = html_extract.parsed(spark.createDataFrame(rows, "page_id long, host string, html string").withColumn("host", F.lit("h")))
+    template = html_extract.templates(html_extract.occurrences(pages), pages).collect()[0].template
+    text = lambda block: -1 - next(html_extract.key(e) for e in html_extract.parse(rows[0][2]) if e[0] == "text" and e[4] == block)
+    assert text("end") in template and text("top") not in template and text("same") not in template
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(3), "same")
+
+
 def test_html_deep_pages():
     import tracemalloc
     tracemalloc.start()
