@@ -147,3 +147,26 @@ def test_similar_records_compare_few_pairs(spark, monkeypatch):
         assert {i for i, x in got.items() if x.n_links} == {i for p in want for i in p} and None not in got
         sizes = [d.count() for d in seen if d.columns == ["a", "b"]]
         assert sizes[-1] == 20 and sizes[-2] <= 60        # compared, of 45,000 pairs that share a word
+
+
+def test_similar_records_of_long_texts(spark, monkeypatch):
+    """Long texts about the threshold equal all pairs; texts that share some rare words by chance are no candidates, and tokens of sets without one stay where they are."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    sets = [set(r.sample(words, n)) for n in (300, 420, 600) for _ in range(40)]
+    for base in sets[::6]:
+        for share in (0.03, 0.1, 0.12, 0.2, 0.24):            # left out, or replaced by others
+            k = int(len(base) * share)
+            less = base - set(r.sample(sorted(base), k))
+            sets += [less, less | set(r.sample(words, k))]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    whole, seen = SM.materialize, []
+    monkeypatch.setattr(SM, "materialize", lambda d: seen.append(whole(d)) or seen[-1])
+    df = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "id long, t string")
+    got = {x.id: x.n_links for x in SM.entity_match_similar(df, "id", [], ["t"], 0.8).collect()}
+    assert got == dict(enumerate(links)) and 100 < sum(links) // 2 < 1000
+    first = next(d for d in seen if d.columns == ["a", "b"])
+    assert first.count() < 1500                               # of 51,040 pairs; 1,100 are of one text's copies
+    names = spark.createDataFrame([(x, [x]) for x in (-2**63, -65, -1, 5, 63, 64, 2**62)], "set long, tokens array<long>")
+    assert sorted(x.set for x in SM._paired(names, spark.createDataFrame([(-65, 63), (-2**63, 2**62)], "a long, b long")).collect()) == [-2**63, -65, 63, 2**62]
+    assert SM._paired(names, spark.createDataFrame([], "a long, b long")).count() == 0
