@@ -54,3 +54,13 @@ def test_layouts_of_whole_tables(spark):
         if layout not in (Z.markdown_with_index, Z.html_with_index, Z.SERIALIZERS["csv_index"]):
             assert plan.count("Exchange") == 1 and "Generate" not in plan
         assert _got(layout(_rows(spark))) == _got(layout(C.as_cells(_rows(spark))))
+
+
+def test_index_column_is_made_inside_rows(spark):
+    for layout in (Z.markdown_with_index, Z.html_with_index, Z.SERIALIZERS["csv_index"]):
+        plan = layout(_rows(spark))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Generate" not in plan and "Union" not in plan
+        assert _got(layout(_rows(spark))) == _got(layout(C.as_cells(_rows(spark))))
+    empty = _rows(spark).limit(0).unionByName(spark.sql("SELECT 3L AS case_id, 't' AS table_name, 0 AS row_idx, cast(array() AS array<int>) AS idx, "
+                                                        "cast(array() AS array<string>) AS names, cast(array() AS array<string>) AS vals"))
+    assert C.with_index(empty).count() == C.with_index(C.as_cells(empty)).count() == 0
