@@ -1,11 +1,13 @@
 """Table comparison on cases that the given tables don't hold."""
 
+from pyspark.sql import functions as F
+
 from tablefold.operators import cells as C
 from tablefold.operators import compare as CMP
 from tablefold.operators import match as MT
 from tablefold.operators import profile as Q
 from tablefold.operators import reshape as RS
-from tablefold.plans.compare import produced_rows
+from tablefold.plans.compare import produced_rows, with_produced_rows
 from tablefold.sources.text_tables import extract_tables
 
 SCHEMA = "case_id long, table_name string, row_idx int, col_idx int, col_name string, value string"
@@ -141,3 +143,18 @@ def test_ordered_rows_of_table_rows(spark):
     assert both_ways(CMP.ordered_equal, truth, made) == {
         1: (1.0, True, True), 2: (0.0, True, True), 3: (0.0, False, True), 4: (0.0, True, False), None: (1.0, True, True), 6: (0.0, False, False)}
     assert "SortAggregate" not in CMP.ordered_equal(truth, made)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_both_tables_as_one_frame(spark):
+    """Truth and variants made in one pass equal the two made apart, by each comparison; no table is numbered twice or moved again."""
+    lines = [(k, i, f"{(k or 0) * 10 + i}", str(i)) for k in (None, 1, 2, 4, 5, 7, 8, 10, 12, 15, 20) for i in range(1 + (k or 3) % 4)]
+    rows = C.frame_to_rows(spark.createDataFrame(lines, "k long, line int, part string, n string"), "k", "t", ["line", "part", "n"], ["line"])
+    both, apart = with_produced_rows(rows), rows.withColumn("_t", F.lit(True)).unionByName(produced_rows(rows).withColumn("_t", F.lit(False)))
+    key = lambda d: sorted(map(str, d.select("_t", "case_id", "table_name", "row_idx", "idx", "names", "vals").collect()))
+    assert key(both) == key(apart) and len(key(both)) > len(lines)
+    for compare in (CMP.result_list_equal, CMP.ordered_equal, CMP.unordered_rows_equal, CMP.cell_multiset_equal):
+        one = compare(both)
+        assert sorted(map(str, one.collect())) == sorted(map(str, compare(rows, produced_rows(rows)).collect()))
+        assert compare(both)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        cells = both.select("case_id", "table_name", "_t", "row_idx", F.inline(C.row_cells()))
+        assert sorted(map(str, compare(cells).collect())) == sorted(map(str, one.collect()))
